@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from recordspine.llm import chat, pii, sharding
+from recordspine.llm import chat, pii, sentencepiece_fst, sharding
 
 
 def queries():
-    return {"op5_pii": pii.query, "op6_sharding": sharding.query, "op10_chat_formatting": chat.query}
+    return {"op3_sentencepiece": sentencepiece_fst.query, "op5_pii": pii.query, "op6_sharding": sharding.query, "op10_chat_formatting": chat.query}
 
 
 def oracle_sql():
