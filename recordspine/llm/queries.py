@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from recordspine.llm import chat, pii, sentencepiece_fst, sharding
+from recordspine.llm import chat, minhash, pii, sentencepiece_fst, sharding
 
 
 def queries():
-    return {"op3_sentencepiece": sentencepiece_fst.query, "op5_pii": pii.query, "op6_sharding": sharding.query, "op10_chat_formatting": chat.query}
+    return {"op1_minhash_dedup": minhash.query, "op3_sentencepiece": sentencepiece_fst.query, "op5_pii": pii.query, "op6_sharding": sharding.query, "op10_chat_formatting": chat.query}
 
 
 def oracle_sql():
-    return {"op10_chat_formatting": chat.SQL}
+    return {"op1_minhash_dedup": minhash.SQL, "op10_chat_formatting": chat.SQL}
