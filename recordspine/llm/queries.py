@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from recordspine.llm import chat, minhash, pii, sentencepiece_fst, sharding, suffix
+from recordspine.llm import chat, minhash, pii, sentencepiece_fst, sharding, suffix, toxicity
 
 
 def queries():
-    return {"op1_minhash_dedup": minhash.query, "op3_sentencepiece": sentencepiece_fst.query, "op4_suffix_dedup": suffix.query, "op5_pii": pii.query, "op6_sharding": sharding.query, "op10_chat_formatting": chat.query}
+    return {"op1_minhash_dedup": minhash.query, "op3_sentencepiece": sentencepiece_fst.query, "op4_suffix_dedup": suffix.query, "op5_pii": pii.query, "op6_sharding": sharding.query, "op9_toxicity": toxicity.query, "op10_chat_formatting": chat.query}
 
 
 def oracle_sql():
