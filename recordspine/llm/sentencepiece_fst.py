@@ -5,7 +5,8 @@ for each piece, and byte-fallback arcs for characters without a piece. Composed
 input's positions; a state is (position, piece that ends there). The model is of the BPE kind, whose result is not the
 path of least summed scores over all segmentations, so the lattice is also composed with an acceptor of piece pairs:
 two pieces may follow each other only if merging their joined text gives just these two. Exactly the BPE segmentation
-of every prefix is left (one path), and the tropical shortest path finds it, byte fallback having the highest weight.
+is left (one path), which is the tropical shortest path, byte fallback having the highest weight.
+States are made only as they are reached.
 Pairs and words are memoised in bounded tables. The installed library reads the model's pieces and is the oracle in
 the tests; it doesn't encode here.
 
@@ -29,10 +30,8 @@ from recordspine.llm.common import table
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-BYTE_WEIGHT = 1e12
-WORD_LIMIT = 500_000
+WORD_LIMIT = 300_000
 ARC_LIMIT = 1_000_000
-NONE: dict[str, float | None] = {}
 
 
 class PieceTransducer:
@@ -45,24 +44,27 @@ class PieceTransducer:
         self.weight: dict[str, float] = {}
         self.id_bytes: dict[str, bytes] = {}
         self.byte_ids = [b""] * 256
-        self.surface: list[bytes] = []
+        surface: list[bytes] = []
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(piece[1:-1], 16)] = np.int32(i).tobytes()
-                self.surface.append(bytes([int(piece[1:-1], 16)]))
+                surface.append(bytes([int(piece[1:-1], 16)]))
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-                self.surface.append(b"")
+                surface.append(b"")
             else:
                 self.id_bytes[piece] = np.int32(i).tobytes()
                 self.weight[piece] = 1.0 - model.get_score(i)  # above 0
-                self.surface.append(piece.replace(MARK, " ").encode())
+                surface.append(piece.replace(MARK, " ").encode())
         self.pieces: dict[str, float | None] = {p[:n]: None for p in self.id_bytes for n in range(1, len(p))} | self.weight  # None: a prefix only
-        self.composed: dict[str, dict[str, float | None]] = {}
+        self.composed: dict[str, dict[str, bool]] = {}
         self.n_arcs = 0
         self.spines: dict[tuple[str, int], list[tuple[str, float]]] = {}
         self.splits: dict[str, tuple[str, str]] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = WordTable(self)
+        self.surface_size = np.array([len(x) for x in surface], dtype=np.int64)
+        self.surface_start = np.cumsum(self.surface_size) - self.surface_size
+        self.surface_bytes = np.frombuffer(b"".join(surface) or b" ", dtype=np.uint8)
         self.marks_inside = any(MARK in p.lstrip(MARK) for p in self.id_bytes)
 
     def spine(self, piece: str, side: int) -> list[tuple[str, float]]:
@@ -102,43 +104,53 @@ class PieceTransducer:
         left, right = self.spine(a, 1) if a else [], self.spine(b, 0)
         return bool(right) and not any((w := self.weight.get(x + y)) is not None and w < x_taken and w <= y_taken for x, x_taken in left for y, y_taken in right)
 
-    def arc(self, a: str, text: str) -> float | None:
-        """The weight of the arc that reads text after piece a; None if only longer texts may have one, 0 if none can."""
+    def shortest_path(self, word: str) -> bytes:
+        """Piece ids (int32) of the shortest path through word's lattice.
+
+        States are made as they are reached, the arc that reads most first, and states from which nothing led to the
+        end are remembered. Only one path is accepted, so the first to arrive is the shortest.
+        """
         if self.n_arcs >= ARC_LIMIT:
             self.composed.clear()
             self.n_arcs = 0
-        w = self.pieces.get(text, 0)
-        if w and not self.follows(a, text):
-            w = None
-        self.composed.setdefault(a, {})[text] = w
-        self.n_arcs += 1
-        return w
-
-    def shortest_path(self, word: str) -> bytes:
-        """Piece ids (int32) of the shortest path through word's lattice; positions are relaxed from left to right."""
-        n, infinite = len(word), float("inf")
-        last, cost, back = [""] * (n + 1), [0.0] + [infinite] * n, [0] * (n + 1)
-        for start in range(n):
-            here, before = cost[start], last[start]
-            known = self.composed.get(before, NONE)
+        n, start, before, read = len(word), 0, "", self.pieces.get
+        path: list[tuple[int, str]] = []  # start and piece ('' for byte fallback) of each arc taken
+        choices: list[list[str]] = []
+        dead: set[tuple[int, str]] = set()
+        while start < n:
+            known, open_arcs = self.composed.get(before), []
+            if known is None:
+                known = self.composed[before] = {}
             for end in range(start + 1, n + 1):
                 text = word[start:end]
-                w = known.get(text, -1.0)
-                if w == -1.0:
-                    w = self.arc(before, text)
-                    known = self.composed[before]
+                w = read(text, 0)
                 if w:
-                    if here + w < cost[end]:
-                        cost[end], last[end], back[end] = here + w, text, start
+                    may = known.get(text)
+                    if may is None:
+                        may = known[text] = self.follows(before, text)
+                        self.n_arcs += 1
+                    if may:
+                        open_arcs.append(text)
                 elif w == 0:
                     break
-            if cost[start + 1] == infinite:  # byte fallback: nothing merges across it
-                cost[start + 1], back[start + 1] = here + BYTE_WEIGHT, start
-        out = []
-        while n:
-            out.append(self.id_bytes[last[n]] if last[n] else b"".join(self.byte_ids[b] for b in word[n - 1].encode("utf-8", "replace")))
-            n = back[n]
-        return b"".join(reversed(out))
+            if not open_arcs and word[start] not in self.weight:  # byte fallback: nothing merges across it
+                open_arcs.append("")
+            path.append((start, before))
+            choices.append(open_arcs)
+            while True:
+                if choices[-1]:
+                    piece = choices[-1].pop()
+                    at = path[-1][0] + (len(piece) or 1)
+                    if (at, piece) not in dead:
+                        start, before = at, piece
+                        break
+                else:
+                    choices.pop()
+                    dead.add(path.pop())
+        pieces = [*(piece for _, piece in path[1:]), before]
+        if "" not in pieces:
+            return b"".join(map(self.id_bytes.__getitem__, pieces))
+        return b"".join(self.id_bytes[x] if x else b"".join(self.byte_ids[c] for c in word[i].encode("utf-8", "replace")) for (i, _), x in zip(path, pieces, strict=True))
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -146,26 +158,36 @@ class PieceTransducer:
         normal = MARK + text.replace(" ", MARK)
         # No piece has a mark behind another character, so no merge crosses a word's end: words are encoded alone.
         parts = [normal] if self.marks_inside else WORDS.findall(normal)
-        try:
-            return b"".join(map(self.words.__getitem__, parts))
-        except KeyError:
-            if len(self.words) >= WORD_LIMIT:
-                self.words.clear()
-        out = []
-        for p in parts:
-            got = self.words.get(p)
-            if got is None:
-                got = self.shortest_path(p)
-                if len(p) <= 64:
-                    self.words[p] = got
-            out.append(got)
-        return b"".join(out)
-
-    def decode(self, ids: list[int]) -> str:
-        whole = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self.words.__getitem__, parts))
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The pieces' bytes one after the other, gathered from one table."""
+        sizes = self.surface_size[ids]
+        if not len(ids) or not (total := int(sizes.sum())):
+            return ""
+        shift = self.surface_start[ids] - (np.cumsum(sizes) - sizes)
+        whole = self.surface_bytes[np.repeat(shift, sizes) + np.arange(total)].tobytes().decode("utf-8", "replace")
         return whole[1:] if whole.startswith(" ") else whole
 
 
+class WordTable(dict):
+    """Pieces of words met before; the older half goes when it is full."""
+
+    def __init__(self, fst: PieceTransducer):
+        self.fst, self.older = fst, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.older.get(word)
+        if got is None:
+            got = self.fst.shortest_path(word)
+        if len(word) <= 64:
+            if len(self) >= WORD_LIMIT:
+                self.older = dict(self)
+                self.clear()
+            self[word] = got
+        return got
+
+
 _compiled: dict[str, PieceTransducer] = {}
 
 
@@ -224,7 +246,7 @@ def decode(docs: DataFrame, ids: str = "piece_ids", model_path: str = DEFAULT_MO
             sizes = 8 * np.array(pa.compute.list_value_length(column).fill_null(0)) if batch.num_rows else np.empty(0)
             for part in slices(batch, sizes):
                 rows = part.column(part.schema.names.index(ids))
-                yield _with_column(part, into, pa.array([None if not r.is_valid else fst.decode(r.values.to_pylist()) for r in rows], type=pa.string()))
+                yield _with_column(part, into, pa.array([None if not r.is_valid else fst.decode(np.asarray(r.values)) for r in rows], type=pa.string()))
 
     return docs.mapInArrow(run, _schema(docs, into, T.StringType()))
 
