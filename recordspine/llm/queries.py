@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from recordspine.llm import chat, minhash, pii, sentencepiece_fst, sharding, suffix, toxicity
+from recordspine.llm import chat, decontamination, embeddings, minhash, pii, quality, sentencepiece_fst, sharding, suffix, toxicity
 
 
 def queries():
-    return {"op1_minhash_dedup": minhash.query, "op3_sentencepiece": sentencepiece_fst.query, "op4_suffix_dedup": suffix.query, "op5_pii": pii.query, "op6_sharding": sharding.query, "op9_toxicity": toxicity.query, "op10_chat_formatting": chat.query}
+    return {
+        "op1_minhash_dedup": minhash.query,
+        "op2_quality": quality.query,
+        "op3_sentencepiece": sentencepiece_fst.query,
+        "op4_suffix_dedup": suffix.query,
+        "op5_pii": pii.query,
+        "op6_sharding": sharding.query,
+        "op7_embedding_dedup": embeddings.query,
+        "op8_decontamination": decontamination.query,
+        "op9_toxicity": toxicity.query,
+        "op10_chat_formatting": chat.query,
+    }
 
 
 def oracle_sql():
-    return {"op1_minhash_dedup": minhash.SQL, "op10_chat_formatting": chat.SQL}
+    """SQL where it can express the query; the others are tested against brute force, round trips or held-out labels."""
+    return {"op1_minhash_dedup": minhash.SQL, "op7_embedding_dedup": embeddings.SQL, "op10_chat_formatting": chat.SQL}
