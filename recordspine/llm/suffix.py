@@ -8,12 +8,14 @@ position; buckets of equal strings are enough, and most positions can follow one
    69th byte is chosen. Windows dealt to one position form a run.
 2. A q-gram that occurs once ends here: its runs can hold no repeat (buckets of one are final).
 3. A bucket whose runs all have the same whole string is final too: all their windows repeat.
-4. The other runs are refined: of each different run one copy is kept, and the identifiers of its positions are doubled,
-   each from those at p and at a later offset, 64 to 128 to 200 bytes, reusing the last round's; windows of equal
-   identifiers repeat.
+4. What is open is refined: of each different string one copy is kept and cut, by the distance to its chosen position,
+   into stretches of 35 windows, whose buckets are the 166 bytes that all windows of a stretch share; the same two rules
+   close most. What is open then goes down to single windows. There a window's identifier is made from those of
+   shorter strings at its start and at later offsets, 64 to 128 to 200 bytes, each round reusing the last.
 
 Counting is by grouped aggregates with partial sums; what has to meet its count again meets it in joins that Spark can
-split, so a passage in a third of all documents is no hot spot. Identifiers are 128 bits wide where they decide.
+split, so a passage in a third of all documents is no hot spot. Texts only travel if a bitmap
+of fixed size says that they are needed. Identifiers are 128 bits wide where they decide.
 Null texts are empty; texts under 200 bytes lose nothing; identical rows are copies of each other; very long texts are
 cut into pieces whose windows overlap, so memory stays bounded by a piece. An empty table gives no rows.
 """
@@ -35,6 +37,8 @@ from recordspine.llm.common import materialize, table
 LENGTH = 200
 Q = 64
 PIECE = 1 << 20
+STRETCH = 35
+BITMAP_BITS = 25
 _INDEX_BITS = U(22)
 _LEFT, _RIGHT = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
@@ -79,7 +83,7 @@ def window_starts(parts: list[bytes]) -> np.ndarray:
 
 
 def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text number, first window, last window, q-gram bucket, identifier of the run's whole string) of all runs."""
+    """(text number, first and last window, chosen position, q-gram bucket, identifier of the whole string) of all runs."""
     of, at, parts = pieces(texts)
     for lo, hi in chunks(parts, PIECE):
         data = np.frombuffer(b"".join(parts[lo:hi]), dtype=np.uint8)
@@ -96,89 +100,129 @@ def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         starts = np.cumsum([0, *(len(x) for x in parts[lo:hi])])
         piece = np.searchsorted(starts, p0, side="right") - 1
         shift = np.array(at[lo:hi]) - starts[:-1]
-        yield np.array(of[lo:hi])[piece], p0 + shift[piece], p1 + shift[piece], buckets[anchor], mix(whole)
+        yield np.array(of[lo:hi])[piece], p0 + shift[piece], p1 + shift[piece], anchor + shift[piece], buckets[anchor], mix(whole)
 
 
-def window_identifiers(text: bytes, p0: list[int], p1: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window starts of the runs and their 128-bit identifiers, by doubling the buckets of the stretches they lie in."""
-    starts, one, two = [], [], []
-    for a, b in zip(p0, p1, strict=True):
-        data = np.frombuffer(text[a : b + LENGTH], dtype=np.uint8)
-        for byte_table, out in ((BYTE_TABLE, one), (BYTE_TABLE_2, two)):
-            quarter = fingerprints(prefix_sums(data, byte_table), Q)
-            out.append(refine(refine(quarter, Q), LENGTH - 2 * Q))
-        starts.append(np.arange(a, b + 1))
-    return np.concatenate(starts), np.concatenate(one), np.concatenate(two)
+def stretches(text: bytes, p0: int, more: int, lead: int) -> tuple[np.ndarray, ...]:
+    """(first window, more, lead, bucket, whole) of a run's stretches; windows go by their distance to the chosen position."""
+    p1, anchor = p0 + more, p0 + lead
+    k = np.arange((anchor - p1) // STRETCH, (anchor - p0) // STRETCH + 1)
+    core = anchor - k * STRETCH  # the last start in a full stretch; all its windows hold the bytes from there to the first one's end
+    first, last = np.maximum(core - STRETCH + 1, p0), np.minimum(core, p1)
+    data = np.frombuffer(text[p0 : p1 + LENGTH], dtype=np.uint8)
+    sums, sums2 = prefix_sums(data), prefix_sums(data, BYTE_TABLE_2)
+    _, down = powers(len(data))
+    at, end = core - p0, core - p0 - STRETCH + 1 + LENGTH
+    bucket = mix((sums[end] - sums[at]) * down[at] + k.astype(U))
+    whole = (sums2[last + LENGTH - p0] - sums2[first - p0]) * down[first - p0] + (core - first).astype(U) * _LEFT + (core - last).astype(U) * _RIGHT
+    return first, last - first, anchor - first, bucket, mix(whole)
+
+
+def single_windows(text: bytes, p0: int, more: int, lead: int) -> tuple[np.ndarray, ...]:
+    """The same of a stretch's windows, by doubling the buckets of shorter strings."""
+    data = np.frombuffer(text[p0 : p0 + more + LENGTH], dtype=np.uint8)
+    ids = [refine(refine(fingerprints(prefix_sums(data, x), Q), Q), LENGTH - 2 * Q) for x in (BYTE_TABLE, BYTE_TABLE_2)]
+    at = np.arange(p0, p0 + more + 1)
+    return at, np.zeros_like(at), np.zeros_like(at), *ids
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+ROWS = "key long, p int, more int, lead int, alone boolean, bucket long, whole long"
+
+
 def _all_runs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for of, p0, p1, bucket, whole in runs(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[of]), pa.array(p0.astype(np.int32)), pa.array((p1 - p0).astype(np.int32)), _signed(bucket), _signed(whole)], names=["key", "p0", "more", "bucket", "whole"])
+            for of, p0, p1, anchor, bucket, whole in runs(batch.column(1).to_pylist()):
+                yield _rows(keys[of], p0, p1 - p0, anchor - p0, np.ones(len(of), dtype=bool), bucket, whole)
+
+    return docs.mapInArrow(run, ROWS)
+
 
-    return docs.mapInArrow(run, "key long, p0 int, more int, bucket long, whole long")
+def _rows(key, p, more, lead, alone, bucket, whole) -> pa.RecordBatch:
+    numbers = [pa.array(x.astype(np.int32)) for x in (p, more, lead)]
+    return pa.RecordBatch.from_arrays([pa.array(key), *numbers, pa.array(alone), _signed(bucket), _signed(whole)], names=["key", "p", "more", "lead", "alone", "bucket", "whole"])
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Texts packed for the way through a shuffle."""
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """One bit for each key's hash in a bitmap of fixed size: what isn't in it is not among the keys."""
+    h = f"shiftrightunsigned(key, {64 - BITMAP_BITS})"
+    words = keys.groupBy(F.expr(f"cast(shiftright({h}, 6) AS int)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({h} & 63 AS int)))").alias("b"))
+    got = words.toPandas()  # 2**19 rows at most
+    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    return out
+
+
+def packed(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
+    """(key, doc_id, packed text) of the rows whose key is in the bitmap, or of all others."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            h = batch.column(0).to_numpy().view(U) >> U(64 - BITMAP_BITS)
+            hit = (sent.value.view(U)[(h >> U(6)).astype(np.int64)] >> (h & U(63))) & U(1) == 1
+            chosen = batch.filter(pa.array(hit if inside else ~hit))
+            for lo in range(0, chosen.num_rows, 512):
+                part = chosen.slice(lo, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack.compress(t) for t in part.column(2).to_pylist()], type=pa.binary())], names=["key", "doc_id", "packed"])
 
     return docs.mapInArrow(run, f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, packed binary")
 
 
-def _windows(rows: DataFrame) -> DataFrame:
-    """rows (key, packed, todo: array of p0, more, alone) to one row a window."""
+def _cut(docs: DataFrame, chosen: DataFrame, how) -> DataFrame:
+    """The chosen strings cut by `how`, from their texts."""
+    todo = chosen.groupBy("key").agg(F.collect_list(F.struct("p", "more", "lead", "alone")).alias("todo"))
+    texts = packed(docs, bitmap(chosen)).join(todo, "key").dropDuplicates(["key"]).select("key", "packed", "todo")
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        for batch in frames:
-            for key, packed, todo in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = unpack.decompress(packed)
-                for lo in range(0, len(todo), 1024):
-                    part = todo[lo : lo + 1024]
-                    at, one, two = window_identifiers(text, [x["p0"] for x in part], [x["p0"] + x["more"] for x in part])
-                    alone = np.repeat([x["alone"] for x in part], [x["more"] + 1 for x in part])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32)), pa.array(alone), _signed(one), _signed(two)], names=["key", "p", "alone", "w1", "w2"])
-
-    return rows.mapInArrow(run, "key long, p int, alone boolean, w1 long, w2 long")
+        for batch in batches:
+            made: list[tuple] = []
+            for key, text, todo in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                text = unpack.decompress(text.as_py())
+                for r in todo.as_py():
+                    first, more, lead, bucket, whole = how(text, r["p"], r["more"], r["lead"])
+                    made.append((np.full(len(first), key), first, more, lead, np.full(len(first), r["alone"]), bucket, whole))
+                    if len(made) >= 2000:
+                        yield _rows(*map(np.concatenate, zip(*made, strict=True)))
+                        made = []
+            if made:
+                yield _rows(*map(np.concatenate, zip(*made, strict=True)))
+
+    return texts.mapInArrow(run, ROWS)
+
+
+def _level(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Window ranges (key, p, more) that repeat for certain, and one copy of each string that is still open."""
+    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1")
+    buckets = materialize(buckets.select("bucket", (F.col("lo") == F.col("hi")).alias("final")), f"suffix-{name}-buckets")
+    left = materialize(rows.join(buckets, "bucket"), f"suffix-{name}")
+    final = left.where("final AND alone").select("key", "p", "more")
+    open_rows = left.where("NOT final")
+    strings = open_rows.groupBy("bucket", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "p", "more", "lead", "alone")).alias("one"))
+    strings = materialize(strings, f"suffix-{name}-strings")
+    copied = open_rows.where("alone").join(strings.where("n > 1").select("bucket", "whole"), ["bucket", "whole"]).select("key", "p", "more")
+    # Strings with copies have their result; they only serve others that hold a part of them.
+    return final.unionByName(copied), strings.select("one.key", "one.p", "one.more", "one.lead", (F.col("one.alone") & (F.col("n") == 1)).alias("alone"))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(key, p, more): window starts p to p+more of rows (key, doc_id, text as binary) whose strings start elsewhere too."""
-    every = _all_runs(docs.select("key", "text"))
-    buckets = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1")
-    buckets = materialize(buckets.select("bucket", (F.col("lo") == F.col("hi")).alias("final")), "suffix-buckets")
-    left = materialize(every.join(buckets, "bucket"), "suffix-runs")
-    final = left.where("final").select("key", F.col("p0").alias("p"), "more")
-
-    open_runs = left.where("NOT final")
-    strings = open_runs.groupBy("bucket", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "p0")).alias("one"))
-    strings = materialize(strings, "suffix-strings")
-    copied = open_runs.join(strings.where("n > 1").select("bucket", "whole"), ["bucket", "whole"]).select("key", F.col("p0").alias("p"), "more")
-
-    # One copy of each different string; copies that repeat as a whole only serve the others.
-    chosen = open_runs.join(strings.select("bucket", "whole", "n", F.col("one.key").alias("key"), F.col("one.p0").alias("p0")), ["bucket", "whole", "key", "p0"]).dropDuplicates(["bucket", "whole"])
-    todo = chosen.groupBy("key").agg(F.collect_list(F.struct("p0", "more", (F.col("n") == 1).alias("alone"))).alias("todo"))
-    windows = materialize(_windows(_packed(docs).join(todo, "key").dropDuplicates(["key"]).select("key", "packed", "todo")), "suffix-windows")
-    twice = materialize(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "suffix-repeats")
-    single = windows.where("alone").join(twice, ["w1", "w2"]).select("key", "p", F.lit(0).alias("more"))
-    return final.unionByName(copied).unionByName(single)
+    by_run, chosen = _level(_all_runs(docs.select("key", "text")), "runs")
+    by_stretch, chosen = _level(_cut(docs, chosen, stretches), "stretches")
+    windows = materialize(_cut(docs, chosen, single_windows), "suffix-windows")
+    by_window, _ = _level(windows, "windows")
+    return by_run.unionByName(by_stretch).unionByName(by_window)
 
 
 def _joined(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -196,9 +240,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     body = F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    found = repeated_runs(rows).groupBy("key").agg(F.collect_list(F.struct("p", "more")).alias("found"))
-    # The texts' side decides the plan: a left join on an even key.
-    both = _packed(rows).join(found, "key", "left").select("doc_id", "packed", "found")
+    found = materialize(repeated_runs(rows), "suffix-found")
+    bits = bitmap(found)
+    spans = found.groupBy("key").agg(F.collect_list(F.struct("p", "more")).alias("found"))
+    none = F.lit(None).cast("array<struct<p:int,more:int>>").alias("found")
+    both = packed(rows, bits).join(spans, "key", "left").select("doc_id", "packed", "found").unionByName(packed(rows, bits, inside=False).select("doc_id", "packed", none))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
