@@ -5,8 +5,15 @@ from __future__ import annotations
 from recordspine.llm import chat, decontamination, embeddings, minhash, pii, quality, sentencepiece_fst, sharding, suffix, toxicity
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
+        "pipeline": pipeline,
         "op1_minhash_dedup": minhash.query,
         "op2_quality": quality.query,
         "op3_sentencepiece": sentencepiece_fst.query,
