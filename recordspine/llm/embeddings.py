@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordspine.llm.common import connected_components, materialize, table
+from recordspine.llm.minhash import spanning
 
 
 @dataclass(frozen=True)
@@ -94,19 +95,6 @@ def _hashed(reps: DataFrame, bits: int, tables: int, s: Settings) -> DataFrame:
     return reps.mapInArrow(run, "t int, code int, class_id long, copies long, dim int, v binary, codes binary")
 
 
-def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row number each row reaches over the links."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(vectors: DataFrame, s: Settings = Settings(), vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("v"))
@@ -145,7 +133,7 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings(), vec_id: str =
         copies = np.concatenate([left["copies"].to_numpy(), right["copies"].to_numpy()])
         j = j + len(left)
         links = np.bincount(i, weights=copies[j], minlength=len(ids)) + np.bincount(j, weights=copies[i], minlength=len(ids))
-        reach = ids[_spanning(len(ids), i, j)]
+        reach = ids[spanning(len(ids), i, j)]
         some = links > 0
         return pd.DataFrame({"class_id": ids[some], "links": links[some].astype(np.int64), "reach": reach[some]})
 

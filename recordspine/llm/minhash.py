@@ -6,9 +6,10 @@
 3. Representatives that share a band hash are candidates. In each bucket the smallest and the largest member are
    compared with all others (2m pairs, not m*m). Two sketches' XOR has about 2k(1-J) odd bits; pairs whose estimate lies
    under the threshold by more than `sketch_margin` are dropped, all others are confirmed on their full sets.
-4. Buckets of four and more that still hold several components are searched further in blocks of bounded size: each
-   member's partners by falling estimate, first the 16 best, then 256, then all. So no link of the bucket is lost, and
-   what has merged needs no pairs. A block is compared inside a task; only pairs to confirm become rows.
+4. Buckets of four and more that still hold several components are searched to the end: buckets with the same most
+   common component form a family, and its outsiders (members of other components) are compared with all its members,
+   exactly, in blocks of bounded size. Pairs inside the common component need nothing more. A block returns a spanning
+   set of its links, never pairs.
 5. Connected components over the confirmed links; members take their representative's.
 
 With 24 bands of 4 a pair at similarity 0.8 shares no band with a chance of 3e-6; a pair's sketch misses by the margin
@@ -40,8 +41,8 @@ class NearDuplicates:
     samples: int = 96  # MinHash values, all of them in the sketch
     sketch_words: int = 8  # 64-bit words of the sketch
     sketch_margin: float = 0.25
-    block: int = 256
-    ranks: tuple[int, ...] = (16, 256, 1 << 40)
+    outsiders: int = 40  # of a block of the search
+    members: int = 80
 
 
 _MULTIPLIERS = np.random.default_rng(7).integers(0, 2**63, 4096, dtype=U) * U(2) + U(1)
@@ -141,30 +142,66 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
-def search_blocks(unresolved: DataFrame, low: int, high: int, most: int, p: NearDuplicates) -> DataFrame:
-    """Pairs to confirm among members (h, n, doc_id, component, sketch) of buckets: other components, ranks in [low, high).
-
-    A bucket is cut into blocks of about p.block; each pair of blocks is one group, so a group's size has a bound.
-    """
-    cut = unresolved.withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "sketch")
-
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as products of 0/1 matrices over the shared shingles."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    one, two = (np.concatenate(x) if len(x) else np.empty(0, dtype=U) for x in (left, right))
+    both = np.intersect1d(one, two)
+    for lo in range(0, len(both), 4096):
+        part = both[lo : lo + 4096]
+        dense = []
+        for flat, sets in ((one, left), (two, right)):
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[at] == flat
+            m = np.zeros((len(sets), len(part)), dtype=np.float32)
+            m[np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit], at[hit]] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row number each row reaches over the links."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def search_families(members: DataFrame, labels: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Links (a, b) that join different components of a bucket: all of them up to connectedness."""
+    now = members.where("n > 3").select("h", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    now = materialize(now, "minhash-search")
+    common = now.groupBy("h").agg(F.mode("component", True).alias("family"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "family")
+    in_family = materialize(now.join(common, "h").select("family", "doc_id", "component").distinct(), "minhash-families")
+    sizes = in_family.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("component") != F.col("family")).alias("r"))
+    sizes = materialize(sizes.select("family", F.ceil(F.col("r") / p.outsiders).cast("int").alias("ni"), F.ceil(F.col("m") / p.members).cast("int").alias("nj")), "minhash-family-sizes")
+    placed = in_family.join(sizes, "family").withColumns({"i": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("ni")).cast("int"), "j": F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("nj")).cast("int")})
+    outsider = placed.where("component <> family").withColumns({"j": F.explode(F.sequence(F.lit(0), F.col("nj") - 1)), "outsider": F.lit(True)})
+    member = placed.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("ni") - 1)), "outsider": F.lit(False)})
+    columns = ["family", "i", "j", "outsider", "doc_id", "component"]
+    blocks = outsider.select(*columns).unionByName(member.select(*columns)).join(texts, "doc_id")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("doc_id", kind="stable")
-        left, right = f[f["own"] == key[1]], f[f["own"] == key[2]]
-        xs, ys = (np.array(v["sketch"].tolist(), dtype=np.int64).view(U).reshape(len(v), -1) for v in (left, right))
-        found = []
-        for r in range(len(left)):
-            odd = np.bitwise_count(ys ^ xs[r]).sum(axis=1).astype(np.int64)
-            order = np.argsort(odd, kind="stable")[low:high]
-            order = order[(odd[order] <= most) & (right["component"].to_numpy()[order] != left["component"].iat[r])]
-            a = left["doc_id"].iat[r]
-            found += [(min(a, b), max(a, b)) for b in right["doc_id"].to_numpy()[order]]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        left, right = f[f["outsider"]], f[~f["outsider"]]
+        sets = [list(shingle_sets([t.encode("utf-8", "surrogatepass") for t in x["text"]], p.shingle_words)) for x in (left, right)]
+        both = shared_counts(*sets)
+        sizes = [np.array([len(s) for s in x], dtype=np.int64) for x in sets]
+        linked = 100 * both >= p.percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+        linked &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
+        i, j = np.nonzero(linked)
+        ids = np.concatenate([left["doc_id"].to_numpy(), right["doc_id"].to_numpy()])
+        reach = ids[spanning(len(ids), i, j + len(left))]
+        out = pd.DataFrame({"a": np.minimum(reach, ids), "b": np.maximum(reach, ids)})
+        return out[out["a"] != out["b"]].drop_duplicates()
 
-    return cut.groupBy("h", "i", "j").applyInPandas(run, "a long, b long")
+    return blocks.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,19 +231,9 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), doc_i
     links = materialize(confirm(pairs, texts, p), "minhash-links")
     labels = connected_components(links)
 
-    low = 0
-    for high in p.ranks:
-        now = materialize(members.where("n > 3").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", "n", "doc_id", F.coalesce("component", "doc_id").alias("component")), "minhash-search")
-        split = now.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-        unresolved = now.join(split, "h").join(sketches, "doc_id")
-        pairs = materialize(search_blocks(unresolved, low, high, most, p).distinct(), "minhash-pairs")
-        low = high
-        if pairs.isEmpty():
-            continue
-        more = materialize(confirm(pairs, texts, p), "minhash-links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = connected_components(links)
+    more = materialize(search_families(members, labels, texts, p), "minhash-links")
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(more))
 
     by_class = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("key1", "key2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "key1", "key2").join(by_class, ["key1", "key2"], "left")
