@@ -33,7 +33,7 @@ WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class Settings:
-    sample_rows: int = 12_000
+    sample_rows: int = 6_000
     buckets: int = 1 << 18
     steps: int = 80
     rate: float = 0.1
@@ -93,43 +93,45 @@ def hashed(sentence: str, buckets: int) -> list[int]:
     return [x for w in set(WORD.findall(sentence)) for x in features(w, buckets)]
 
 
-def noisy_or_fit(docs: list[tuple[int, list[list[int]]]], s: Settings) -> Model:
-    """Gradient steps (Adam) on the likelihood of the document labels; docs: label and word buckets of each sentence."""
-    docs = [(y, [x for x in sentences if x]) for y, sentences in docs]
-    bare = [y for y, x in docs if not x]
-    docs = [d for d in docs if d[1]]
-    y = np.array([d[0] for d in docs], dtype=float)
+def noisy_or_fit(y: np.ndarray, sentences: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, s: Settings) -> Model:
+    """Gradient steps (Adam) on the likelihood of the document labels.
+
+    y: the documents' labels; sentences: how many each has; lengths: words' buckets in each sentence; tokens: the buckets.
+    """
+    bare = y[sentences == 0]
+    y, sentences = y[sentences > 0].astype(float), sentences[sentences > 0]
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(s.buckets), -50.0, 0.0)
-    rows = [x for _, sentences in docs for x in sentences]
-    tokens = np.concatenate([np.array(x, dtype=np.int64) for x in rows])
-    of_sentence = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    of_doc = np.repeat(np.arange(len(docs)), [len(x) for _, x in docs])
+        return Model(np.zeros(s.buckets, dtype=np.float32), -50.0, 0.0)
+    rows, docs = len(lengths), len(y)
+    of_sentence = np.repeat(np.arange(rows, dtype=np.int32), lengths)
+    of_doc = np.repeat(np.arange(docs, dtype=np.int32), sentences)
     used, tokens = np.unique(tokens, return_inverse=True)
-    pair = np.unique(of_doc[of_sentence] * len(used) + tokens)
+    pair = np.unique(of_doc[of_sentence].astype(np.int64) * len(used) + tokens)
     doc_of, word_of = pair // len(used), pair % len(used)
     pos = np.bincount(word_of, weights=y[doc_of], minlength=len(used))
     neg = np.bincount(word_of, weights=1 - y[doc_of], minlength=len(used))
-    n_pos, n_neg = y.sum(), len(y) - y.sum()
-    lift = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
+    del pair, doc_of, word_of
+    lift = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (docs - y.sum() + 1))
     # Only what speaks for the label may carry weight; the rest is noise that long sentences would add up.
     speaks = (pos >= s.least_documents) & (lift > s.least_lift)
-    w = np.where(speaks, lift, 0.0)
+    used, w = used[speaks], lift[speaks]
+    kept, place = speaks[tokens], np.cumsum(speaks) - 1
+    tokens, of_sentence = place[tokens[kept]], of_sentence[kept]
     bias, m, v = s.bias, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, s.steps + 1):
-        z = bias + np.bincount(of_sentence, weights=w[tokens], minlength=len(rows))
+        z = bias + np.bincount(of_sentence, weights=w[tokens], minlength=rows)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.exp(np.bincount(of_doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(docs)))
+        clean = np.exp(np.bincount(of_doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=docs))
         doc_p = np.clip(1 - clean, 1e-9, 1 - 1e-9)
         # d loglik / d z of a sentence: p for the label 1 as shared by noisy-or, -p for the label 0.
-        gz = p * (y / doc_p - 1)[of_doc] / len(docs)
+        gz = p * (y / doc_p - 1)[of_doc] / docs
         g = np.append(np.bincount(tokens, weights=gz[of_sentence], minlength=len(used)) - s.l2 * w, gz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = s.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
-        w, bias = np.where(speaks, np.maximum(w + move[:-1], 0.0), 0.0), bias + move[-1]
+        w, bias = np.maximum(w + move[:-1], 0.0), bias + move[-1]
     weights = np.zeros(s.buckets, dtype=np.float32)
     weights[used] = w
-    return Model(weights, float(bias), float((sum(bare) + 0.1) / (len(bare) + 1)))
+    return Model(weights, float(bias), float((bare.sum() + 0.1) / (len(bare) + 1)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -142,23 +144,17 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id: st
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            packed = []
+            lengths, words = [], []
             for t in f["text"]:
-                parts = [hashed(m[0], s.buckets) for m in SENTENCE.finditer(t or "")]
-                flat = np.array([x for p in parts if p for x in [len(p), *p]], dtype=np.int32)
-                packed.append(flat.tobytes())
-            yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "words": packed})
+                parts = [x for m in SENTENCE.finditer(t or "") if (x := hashed(m[0], s.buckets))]
+                lengths.append(np.array([len(x) for x in parts], dtype=np.int32).tobytes())
+                words.append(np.array([x for part in parts for x in part], dtype=np.int32).tobytes())
+            yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "lengths": lengths, "words": words})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInPandas(run, f"doc_id {kind}, y int, words binary").toPandas().sort_values(["doc_id", "y"], kind="stable")
-    sample = []
-    for y, packed in zip(got["y"], got["words"], strict=True):
-        flat, at, sentences = np.frombuffer(packed, dtype=np.int32), 0, []
-        while at < len(flat):
-            sentences.append(flat[at + 1 : at + 1 + flat[at]])
-            at += 1 + flat[at]
-        sample.append((int(y), [x.tolist() for x in sentences]))
-    return noisy_or_fit(sample, s)
+    got = rows.mapInPandas(run, f"doc_id {kind}, y int, lengths binary, words binary").toPandas().sort_values(["doc_id", "y", "words"], kind="stable")
+    lengths, words = (np.frombuffer(b"".join(got[c]), dtype=np.int32) for c in ("lengths", "words"))
+    return noisy_or_fit(got["y"].to_numpy(), got["lengths"].map(len).to_numpy() // 4, lengths, words, s)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
