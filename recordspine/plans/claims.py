@@ -10,7 +10,6 @@ from recordspine.functions import ladders
 from recordspine.operators import quality, relational
 from recordspine.plans.registry import query
 
-AS_OF = F.to_date(F.lit("2001-12-31"))
 IMPLEMENTED = ["occupancy", "portrait", "contact", "identity", "biography", "elections", "evidence", "monitoring"]
 
 
