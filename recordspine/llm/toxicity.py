@@ -105,7 +105,10 @@ def noisy_or_fit(y: np.ndarray, sentences: np.ndarray, lengths: np.ndarray, toke
     rows, docs = len(lengths), len(y)
     of_sentence = np.repeat(np.arange(rows, dtype=np.int32), lengths)
     of_doc = np.repeat(np.arange(docs, dtype=np.int32), sentences)
-    used, tokens = np.unique(tokens, return_inverse=True)
+    used = np.flatnonzero(np.bincount(tokens, minlength=s.buckets))
+    place = np.zeros(s.buckets, dtype=np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    tokens = place[tokens]
     pair = np.unique(of_doc[of_sentence].astype(np.int64) * len(used) + tokens)
     doc_of, word_of = pair // len(used), pair % len(used)
     pos = np.bincount(word_of, weights=y[doc_of], minlength=len(used))
