@@ -36,7 +36,7 @@ from recordspine.llm.common import materialize, table
 
 LENGTH = 200
 Q = 64
-PIECE = 1 << 20
+PIECE = 1 << 18
 STRETCH = 35
 BITMAP_BITS = 25
 _INDEX_BITS = U(22)
@@ -136,9 +136,11 @@ ROWS = "key long, p int, more int, lead int, alone boolean, bucket long, whole l
 def _all_runs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for of, p0, p1, anchor, bucket, whole in runs(batch.column(1).to_pylist()):
-                yield _rows(keys[of], p0, p1 - p0, anchor - p0, np.ones(len(of), dtype=bool), bucket, whole)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                keys = part.column(0).to_numpy()
+                for of, p0, p1, anchor, bucket, whole in runs(part.column(1).to_pylist()):
+                    yield _rows(keys[of], p0, p1 - p0, anchor - p0, np.ones(len(of), dtype=bool), bucket, whole)
 
     return docs.mapInArrow(run, ROWS)
 
