@@ -57,8 +57,8 @@ def roster_lines(lines: DataFrame, doc: str = "doc_id", pos: str = "pos", text:
     """Office, holder and term of rosters printed as text: an office line, then a name line, a term in brackets."""
     office = F.when(F.col(text).rlike(r"(?i)^(mayor|commissioner|clerk|sheriff|judge|property appraiser|tax collector)\b"), F.trim(text))
     rows = under_marker(lines, doc, pos, office)
-    term = F.regexp_extract(text, r"\(?(?:term|expires):?\s*(\d{4})\)?", 1)
-    name = F.trim(F.regexp_replace(text, r"\s*\(?(?:term|expires):?.*$", ""))
+    term = F.regexp_extract(text, r"(?i)\(?(?:term|expires):?\s*(\d{4})\)?", 1)
+    name = F.trim(F.regexp_replace(text, r"(?i)\s*\(?(?:term|expires):?.*$", ""))
     return rows.where(office.isNull() & F.col("section").isNotNull() & fn.looks_like_person_name(name)).select(doc, pos, F.col("section").alias("office"), name.alias("name"), F.nullif(term, F.lit("")).cast("int").alias("term_end"))
 
 
