@@ -7,7 +7,7 @@ path of least summed scores over all segmentations, so the lattice is also compo
 two pieces may follow each other only if merging their joined text gives just these two. Exactly the BPE segmentation
 is left (one path), which is the tropical shortest path, byte fallback having the highest weight.
 States are made only as they are reached.
-Pairs and words are memoised in bounded tables. The installed library reads the model's pieces and is the oracle in
+Pairs and words are memoised in bounded tables; a text is cut only where no piece could cross. The installed library reads the model's pieces and is the oracle in
 the tests; it doesn't encode here.
 
 Null texts have null pieces, empty texts none. A word mark that a text itself holds comes back as a space, as in the
@@ -16,7 +16,6 @@ library. Rows and extra columns pass through; columns named like the result's ar
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,6 @@ from recordspine.llm.common import table
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 WORD_LIMIT = 300_000
 ARC_LIMIT = 1_000_000
 
@@ -62,6 +60,8 @@ class PieceTransducer:
         self.spines: dict[tuple[str, int], list[tuple[str, float]]] = {}
         self.splits: dict[str, tuple[str, str]] = {}
         self.words = WordTable(self)
+        self.parts: dict[str, bytes] = {}
+        self.bigrams = {p[i : i + 2] for p in self.id_bytes for i in range(len(p) - 1)}
         self.surface_size = np.array([len(x) for x in surface], dtype=np.int64)
         self.surface_start = np.cumsum(self.surface_size) - self.surface_size
         self.surface_bytes = np.frombuffer(b"".join(surface) or b" ", dtype=np.uint8)
@@ -152,13 +152,29 @@ class PieceTransducer:
             return b"".join(map(self.id_bytes.__getitem__, pieces))
         return b"".join(self.id_bytes[x] if x else b"".join(self.byte_ids[c] for c in word[i].encode("utf-8", "replace")) for (i, _), x in zip(path, pieces, strict=True))
 
+    def compose(self, word: str) -> bytes:
+        """Pieces of a word, cut first wherever no piece holds the two characters that meet: no merge crosses there."""
+        bigrams, start, out = self.bigrams, 0, []
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in bigrams]
+        for end in [*cuts, len(word)]:
+            part = word[start:end]
+            got = self.parts.get(part)
+            if got is None:
+                if len(self.parts) >= WORD_LIMIT:
+                    self.parts.clear()
+                got = self.shortest_path(part)
+                if len(part) <= 64:
+                    self.parts[part] = got
+            out.append(got)
+            start = end
+        return b"".join(out)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        normal = MARK + text.replace(" ", MARK)
-        # No piece has a mark behind another character, so no merge crosses a word's end: words are encoded alone.
-        parts = [normal] if self.marks_inside else WORDS.findall(normal)
-        return b"".join(map(self.words.__getitem__, parts))
+        if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " " and not self.marks_inside:
+            return b"".join(map(self.words.__getitem__, text.split(" ")))
+        return self.compose(MARK + text.replace(" ", MARK))
 
     def decode(self, ids: np.ndarray) -> str:
         """The pieces' bytes one after the other, gathered from one table."""
@@ -171,7 +187,7 @@ class PieceTransducer:
 
 
 class WordTable(dict):
-    """Pieces of words met before; the older half goes when it is full."""
+    """Pieces of words behind a space that were met before; the older half goes when it is full."""
 
     def __init__(self, fst: PieceTransducer):
         self.fst, self.older = fst, {}
@@ -179,8 +195,8 @@ class WordTable(dict):
     def __missing__(self, word: str) -> bytes:
         got = self.older.get(word)
         if got is None:
-            got = self.fst.shortest_path(word)
-        if len(word) <= 64:
+            got = self.fst.compose(MARK + word)
+        if len(word) <= 24 and "\n" not in word:
             if len(self) >= WORD_LIMIT:
                 self.older = dict(self)
                 self.clear()
@@ -255,5 +271,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = decode(encode(docs))
     same = F.coalesce(F.col("decoded") == F.translate("text", MARK, " "), F.col("text").isNull())
-    spelled = F.concat_ws(",", F.col("piece_ids").cast("array<string>"))
-    return both.select("doc_id", F.greatest(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), F.sha2(spelled, 256).alias("ids_sha256"), F.char_length(F.coalesce("decoded", F.lit(""))).cast("long").alias("decoded_chars"), same.alias("round_trip"))
+    return both.select("doc_id", F.greatest(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_xxhash64"), F.char_length(F.coalesce("decoded", F.lit(""))).cast("long").alias("decoded_chars"), same.alias("round_trip"))
