@@ -6,11 +6,11 @@ numbers and names has the same template.
 1. Search: of a document every fourth window of 5 template tokens, of a benchmark item all of them; they meet in a
    hash join. Any common run of 8 tokens holds such a window, so no run of 8 is lost.
 2. Alignment: for the documents found, all windows of 8 tokens meet the item's; a document and an item are aligned by
-   the difference of positions, and matched windows cover item tokens. Windows with fewer than 4 ordinary tokens don't count.
+   the difference of positions, and matched windows cover item tokens. Windows with fewer than 4 different ordinary tokens don't count.
 3. Decision: an alignment counts from 13 covered tokens or half of the item's tokens. Its slots must be consistent: one
    value of the item (typed) stands for one value of the document throughout; else it is a chance match of templates.
 
-Items under 8 tokens are too short to tell and match nothing. Null and empty texts are clean. Repeated items or rows
+A copy all in capitals has no names to tell and matches between the item's names only. Items under 8 tokens are too short to tell and match nothing. Null and empty texts are clean. Repeated items or rows
 count once. The benchmark's windows are broadcast only after their number is known to be small; otherwise both sides
 are shuffled.
 """
@@ -77,7 +77,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(),
 
     whole = rows.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates()
     whole = materialize(whole.select("doc_id", tokens(F.col("text"), True).alias("doc_tokens")).withColumn("doc_template", template("doc_tokens")), "leak-texts")
-    ordinary = F.size(F.filter(F.slice("item_template", F.col("w.at") + 1, F.lit(s.window)), lambda x: ~x.startswith("#"))) >= s.ordinary
+    ordinary = F.size(F.array_distinct(F.filter(F.slice("item_template", F.col("w.at") + 1, F.lit(s.window)), lambda x: ~x.startswith("#")))) >= s.ordinary
     item_windows = items.select("item_id", "item_template", F.explode(windows("item_template", s.window)).alias("w")).where(ordinary).select("item_id", F.col("w.at").alias("item_at"), "w.h")
     item_windows = materialize(item_windows, "leak-windows")
     doc_windows = whole.select("doc_id", F.explode(windows("doc_template", s.window)).alias("w")).select("doc_id", F.col("w.at").alias("doc_at"), "w.h")
