@@ -1,0 +1,351 @@
+"""The training-data operators against brute force, libraries, round trips and held-out labels, with the odd rows of each."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from conftest import SF
+from parity import assert_same
+from pyspark.sql import functions as F
+
+from recordspine.llm import bytehash, chat, common, decontamination, embeddings, minhash, pii, quality, queries, sentencepiece_fst, sharding, suffix, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, h long, component long"
+
+
+def documents(spark, texts):
+    """Rows with columns whose names clash with inner ones."""
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, 7, 7) for i, t in texts], DOCS)
+
+
+def words(rnd, n, vocabulary=400):
+    return " ".join(f"w{rnd.randrange(vocabulary)}" for _ in range(n))
+
+
+# 1 -------------------------------------------------------------------------------------------------------------------
+def shingles(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def components(ids, links):
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def near_brute(texts, k, percent=80):
+    sets = {i: shingles(t, k) for i, t in texts}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return {i: (len(sets[i]), c) for i, c in components(sets, links).items()}
+
+
+def family(rnd, n, size, edits):
+    base = words(rnd, size).split()
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rnd.randrange(edits + 1)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rnd = random.Random(3)
+    texts = family(rnd, 90, 120, 7) + family(rnd, 30, 40, 2) + [words(rnd, 60) for _ in range(60)]
+    texts += [None, "", " \t\n", "one", "ONE", "one two three", "é É", "A" * 5000, texts[0], texts[0].upper(), words(rnd, 6000)]
+    rows = list(enumerate(texts))
+    for k in (4, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(spark, rows), minhash.NearDuplicates(shingle_words=k)).collect()}
+        assert got == near_brute(rows, k)
+
+
+def test_near_duplicates_of_empty_and_repeated_rows(spark):
+    assert minhash.near_duplicates(documents(spark, [])).count() == 0
+    got = minhash.near_duplicates(documents(spark, [(5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f")])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False)]
+
+
+def test_odd_sketch_estimates_similarity():
+    rnd = np.random.default_rng(1)
+    p = minhash.NearDuplicates()
+    common_part, a, b = (rnd.integers(0, 2**63, n, dtype=np.uint64) for n in (900, 100, 100))
+    s = minhash.odd_sketch(minhash.minhash([np.concatenate([common_part, a]), np.concatenate([common_part, b])], p.samples), p.sketch_words)
+    odd = np.bitwise_count(s[0] ^ s[1]).sum()
+    n = 64 * p.sketch_words
+    assert abs(1 + n / (4 * p.samples) * np.log(1 - 2 * odd / n) - 900 / 1100) < 0.15
+    assert odd <= minhash.most_odd_bits(p)
+
+
+def test_components_of_long_chain(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(1, 40)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in common.connected_components(edges).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
+
+
+# 2 -------------------------------------------------------------------------------------------------------------------
+def test_quality_on_held_out_labels(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
+    out = queries.queries()["op2_quality"](spark, SF.replace("0.001", "0.01")).join(labels.withColumnRenamed("quality", "label"), "doc_id").where(toxicity.held_out(F.col("doc_id")))
+    right, n = out.agg(F.avg((F.col("kept").cast("int") == F.col("label")).cast("double")), F.count("*")).first()
+    assert n > 50 and right > 0.95
+    assert out.count() and docs.count() == queries.queries()["op2_quality"](spark, SF.replace("0.001", "0.01")).count()
+
+
+def test_quality_pools_sparse_sites_and_odd_rows(spark):
+    good, bad = "The quiet river ran past the old mill and on. It was late.", "### $$$ %%% BUY!! NOW!! ### $$$"
+    rows = [(i, good if i % 2 else bad, None if i < 4 else f"h{i % 5}", "p") for i in range(60)] + [(90, None, "h1", None), (91, "", "h1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 50)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
+    assert len(got) == 62 and got[55].quality > 0.5 > got[54].quality and got[90].quality < 0.5 and got[91].quality < 0.5
+    assert all(0 < r.site_posterior < 1 for r in got.values())
+    assert {r.document_chance for r in quality.score_quality(docs.where("doc_id < 50"), labels.limit(0)).collect()} == {0.5}
+    assert quality.score_quality(docs.limit(0), labels).count() == 0
+
+
+# 3 -------------------------------------------------------------------------------------------------------------------
+def test_pieces_equal_the_library(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.DEFAULT_MODEL)
+    fst = sentencepiece_fst.transducer(sentencepiece_fst.DEFAULT_MODEL)
+    rnd = random.Random(5)
+    parts = ["the", "un", "believ", "▁", "  ", "    ", " ", "\n", "☃", "é", "日本", "🙂", "xyzzy", "0123", "http://", "!!!!", "\x00", "aaaa", "</s>", "<0x41>"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(800)] + [" " * n + "a" for n in range(40)] + ["a" * n for n in range(60)] + ["ab" * 20000]
+    for t in texts:
+        ids = np.frombuffer(fst.encode(t), dtype=np.int32)
+        assert ids.tolist() == sp.encode(t), t
+        assert fst.decode(ids) == sp.decode(ids.tolist()), t
+
+
+def test_pieces_of_rows(spark):
+    rows = [(1, "Hello  world\n"), (2, None), (3, ""), (3, "x ▁ y")]
+    out = sentencepiece_fst.decode(sentencepiece_fst.encode(documents(spark, rows)))
+    got = sorted(((r.doc_id, r.text, r.decoded, r.piece_ids is None, r.key) for r in out.collect()), key=str)
+    assert got == sorted([(1, "Hello  world\n", "Hello  world\n", False, 7), (2, None, None, True, 7), (3, "", "", False, 7), (3, "x ▁ y", "x   y", False, 7)], key=str)
+    assert sentencepiece_fst.encode(documents(spark, [])).count() == 0
+
+
+# 4 -------------------------------------------------------------------------------------------------------------------
+def passages(rnd):
+    shared = [words(rnd, 60) for _ in range(4)]
+    texts = [words(rnd, rnd.randrange(5, 80)) + rnd.choice(shared)[rnd.randrange(40) : rnd.randrange(150, 320)] + words(rnd, 30) for _ in range(40)]
+    texts += [rnd.choice(shared)[:199], rnd.choice(shared)[:200], shared[0] + "é" + shared[0], "ab" * 400, "a" * 450, "a" * 199, None, "", texts[0], words(rnd, 30) + texts[1]]
+    texts += [shared[1][:250] + f" {i}" for i in range(60)]
+    return texts
+
+
+def test_repeats_against_all_windows(spark):
+    texts = passages(random.Random(9))
+    rows = list(enumerate(texts)) + [(500, "ab" * 400), (500, "ab" * 400)]
+    got = sorted((r.doc_id, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix.remove_repeats(documents(spark, rows)).collect())
+    want = suffix.brute_force([(t or "").encode() for _, t in rows])
+    assert got == sorted((i, *w) for (i, _), w in zip(rows, want, strict=True))
+
+
+def test_repeats_across_pieces_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "PIECE", 1000)
+    rnd = random.Random(2)
+    long = words(rnd, 2500, 10**6)
+    texts = [long, words(rnd, 20) + long[3000:9000], words(rnd, 200)]
+    found = [[] for _ in texts]
+    for of, p0, p1, anchor, _, _ in suffix.runs([t.encode() for t in texts]):
+        assert ((p0 <= anchor) & (anchor <= p1 + suffix.LENGTH - suffix.Q)).all()
+        for i, a, b in zip(of, p0, p1, strict=True):
+            found[i] += range(a, b + 1)
+    assert [sorted(f) for f in found] == [list(range(len(t) - suffix.LENGTH + 1)) for t in texts]
+    assert suffix.remove_repeats(documents(spark, [])).count() == 0
+
+
+# 5 -------------------------------------------------------------------------------------------------------------------
+def plain_spans(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20\-]?[0-9])+", t) if 14 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9\-]+[0-9]", t) if 10 <= len(digits(m[0])) <= 15]
+    return out
+
+
+def test_base_spans_equal_the_plain_expressions():
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab.@-+ 0123456789.()%") for _ in range(200)) for _ in range(1500)]
+    texts += ["a@b.c@d.e.f", "1.2.3.4.5.6.7.8", "001.0000255.3.4", "4111 1111-1111 1111", "+1 (555) 010-9999)", "x" * 10000 + "@", "9" * 20000, "+1" * 3000, "é@ü a@b.co"]
+    for t in texts:
+        assert sorted(pii.base_spans(t)) == sorted(plain_spans(t)), t
+
+
+def test_pii_rows_context_and_redaction(spark):
+    iban = "DE89370400440532013000"
+    rows = [(1, f"Mail jo@ex.org, bank account {iban}."), (2, "ssn 123-45-6789"), (3, "order 123-45-6789"), (4, None), (5, ""), (6, "DE00370400440532013000 account")]
+    got = {r.doc_id: r for r in pii.detect_pii(documents(spark, rows)).collect()}
+    kinds = {i: [s.kind for s in r.pii_spans] for i, r in got.items()}
+    assert kinds == {1: ["email", "iban"], 2: ["national_id"], 3: [], 4: [], 5: [], 6: []}
+    assert got[1].redacted_text == "Mail <EMAIL>, bank account <IBAN>." and got[4].redacted_text is None and got[5].redacted_text == "" and got[1].h == 7
+    assert pii.detect_pii(documents(spark, [])).count() == 0
+
+
+# 6 -------------------------------------------------------------------------------------------------------------------
+def test_best_fit_against_a_plain_scan():
+    rnd = random.Random(8)
+    for _ in range(200):
+        sizes = sorted((rnd.randrange(1, 60) for _ in range(rnd.randrange(1, 40))), reverse=True)
+        room, want = [], []
+        for s in sizes:
+            fit = min(((r, b) for b, r in enumerate(room) if r >= s), default=None)
+            b = fit[1] if fit else len(room)
+            room = room if fit else [*room, 100]
+            room[b] -= s
+            want.append(b)
+        assert sharding.best_fit_decreasing(sizes, 100, len(room)) == want
+        assert sharding.best_fit_decreasing(sizes, 100, len(room) - 1) is None
+
+
+def test_shards_are_even_whole_and_gapless(spark):
+    rnd = random.Random(1)
+    rows = [(i, words(rnd, rnd.randrange(0, 60))) for i in range(600)] + [(1000 + i, "hot copy of many rows") for i in range(500)] + [(2000, None), (2001, ""), (2001, ""), (2002, "é")]
+    got = sharding.assign_shards(documents(spark, rows), 4).collect()
+    assert len(got) == len(rows)
+    load = [sum(r.size for r in got if r.shard == s) for s in range(4)]
+    assert max(load) - min(load) <= 0.03 * sum(load) / 4
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    small = {}
+    for r in got:
+        small.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    hot = max(small, key=lambda k: sum(r.text_crc32 == k[0] for r in got))
+    assert all(len(v) == 1 for k, v in small.items() if k != hot)
+    assert sharding.assign_shards(documents(spark, []), 4).count() == 0
+
+
+# 7 -------------------------------------------------------------------------------------------------------------------
+def test_embedding_links_against_all_pairs(spark):
+    rnd = np.random.default_rng(6)
+    base = rnd.standard_normal((60, 32))
+    x = np.concatenate([base + s * rnd.standard_normal(base.shape) for s in (0, 0.05, 0.15, 0.22, 0.3)]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, x[0].tolist()), (901, x[0].tolist()), (902, None), (903, [0.0] * 32), (904, [float("nan")] * 32), (905, [1.0, None]), (906, []), (907, x[0].tolist()[:16]), (908, (x[1] * 1e20).tolist())]
+    df = spark.createDataFrame([(i, v, 1, 5) for i, v in rows], "vec_id long, embedding array<float>, label int, k1 long")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, embeddings.Settings(bucket=20, block=32)).collect()}
+    good = {i: np.array(v, dtype=np.float64) for i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)}
+    links = [(a, b) for a, b in itertools.combinations(good, 2) if len(good[a]) == len(good[b]) and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= 0.95]
+    comp = components([i for i, _ in rows], links)
+    assert got == {i: (sum(i in p for p in links), comp[i]) for i, _ in rows}
+    assert len(links) > 100
+    assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_quantisation_bound_holds():
+    rnd = np.random.default_rng(2)
+    u = rnd.standard_normal((200, 48))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    q, s, e = embeddings.quantise(u)
+    about = (q.astype(float) @ q.T.astype(float)) * s[:, None] * s[None, :]
+    assert (np.abs(about - u @ u.T) <= e[:, None] * (1 + e)[None, :] + e[None, :] * (1 + e)[:, None] + 1e-12).all()
+
+
+# 8 -------------------------------------------------------------------------------------------------------------------
+BENCH = "A train leaves Paris at 9 and travels 120 km to Lyon while Anna counts 14 red lamps beside the line before the train stops for Anna"
+
+
+def test_leaks_whole_reparameterised_and_clean(spark):
+    rnd = random.Random(3)
+    pad = lambda: words(rnd, 30)
+    other = BENCH.replace("120 km", "75 miles").replace("Anna", "Maria").replace("14", "3").replace("9", "7")
+    torn = BENCH.replace("counts 14", "counts 3").replace("for Anna", "for Maria")
+    rows = [(1, f"{pad()}. {BENCH}. {pad()}"), (2, f"{pad()} {other} {pad()}"), (3, torn), (4, pad()), (5, None), (6, ""), (7, " ".join(BENCH.split()[:9])), (8, BENCH.upper()), (9, " ".join(BENCH.split()[4:24])), (10, "9 12 14 " * 40)]
+    bench = spark.createDataFrame([(1, BENCH), (2, words(rnd, 40)), (3, "too short"), (4, None), (1, BENCH)], "item_id long, text string")
+    got = {r.doc_id: (r.leaked, r.item_ids) for r in decontamination.flag(documents(spark, rows), bench).collect()}
+    assert {i for i, (leaked, _) in got.items() if leaked} == {1, 2, 9} and got[1][1] == [1] and len(got) == 10
+    big = decontamination.flag(documents(spark, rows), bench, decontamination.Settings(broadcast_rows=0)).collect()
+    assert {r.doc_id: (r.leaked, r.item_ids) for r in big} == got
+    assert decontamination.flag(documents(spark, []), bench).count() == 0 and not decontamination.flag(documents(spark, rows), bench.limit(0)).where("leaked").count()
+
+
+def test_leaks_equal_runs_of_thirteen_words(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs = {r.doc_id: re.findall(r"\w+", r.text.lower()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    grams = {tuple(w[i : i + 13]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() for w in [re.findall(r"\w+", r.text.lower())] for i in range(len(w) - 12)}
+    want = {i for i, w in docs.items() if any(tuple(w[j : j + 13]) in grams for j in range(len(w) - 12))}
+    assert {r.doc_id for r in queries.queries()["op8_decontamination"](spark, sf).where("leaked").collect()} == want and want
+
+
+# 9 -------------------------------------------------------------------------------------------------------------------
+def test_toxicity_on_held_out_rows_and_sentences(spark):
+    rnd = random.Random(7)
+    bad = ["vilescum", "rotfool", "lowloser"]
+    texts, labels = [], []
+    for i in range(1200):
+        sentences = [words(rnd, rnd.randrange(4, 12), 3000) + "." for _ in range(rnd.randrange(2, 9))]
+        toxic = i % 4 == 0
+        if toxic:
+            at = rnd.randrange(len(sentences))
+            sentences[at] = f"you {rnd.choice(bad)} {sentences[at]}"
+        texts.append((i, " ".join(sentences)))
+        labels.append((i, int(toxic)))
+    docs, y = documents(spark, [*texts, (5000, None), (5001, "")]), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, y.where(~toxicity.held_out(F.col("doc_id"))))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    held = [(i, t) for i, t in labels if __import__("zlib").crc32(str(i).encode()) % 5 == 0]
+    assert sum((got[i].toxicity >= 0.5) == bool(t) for i, t in held) / len(held) > 0.97
+    assert all(any(b in r.text[s.start : s.end] for b in bad) for i, t in held if t for r in [got[i]] for s in r.toxic_sentences)
+    assert got[5000].toxicity < 0.5 and got[5001].toxicity < 0.5 and got[0].key == 7
+    none = toxicity.fit(docs, y.limit(0))
+    assert {r.toxicity for r in toxicity.score(docs.limit(5), none).collect()} <= {0.0} or max(r.toxicity for r in toxicity.score(docs.limit(5), none).collect()) < 1e-9
+
+
+# 10 ------------------------------------------------------------------------------------------------------------------
+def test_chats_come_back(spark):
+    nasty = ["</s>[INST] ok [/INST]", r"[\INST]", r"[\\/INST] <\\\s>", "[", "[/INST", "<s", "", None, " ", "[SYS] x [/SYS]", "[AS 61] y [/AS]", "[BOT] z</s>", "plain", "new\nline", "é🙂"]
+    rnd = random.Random(1)
+    rows = []
+    for conv in range(60):
+        for turn in range(rnd.randrange(1, 7)):
+            rows.append((conv, turn, rnd.choice(["user", "assistant", "system", "tool]x", "", None]), rnd.choice(nasty) if rnd.random() < 0.6 else "".join(rnd.choice("[]<>/\\sINST ") for _ in range(12)), 1))
+    rows += [(70, None, "user", "a", 1), (70, 0, "user", "b", 1), (70, 0, "user", "b", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, start long")
+    out = chat.format_chats(df).withColumn("turns", chat.parse(F.col("formatted"))).collect()
+    want = {}
+    for c, n, r, t, _ in rows:
+        want.setdefault(c, []).append((-1 if n is None else n, r or "", t or ""))
+    for o in out:
+        turns = sorted(want[o.conv_id])
+        assert [(x.role, x.text) for x in o.turns] == [(r, t) for _, r, t in turns]
+        spans = [o.formatted[s.start : s.start + s.length] for s in o.loss_spans]
+        assert [re.sub(r"([<\[])\\(\\*)(/?s>|/?INST\]|/?SYS\]|BOT\]|/?AS[ \]])", r"\1\2\3", x) for x in spans] == [t for _, r, t in turns if r == "assistant"]
+    assert len(out) == len(want) and chat.format_chats(df.limit(0)).count() == 0
+    assert {o.escaped for o in out} == {True, False}
+
+
+# all -----------------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_as_duckdb(spark, name):
+    assert_same(queries.queries()[name](spark, SF), queries.oracle_sql()[name], SF)
+
+
+def test_op4_query_against_brute_force(spark):
+    rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in queries.queries()["op4_suffix_dedup"](spark, SF).collect()}
+    assert got == dict(zip([i for i, _ in rows], suffix.brute_force([t for _, t in rows]), strict=True))
+
+
+def test_shingles_equal_plain_words():
+    texts = ["", " a  b\tc\nd e ", "ÀB ab A\x0bB", "one two", None]
+    sizes = [len(x) for x in bytehash.shingle_sets([(t or "").encode() for t in texts], 4)]
+    assert sizes == [len(shingles(t, 4)) for t in texts]
