@@ -29,24 +29,26 @@ class Settings:
     least_variance: float = 1e-5
 
 
-def shares(text: Column) -> dict[str, Column]:
-    """Bounded measures of a text, each from 0 to about 1."""
-    n = F.greatest(F.char_length(text), F.lit(1))
-    words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    n_words = F.greatest(F.size(words), F.lit(1))
-    without = lambda pattern: (n - F.char_length(F.regexp_replace(text, pattern, ""))) / n
-    lines = F.filter(F.split(text, r"\n"), lambda x: x != "")
-    return {
-        "upper": without(r"\p{Lu}+"),
-        "symbols": without(r"[#$%&*|<>{}\[\]=_~^@!\\/]+"),
-        "digits": without(r"\p{N}+"),
-        "distinct": F.size(F.array_distinct(words)) / n_words,
-        "distinct_roots": F.size(F.array_distinct(words)) / F.sqrt(n_words) / 30,
-        "line_copies": 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
-        "sentence_ends": F.least((n - F.char_length(F.regexp_replace(text, r"[.?]+", ""))) / n_words, F.lit(1.0)),
-        "word_length": F.least(n / n_words / 20, F.lit(2.0)),
-        "size": F.least(F.log2(n + 1) / 20, F.lit(1.5)),
-    }
+MEASURES = ("upper", "symbols", "digits", "distinct", "distinct_roots", "line_copies", "sentence_ends", "word_length", "size")
+
+
+def with_measures(docs: DataFrame, text: str) -> DataFrame:
+    """docs with _body and the bounded measures of a text, each from 0 to about 1.
+
+    Built in steps, so that Spark splits a text once and not again wherever a measure is used.
+    """
+    out = docs.withColumn("_body", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    out = out.withColumns({"_n": F.greatest(F.char_length("_body"), F.lit(1)), "_words": F.split("_body", r"[ \n\t]+"), "_lines": F.split("_body", "\n")})
+    left = lambda pattern: F.char_length(F.regexp_replace("_body", pattern, ""))
+    out = out.withColumns({
+        "_w": F.size("_words"), "_dw": F.size(F.array_distinct("_words")), "_l": F.size("_lines"), "_dl": F.size(F.array_distinct("_lines")),
+        "_upper": left(r"\p{Lu}+"), "_symbols": left(r"[#$%&*|<>{}\[\]=_~^@!\\/]+"), "_digits": left("[0-9]+"), "_ends": left("[.?]+"),
+    }).drop("_words", "_lines")
+    c, n = F.col, F.col("_n")
+    return out.withColumns({
+        "upper": (n - c("_upper")) / n, "symbols": (n - c("_symbols")) / n, "digits": (n - c("_digits")) / n, "distinct": c("_dw") / c("_w"), "distinct_roots": c("_dw") / F.sqrt(c("_w")) / 30,
+        "line_copies": 1 - c("_dl") / c("_l"), "sentence_ends": F.least((n - c("_ends")) / c("_w"), F.lit(1.0)), "word_length": F.least(n / c("_w") / 20, F.lit(2.0)), "size": F.least(F.log2(n + 1) / 20, F.lit(1.5)),
+    })
 
 
 def logistic(x: np.ndarray, y: np.ndarray, s: Settings) -> np.ndarray:
@@ -64,30 +66,27 @@ def logistic(x: np.ndarray, y: np.ndarray, s: Settings) -> np.ndarray:
     return w
 
 
-def document_chance(docs: DataFrame, labels: DataFrame, s: Settings, doc_id: str, text: str, label: str) -> Column:
-    """Column of the chance that docs.text is good, fitted on labels; a plain expression, so scoring stays in the JVM."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    named = shares(body)
+def document_chance(measured: DataFrame, labels: DataFrame, s: Settings, doc_id: str, label: str) -> Column:
+    """Column of the chance that a document is good, over the measures and fitted on labels; scoring stays in the JVM."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
     n = known.count()
     if n > s.sample_rows:
         known = known.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(n)) < s.sample_rows)
-    rows = docs.where(F.length(body) > 0).select(F.col(doc_id).alias("_id"), F.col(text)).join(known, "_id")
-    got = rows.select("_id", "_y", *(v.cast("double").alias(k) for k, v in named.items())).toPandas().sort_values(["_id", "_y"], kind="stable")
+    got = measured.where("not_empty").select(F.col("doc_id").alias("_id"), *MEASURES).join(known, "_id").toPandas().sort_values(["_id", "_y"], kind="stable")
     y = got["_y"].to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
-        return F.when(F.length(body) == 0, 0.02).otherwise(0.5)
-    x = got[list(named)].to_numpy(dtype=float)
+        return F.when(~F.col("not_empty"), 0.02).otherwise(0.5)
+    x = got[list(MEASURES)].to_numpy(dtype=float)
     mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = (x - mean) / spread
     # Squares let both too little and too much of a share count.
     w = logistic(np.column_stack([z, np.minimum(z * z, 9)]), y, s)
     total = F.lit(float(w[-1]))
-    for i, v in enumerate(named.values()):
-        zi = (v - float(mean[i])) / float(spread[i])
-        total = total + zi * float(w[i]) + F.least(zi * zi, F.lit(9.0)) * float(w[len(named) + i])
+    for i, k in enumerate(MEASURES):
+        zi = (F.col(k) - float(mean[i])) / float(spread[i])
+        total = total + zi * float(w[i]) + F.least(zi * zi, F.lit(9.0)) * float(w[len(MEASURES) + i])
     chance = 1 / (1 + F.exp(-total))
-    return F.when(F.length(body) == 0, 0.02).otherwise(F.least(F.greatest(chance, F.lit(0.001)), F.lit(0.999)))
+    return F.when(~F.col("not_empty"), 0.02).otherwise(F.least(F.greatest(chance, F.lit(0.001)), F.lit(0.999)))
 
 
 def strength(groups: DataFrame, n: str, mean: str, parent: str, s: Settings) -> float:
@@ -105,9 +104,10 @@ def strength(groups: DataFrame, n: str, mean: str, parent: str, s: Settings) ->
 
 def score_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality") -> DataFrame:
     """(doc_id, document_chance, site_posterior, quality) of every row of docs."""
-    own = document_chance(docs, labels, s, doc_id, text, label)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), own.alias("p"))
-    rows = materialize(rows, "quality-documents")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col(text).alias("text"))
+    # A row of numbers for each document; texts are read once.
+    measured = materialize(with_measures(slim, "text").select("doc_id", "host", "path", (F.length("_body") > 0).alias("not_empty"), *MEASURES), "quality-measures")
+    rows = measured.select("doc_id", "host", "path", document_chance(measured, labels, s, doc_id, label).alias("p"))
     paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss"))
     paths = materialize(paths, "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("ss").alias("hss"))
