@@ -26,7 +26,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,8 +159,13 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def packed(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
-    """(key, doc_id, packed text) of the rows whose key is in the bitmap, or of all others."""
+def _inside(keys: pa.Array, bits: np.ndarray) -> np.ndarray:
+    h = keys.to_numpy().view(U) >> U(64 - BITMAP_BITS)
+    return (bits.view(U)[(h >> U(6)).astype(np.int64)] >> (h & U(63))) & U(1) == 1
+
+
+def packed(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(key, doc_id, packed text) of the rows whose key is in the bitmap."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +173,9 @@ def packed(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
 
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            h = batch.column(0).to_numpy().view(U) >> U(64 - BITMAP_BITS)
-            hit = (sent.value.view(U)[(h >> U(6)).astype(np.int64)] >> (h & U(63))) & U(1) == 1
-            chosen = batch.filter(pa.array(hit if inside else ~hit))
-            for lo in range(0, chosen.num_rows, 512):
-                part = chosen.slice(lo, 512)
+            chosen = batch.filter(pa.array(_inside(batch.column(0), sent.value)))
+            for lo in range(0, chosen.num_rows, 256):
+                part = chosen.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack.compress(t) for t in part.column(2).to_pylist()], type=pa.binary())], names=["key", "doc_id", "packed"])
 
     return docs.mapInArrow(run, f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, packed binary")
@@ -206,6 +208,7 @@ def _cut(docs: DataFrame, chosen: DataFrame, how) -> DataFrame:
 
 def _level(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Window ranges (key, p, more) that repeat for certain, and one copy of each string that is still open."""
+    rows = materialize(rows, f"suffix-{name}-rows")
     buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1")
     buckets = materialize(buckets.select("bucket", (F.col("lo") == F.col("hi")).alias("final")), f"suffix-{name}-buckets")
     left = materialize(rows.join(buckets, "bucket"), f"suffix-{name}")
@@ -222,11 +225,21 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """(key, p, more): window starts p to p+more of rows (key, doc_id, text as binary) whose strings start elsewhere too."""
     by_run, chosen = _level(_all_runs(docs.select("key", "text")), "runs")
     by_stretch, chosen = _level(_cut(docs, chosen, stretches), "stretches")
-    windows = materialize(_cut(docs, chosen, single_windows), "suffix-windows")
-    by_window, _ = _level(windows, "windows")
+    by_window, _ = _level(_cut(docs, chosen, single_windows), "windows")
     return by_run.unionByName(by_stretch).unionByName(by_window)
 
 
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def _joined_sorted(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of intervals that are sorted by start."""
+    reach = np.maximum.accumulate(ends)
+    first = np.flatnonzero(np.concatenate(([True], starts[1:] > reach[:-1])))
+    last = np.concatenate((first[1:] - 1, [len(starts) - 1]))
+    return list(zip(starts[first].tolist(), reach[last].tolist(), strict=True))
+
+
 def _joined(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted(intervals):
@@ -237,6 +250,17 @@ def _joined(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _outside(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows whose key isn't in the bitmap, as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~_inside(batch.column(0), sent.value)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row: spans are the removed byte ranges, kept the remaining bytes."""
     body = F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")
@@ -245,26 +269,32 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = materialize(repeated_runs(rows), "suffix-found")
     bits = bitmap(found)
     spans = found.groupBy("key").agg(F.collect_list(F.struct("p", "more")).alias("found"))
-    none = F.lit(None).cast("array<struct<p:int,more:int>>").alias("found")
-    both = packed(rows, bits).join(spans, "key", "left").select("doc_id", "packed", "found").unionByName(packed(rows, bits, inside=False).select("doc_id", "packed", none))
+    hit = packed(rows, bits).join(spans, "key", "left").select("doc_id", "packed", "found")
+    whole = _outside(rows, bits).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast(SPANS).alias("spans"), F.col("text").alias("kept"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        for f in frames:
-            for lo in range(0, len(f), 256):
-                out = []
-                for doc, packed, hits in zip(f["doc_id"][lo : lo + 256], f["packed"][lo : lo + 256], f["found"][lo : lo + 256], strict=True):
-                    data = unpack.decompress(packed)
-                    spans = _joined([(h["p"], h["p"] + h["more"] + LENGTH) for h in hits]) if hits is not None else []
-                    edges = [0, *(x for s in spans for x in s), len(data)]
-                    kept = b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-                    out.append((doc, len(data), [{"start": s, "end": e} for s, e in spans], kept))
-                yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                sizes, all_spans, rest = [], [], []
+                for text, hits in zip(part.column(1), part.column(2), strict=True):
+                    data = unpack.decompress(text.as_py())
+                    cut = []
+                    if hits.is_valid:
+                        p, more = (np.asarray(hits.values.field(k)) for k in ("p", "more"))
+                        order = np.argsort(p, kind="stable")
+                        cut = _joined_sorted(p[order], (p + more)[order] + LENGTH)
+                    edges = [0, *(x for span in cut for x in span), len(data)]
+                    sizes.append(len(data))
+                    all_spans.append([{"start": a, "end": b} for a, b in cut])
+                    rest.append(b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(all_spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(rest, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return both.mapInPandas(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return hit.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans {SPANS}, kept binary").unionByName(whole)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
