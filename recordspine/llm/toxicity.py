@@ -22,6 +22,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class Settings:
-    sample_rows: int = 6_000
+    sample_rows: int = 5_000
     buckets: int = 1 << 18
     steps: int = 80
     rate: float = 0.1
@@ -105,15 +106,20 @@ def noisy_or_fit(y: np.ndarray, sentences: np.ndarray, lengths: np.ndarray, toke
     rows, docs = len(lengths), len(y)
     of_sentence = np.repeat(np.arange(rows, dtype=np.int32), lengths)
     of_doc = np.repeat(np.arange(docs, dtype=np.int32), sentences)
-    used = np.flatnonzero(np.bincount(tokens, minlength=s.buckets))
+    seen = np.zeros(s.buckets, dtype=bool)
+    seen[tokens] = True
+    used = np.flatnonzero(seen)
     place = np.zeros(s.buckets, dtype=np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     tokens = place[tokens]
-    pair = np.unique(of_doc[of_sentence].astype(np.int64) * len(used) + tokens)
-    doc_of, word_of = pair // len(used), pair % len(used)
-    pos = np.bincount(word_of, weights=y[doc_of], minlength=len(used))
-    neg = np.bincount(word_of, weights=1 - y[doc_of], minlength=len(used))
-    del pair, doc_of, word_of
+    pos, neg = np.zeros(len(used)), np.zeros(len(used))
+    ends = np.searchsorted(of_sentence, np.cumsum(sentences))  # documents with a bucket, a few hundred at a time
+    for lo in range(0, docs, 256):
+        a, b = ends[lo - 1] if lo else 0, ends[min(lo + 256, docs) - 1]
+        pair = np.unique(of_doc[of_sentence[a:b]].astype(np.int64) * len(used) + tokens[a:b])
+        labels = y[pair // len(used)]
+        pos += np.bincount(pair % len(used), weights=labels, minlength=len(used))
+        neg += np.bincount(pair % len(used), weights=1 - labels, minlength=len(used))
     lift = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (docs - y.sum() + 1))
     # Only what speaks for the label may carry weight; the rest is noise that long sentences would add up.
     speaks = (pos >= s.least_documents) & (lift > s.least_lift)
@@ -155,9 +161,12 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id: st
             yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "lengths": lengths, "words": words})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInPandas(run, f"doc_id {kind}, y int, lengths binary, words binary").toPandas().sort_values(["doc_id", "y", "words"], kind="stable")
-    lengths, words = (np.frombuffer(b"".join(got[c]), dtype=np.int32) for c in ("lengths", "words"))
-    return noisy_or_fit(got["y"].to_numpy(), got["lengths"].map(len).to_numpy() // 4, lengths, words, s)
+    got = rows.mapInPandas(run, f"doc_id {kind}, y int, lengths binary, words binary").toArrow()
+    got = got.take(pc.sort_indices(got, sort_keys=[("doc_id", "ascending"), ("y", "ascending")]))
+    y, sentences = got.column("y").to_numpy(), pc.binary_length(got.column("lengths")).to_numpy() // 4
+    lengths, words = (np.frombuffer(b"".join(x.as_py() for x in got.column(c)), dtype=np.int32) for c in ("lengths", "words"))
+    del got
+    return noisy_or_fit(y, sentences, lengths, words, s)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
