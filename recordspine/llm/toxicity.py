@@ -61,7 +61,7 @@ class Model:
                 for w in words:
                     x = known.get(w)
                     if x is None:
-                        if len(known) > 500_000:
+                        if len(known) > 100_000:
                             known.clear()
                         x = known[w] = float(self.weights[features(w, len(self.weights))].sum())
                     z += x
@@ -82,7 +82,7 @@ def features(word: str, buckets: int) -> list[int]:
     key = (word, buckets)
     got = _known.get(key)
     if got is None:
-        if len(_known) > 300_000:
+        if len(_known) > 30_000:
             _known.clear()
         w = word.lower()
         got = _known[key] = [crc32(x.encode("utf-8", "surrogatepass")) % buckets for x in (w, *(f"{w[:n]}-" for n in range(3, min(len(w), 7))))]
