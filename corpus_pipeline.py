@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item."""
-    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), decontamination.WHOLE)
     return docs.join(materialize(leaks.select("doc_id").distinct(), "pipeline-leaks"), "doc_id", "left_anti")
 
 

@@ -8,7 +8,10 @@ numbers and names has the same template.
 2. Alignment: for the documents found, all windows of 8 tokens meet the item's; a document and an item are aligned by
    the difference of positions, and matched windows cover item tokens. Windows with fewer than 4 different ordinary tokens don't count.
 3. Decision: an alignment counts from 13 covered tokens or half of the item's tokens. Its slots must be consistent: one
-   value of the item (typed) stands for one value of the document throughout; else it is a chance match of templates.
+   value of the item (typed) stands for one value of the document; else it is a chance match of templates. With
+   Settings.whole, as the query and the pipeline have it, this is asked of each stretch, not of the whole alignment: the
+   tokens of an unbroken stretch count if the stretch is consistent, or as far as 13 tokens in a row (or half an item)
+   in it are, so that one changed name does not clear a text. Without it one clash rejects the alignment.
 
 A copy all in capitals has no names to tell and matches between the item's names only. Items under 8 tokens are too short to tell and match nothing. Null and empty texts are clean. Repeated items or rows
 count once. The benchmark's windows are broadcast only after their number is known to be small; otherwise both sides
@@ -39,6 +42,11 @@ class Settings:
     run: int = 13
     share: float = 0.5
     broadcast_rows: int = 2_000_000
+    whole: bool = False
+
+
+# What the query and the pipeline use; the plain default keeps to templates and asks consistency of whole alignments.
+WHOLE = Settings(whole=True)
 
 
 def tokens(text: Column, values: bool) -> Column:
@@ -63,6 +71,22 @@ def template(column: str) -> Column:
     return F.transform(column, lambda x: F.split_part(x, F.lit("="), F.lit(1)))
 
 
+def consistent(aligned: Column) -> Column:
+    """Whether each value of the item stands for one value of the document in these aligned tokens."""
+    slots = F.array_distinct(F.transform(F.filter(aligned, lambda x: x["ours"].startswith("#")), lambda x: F.struct(x["ours"].alias("ours"), x["theirs"].alias("theirs"))))
+    return F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda x: x["ours"])))
+
+
+def count_stretches(need: Column) -> Column:
+    """Number of tokens in column aligned (by position) that lie in a consistent stretch, or in need consistent tokens in a row."""
+    runs = F.array_distinct(F.transform("aligned", lambda x: x["run"]))
+    even = F.filter(runs, lambda r: consistent(F.filter("aligned", lambda x: x["run"] == r)))
+    of_runs = F.transform(F.filter("aligned", lambda x: F.array_contains(even, x["run"])), lambda x: x["at"])
+    heads = F.filter(F.sequence(F.lit(1), F.size("aligned") - need + 1), lambda i: (F.get("aligned", i - 1)["run"] == F.get("aligned", i + need - 2)["run"]) & consistent(F.slice("aligned", i, need)))
+    of_heads = F.flatten(F.transform(heads, lambda i: F.transform(F.slice("aligned", i, need), lambda x: x["at"])))
+    return F.size(F.array_union(of_runs, of_heads))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, covered, share): one row for each document and benchmark item that it holds."""
     items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text), True).alias("item_tokens")).where(F.size("item_tokens") >= s.window).dropDuplicates()
@@ -83,13 +107,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(),
     doc_windows = whole.select("doc_id", F.explode(windows("doc_template", s.window)).alias("w")).select("doc_id", F.col("w.at").alias("doc_at"), "w.h")
     hits = doc_windows.join(near(item_windows), "h").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at").distinct()
     lined = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_at").alias("starts"))  # at most an item's windows
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(x, x + s.window - 1))))
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(x, x + s.window - 1)))))
     lined = lined.select("doc_id", "item_id", "shift", covered.alias("covered"))
-    both = lined.join(near(items.select("item_id", "item_tokens")), "item_id").where((F.size("covered") >= s.run) | (F.size("covered") >= s.share * F.size("item_tokens")))
+    need = F.least(F.lit(s.run), F.ceil(s.share * F.size("item_tokens")).cast("int"))
+    both = lined.join(near(items.select("item_id", "item_tokens")), "item_id").where(F.size("covered") >= need)
     both = both.join(whole.select("doc_id", "doc_tokens"), "doc_id")
-    slots = F.filter(F.transform("covered", lambda p: F.struct(F.get("item_tokens", p).alias("ours"), F.get("doc_tokens", p + F.col("shift")).alias("theirs"))), lambda x: x["ours"].startswith("#"))
-    both = both.withColumn("slots", F.array_distinct(slots)).where(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["ours"]))))
-    return both.groupBy("doc_id", "item_id").agg(F.max(F.size("covered")).cast("long").alias("covered"), F.max(F.size("covered") / F.size("item_tokens")).alias("share"))
+    aligned = F.transform("covered", lambda p, i: F.struct(p.alias("at"), (p - i).alias("run"), F.get("item_tokens", p).alias("ours"), F.get("doc_tokens", p + F.col("shift")).alias("theirs")))
+    both = both.select("doc_id", "item_id", F.size("item_tokens").alias("size"), need.alias("need"), aligned.alias("aligned"))
+    counted = count_stretches(F.col("need")) if s.whole else F.when(consistent(F.col("aligned")), F.size("aligned")).otherwise(0)
+    found = both.select("doc_id", "item_id", "size", "need", counted.alias("covered")).where("covered >= need")
+    return found.groupBy("doc_id", "item_id").agg(F.max("covered").cast("long").alias("covered"), F.max(F.col("covered") / F.col("size")).alias("share"))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), **columns: str) -> DataFrame:
@@ -103,5 +130,5 @@ def flag(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), **colu
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = flag(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    out = flag(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), WHOLE)
     return out.select("doc_id", "leaked", "n_items", F.concat_ws(",", F.col("item_ids").cast("array<string>")).alias("item_ids"))

@@ -278,6 +278,20 @@ def test_leaks_whole_reparameterised_and_clean(spark):
     assert decontamination.flag(documents(spark, []), bench).count() == 0 and not decontamination.flag(documents(spark, rows), bench.limit(0)).where("leaked").count()
 
 
+def leaks(spark, rows, bench):
+    found = decontamination.flag(documents(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), decontamination.WHOLE)
+    return {r.doc_id: r.item_ids for r in found.collect() if r.leaked}
+
+
+def test_leaks_with_one_clashing_value(spark):
+    torn = BENCH.replace("counts 14", "counts 3").replace("for Anna", "for Maria")
+    clash = " ".join(BENCH.split()[14:]).replace("14", "3").replace("for Anna", "for Maria")
+    every = "then 4 men met Anna near 4 men by Anna and 4 men left Anna with 4 men"
+    chance = "then 5 men met Eve near 6 men by Maria and 7 men left Rosa with 8 men"
+    rows = [(1, torn), (2, f"so {BENCH} and {torn}"), (3, clash), (4, chance), (5, every), (6, words(random.Random(4), 40))]
+    assert leaks(spark, rows, [(1, BENCH), (2, every)]) == {1: [1], 2: [1], 3: [1], 5: [2]}
+
+
 def test_leaks_equal_runs_of_thirteen_words(spark):
     sf = SF.replace("0.001", "0.01")
     docs = {r.doc_id: re.findall(r"\w+", r.text.lower()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
