@@ -13,7 +13,10 @@ numbers and names has the same template.
    tokens of an unbroken stretch count if the stretch is consistent, or as far as 13 tokens in a row (or half an item)
    in it are, so that one changed name does not clear a text. Without it one clash rejects the alignment.
 
-A copy all in capitals has no names to tell and matches between the item's names only. Items under 8 tokens are too short to tell and match nothing. Null and empty texts are clean. Repeated items or rows
+4. Plain words: with Settings.whole the same search and alignment run over plain lower-cased words, without
+   placeholders; an alignment counts from 13 covered words or half of the item's. So copies in other capitals are found.
+
+Without Settings.whole, a copy all in capitals has no names to tell and matches between the item's names only. Items under 8 tokens are too short to tell and match nothing. Null and empty texts are clean. Repeated items or rows
 count once. The benchmark's windows are broadcast only after their number is known to be small; otherwise both sides
 are shuffled.
 """
@@ -52,7 +55,7 @@ WHOLE = Settings(whole=True)
 def tokens(text: Column, values: bool) -> Column:
     """Array of template tokens; with values, placeholders read like #num=12."""
     shown = "=$0" if values else ""
-    t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[#=]", " ")
+    t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[#=\s\p{Z}]+", " ")
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:)] )\p{Lu}\p{Ll}+(?![\p{L}])", f"#name{shown}")
     t = F.regexp_replace(t, NUMBER, f" #num{shown} ")
     unit = rf"(?i)(#num{'=[^ ]*' if values else ''} +)({UNITS})(?![\p{{L}}])"
@@ -60,6 +63,11 @@ def tokens(text: Column, values: bool) -> Column:
     return F.filter(F.split(F.lower(t), SEPARATOR), lambda x: x != "")
 
 
+def plain_words(text: Column) -> Column:
+    """Array of lower-cased words and numbers."""
+    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+
+
 def windows(column: str, n: int, step: int = 1) -> Column:
     """Array of hashes of each step-th window of n tokens."""
     last = F.size(column) - n
@@ -87,35 +95,45 @@ def count_stretches(need: Column) -> Column:
     return F.size(F.array_union(of_runs, of_heads))
 
 
+def line_up(doc_windows: DataFrame, item_windows: DataFrame, window: int) -> DataFrame:
+    """(doc_id, item_id, shift, covered): the item positions that matched windows cover, for each difference of positions."""
+    hits = doc_windows.join(item_windows, "h").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at").distinct()
+    lined = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_at").alias("starts"))  # at most an item's windows
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(x, x + window - 1)))))
+    return lined.select("doc_id", "item_id", "shift", covered.alias("covered"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, covered, share): one row for each document and benchmark item that it holds."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text), True).alias("item_tokens")).where(F.size("item_tokens") >= s.window).dropDuplicates()
+    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text), True).alias("item_tokens"), plain_words(F.col(item_text)).alias("item_words")).where(F.greatest(F.size("item_tokens"), F.size("item_words")) >= s.window).dropDuplicates()
     items = materialize(items.withColumn("item_template", template("item_tokens")), "leak-items")
-    keys = materialize(items.select(F.explode(windows("item_template", s.search_words)).alias("w"), "item_id").select("w.h", "item_id").distinct(), "leak-keys")
+    searched = lambda template, words, step: F.concat(windows(template, s.search_words, step), windows(words, s.search_words, step)) if s.whole else windows(template, s.search_words, step)
+    keys = materialize(items.select(F.explode(searched("item_template", "item_words", 1)).alias("w")).select("w.h").distinct(), "leak-keys")
     small = keys.count() <= s.broadcast_rows
     near = (lambda x: F.broadcast(x)) if small else (lambda x: x)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    seen = rows.select("doc_id", tokens(F.col("text"), False).alias("t")).select("doc_id", F.explode(windows("t", s.search_words, s.stride)).alias("w")).select("doc_id", "w.h")
-    pairs = materialize(seen.join(near(keys), "h").select("doc_id", "item_id").distinct(), "leak-pairs")
-
-    whole = rows.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates()
-    whole = materialize(whole.select("doc_id", tokens(F.col("text"), True).alias("doc_tokens")).withColumn("doc_template", template("doc_tokens")), "leak-texts")
-    ordinary = F.size(F.array_distinct(F.filter(F.slice("item_template", F.col("w.at") + 1, F.lit(s.window)), lambda x: ~x.startswith("#")))) >= s.ordinary
-    item_windows = items.select("item_id", "item_template", F.explode(windows("item_template", s.window)).alias("w")).where(ordinary).select("item_id", F.col("w.at").alias("item_at"), "w.h")
-    item_windows = materialize(item_windows, "leak-windows")
-    doc_windows = whole.select("doc_id", F.explode(windows("doc_template", s.window)).alias("w")).select("doc_id", F.col("w.at").alias("doc_at"), "w.h")
-    hits = doc_windows.join(near(item_windows), "h").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at").distinct()
-    lined = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_at").alias("starts"))  # at most an item's windows
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(x, x + s.window - 1)))))
-    lined = lined.select("doc_id", "item_id", "shift", covered.alias("covered"))
-    need = F.least(F.lit(s.run), F.ceil(s.share * F.size("item_tokens")).cast("int"))
-    both = lined.join(near(items.select("item_id", "item_tokens")), "item_id").where(F.size("covered") >= need)
+    seen = rows.select("doc_id", tokens(F.col("text"), False).alias("t"), plain_words(F.col("text")).alias("p")).select("doc_id", F.explode(searched("t", "p", s.stride)).alias("w")).select("doc_id", "w.h")
+    near_docs = materialize(seen.join(near(keys), "h", "left_semi").select("doc_id").distinct(), "leak-docs")
+
+    whole = rows.join(near_docs, "doc_id", "left_semi").dropDuplicates()
+    whole = materialize(whole.select("doc_id", tokens(F.col("text"), True).alias("doc_tokens"), plain_words(F.col("text")).alias("doc_words")).withColumn("doc_template", template("doc_tokens")), "leak-texts")
+    ordinary = lambda column, other: F.size(F.array_distinct(F.filter(F.slice(column, F.col("w.at") + 1, F.lit(s.window)), lambda x: ~x.rlike(other)))) >= s.ordinary
+    item_windows = lambda column, other: materialize(items.select("item_id", column, F.explode(windows(column, s.window)).alias("w")).where(ordinary(column, other)).select("item_id", F.col("w.at").alias("item_at"), "w.h"), "leak-windows")
+    doc_windows = lambda column: whole.select("doc_id", F.explode(windows(column, s.window)).alias("w")).select("doc_id", F.col("w.at").alias("doc_at"), "w.h")
+
+    lined = line_up(doc_windows("doc_template"), near(item_windows("item_template", "^#")), s.window)
+    needed = lambda column: F.least(F.lit(s.run), F.ceil(s.share * F.size(column)).cast("int"))
+    both = lined.join(near(items.select("item_id", "item_tokens")), "item_id").where(F.size("covered") >= needed("item_tokens"))
     both = both.join(whole.select("doc_id", "doc_tokens"), "doc_id")
     aligned = F.transform("covered", lambda p, i: F.struct(p.alias("at"), (p - i).alias("run"), F.get("item_tokens", p).alias("ours"), F.get("doc_tokens", p + F.col("shift")).alias("theirs")))
-    both = both.select("doc_id", "item_id", F.size("item_tokens").alias("size"), need.alias("need"), aligned.alias("aligned"))
+    both = both.select("doc_id", "item_id", F.size("item_tokens").alias("size"), needed("item_tokens").alias("need"), aligned.alias("aligned"))
     counted = count_stretches(F.col("need")) if s.whole else F.when(consistent(F.col("aligned")), F.size("aligned")).otherwise(0)
-    found = both.select("doc_id", "item_id", "size", "need", counted.alias("covered")).where("covered >= need")
+    found = both.select("doc_id", "item_id", "size", "need", counted.alias("covered")).where("covered >= need").select("doc_id", "item_id", "size", "covered")
+    if s.whole:
+        worded = line_up(doc_windows("doc_words"), near(item_windows("item_words", r"^\p{N}")), s.window)
+        worded = worded.join(near(items.select("item_id", "item_words")), "item_id").where(F.size("covered") >= needed("item_words"))
+        found = found.unionByName(worded.select("doc_id", "item_id", F.size("item_words").alias("size"), F.size("covered").alias("covered")))
     return found.groupBy("doc_id", "item_id").agg(F.max("covered").cast("long").alias("covered"), F.max(F.col("covered") / F.col("size")).alias("share"))
 
 

@@ -292,6 +292,18 @@ def test_leaks_with_one_clashing_value(spark):
     assert leaks(spark, rows, [(1, BENCH), (2, every)]) == {1: [1], 2: [1], 3: [1], 5: [2]}
 
 
+def test_leaks_in_other_capitals_and_line_breaks(spark):
+    named = "yesterday Anna told Bob that Eve and Carl with Dora saw Fritz and Gina near Hans while Ida met Jon"
+    rows = [(1, BENCH.upper()), (2, BENCH.lower()), (3, f"so {named.lower()}"), (4, named.replace(" ", "  ")), (5, named.replace(" ", "\n")), (6, words(random.Random(5), 40).upper())]
+    assert leaks(spark, rows, [(1, BENCH), (2, named)]) == {1: [1], 2: [1], 3: [2], 4: [2], 5: [2]}
+    moved = re.sub(" (?=[A-Z])", "\n  ", named.replace("Anna", "Olga"))
+    assert [r.t for r in documents(spark, [(1, named), (2, moved)]).select(decontamination.tokens(F.col("text"), False).alias("t")).distinct().collect()] == [decontamination_template(named)]
+
+
+def decontamination_template(text):
+    return re.sub(r"(?<= )[A-Z][a-z]+", "#name", text).split()
+
+
 def test_leaks_equal_runs_of_thirteen_words(spark):
     sf = SF.replace("0.001", "0.01")
     docs = {r.doc_id: re.findall(r"\w+", r.text.lower()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
