@@ -15,15 +15,20 @@ numbers and names has the same template.
 
 4. Plain words: with Settings.whole the same search and alignment run over plain lower-cased words, without
    placeholders; an alignment counts from 13 covered words or half of the item's. So copies in other capitals are found.
+5. Literal words: with Settings.whole any 13 words in a row that equal the item's also count, and of an item under 13
+   words the whole item. This holds for tables, lists and repeated words too, whose windows don't count above, and for
+   items under 8 words; signs between words don't matter. An item of one word is thus in each text with that word.
 
-Without Settings.whole, a copy all in capitals has no names to tell and matches between the item's names only. Items under 8 tokens are too short to tell and match nothing. Null and empty texts are clean. Repeated items or rows
-count once. The benchmark's windows are broadcast only after their number is known to be small; otherwise both sides
+Without Settings.whole, a copy all in capitals has no names to tell and matches between the item's names only, and items
+under 8 tokens match nothing. Null and empty texts are clean. Repeated items or rows count once. The benchmark's windows are broadcast only after their number is known to be small; otherwise both sides
 are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,11 +73,11 @@ def plain_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
 
 
-def windows(column: str, n: int, step: int = 1) -> Column:
+def windows(column: str, n: int | Column, step: int = 1) -> Column:
     """Array of hashes of each step-th window of n tokens."""
     last = F.size(column) - n
     starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(column, i + 1, F.lit(n))).alias("h")))
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(column, i + 1, n if isinstance(n, Column) else F.lit(n))).alias("h")))
 
 
 def template(column: str) -> Column:
@@ -103,9 +108,23 @@ def line_up(doc_windows: DataFrame, item_windows: DataFrame, window: int) -> Dat
     return lined.select("doc_id", "item_id", "shift", covered.alias("covered"))
 
 
+def literal(rows: DataFrame, whole: DataFrame, items: DataFrame, near: Callable[[DataFrame], DataFrame], s: Settings) -> DataFrame:
+    """(doc_id, item_id, size, covered): 13 words in a row, or all of a shorter item. From window words on, whole has all documents that can match."""
+    n = F.least(F.lit(s.run), F.size("item_words"))
+    keys = items.select("item_id", F.size("item_words").alias("size"), n.alias("covered"), F.explode(windows("item_words", n)).alias("w")).select("item_id", "size", "covered", "w.h").distinct()
+    keys = materialize(keys, "leak-literals")
+    lengths = [r.covered for r in keys.select("covered").distinct().collect()]  # at most 13
+    hashed = lambda texts, sizes: texts.select("doc_id", F.explode(F.array_distinct(F.transform(F.concat(*[windows("doc_words", k) for k in sizes]), lambda w: w["h"]))).alias("h"))
+    short, long = ([k for k in lengths if (k < s.window) == x] for x in (True, False))
+    sides = [hashed(whole, long)] if long else []
+    sides += [hashed(rows.select("doc_id", plain_words(F.col("text")).alias("doc_words")), short)] if short else []
+    found = [x.join(near(keys), "h").select("doc_id", "item_id", "size", "covered").distinct() for x in sides]
+    return reduce(DataFrame.unionByName, found) if found else whole.crossJoin(keys).select("doc_id", "item_id", "size", "covered").limit(0)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, covered, share): one row for each document and benchmark item that it holds."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text), True).alias("item_tokens"), plain_words(F.col(item_text)).alias("item_words")).where(F.greatest(F.size("item_tokens"), F.size("item_words")) >= s.window).dropDuplicates()
+    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text), True).alias("item_tokens"), plain_words(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0 if s.whole else F.size("item_tokens") >= s.window).dropDuplicates()
     items = materialize(items.withColumn("item_template", template("item_tokens")), "leak-items")
     searched = lambda template, words, step: F.concat(windows(template, s.search_words, step), windows(words, s.search_words, step)) if s.whole else windows(template, s.search_words, step)
     keys = materialize(items.select(F.explode(searched("item_template", "item_words", 1)).alias("w")).select("w.h").distinct(), "leak-keys")
@@ -134,6 +153,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(),
         worded = line_up(doc_windows("doc_words"), near(item_windows("item_words", r"^\p{N}")), s.window)
         worded = worded.join(near(items.select("item_id", "item_words")), "item_id").where(F.size("covered") >= needed("item_words"))
         found = found.unionByName(worded.select("doc_id", "item_id", F.size("item_words").alias("size"), F.size("covered").alias("covered")))
+        found = found.unionByName(literal(rows, whole, items, near, s))
     return found.groupBy("doc_id", "item_id").agg(F.max("covered").cast("long").alias("covered"), F.max(F.col("covered") / F.col("size")).alias("share"))
 
 

@@ -304,6 +304,16 @@ def decontamination_template(text):
     return re.sub(r"(?<= )[A-Z][a-z]+", "#name", text).split()
 
 
+def test_leaks_of_tables_repeated_words_and_short_items(spark):
+    powers = " ".join(str(3**i) for i in range(20))
+    songs = "row row row your boat " * 4
+    items = [(1, powers), (2, songs), (3, "Name the capital of France"), (4, "2 4 6 8 10 12 14 16 18"), (5, ""), (6, None), (7, "--")]
+    pad = words(random.Random(6), 30)
+    rows = [(1, f"{pad} {powers} {pad}"), (2, f"{pad} {songs}"), (3, f"{pad}. name the capital of france!"), (4, f"{pad} 2, 4, 6, 8, 10, 12, 14, 16, 18"), (5, " ".join(powers.split()[3:16])), (6, " ".join(str(5**i) for i in range(20))), (7, "name the capital of Spain"), (8, "2 4 6 8 10 12 14 16 20"), (9, " ".join(powers.split()[3:15])), (10, None), (11, "")]
+    assert leaks(spark, rows, items) == {1: [1], 2: [2], 3: [3], 4: [4], 5: [1]}
+    assert leaks(spark, rows, items[4:]) == {}
+
+
 def test_leaks_equal_runs_of_thirteen_words(spark):
     sf = SF.replace("0.001", "0.01")
     docs = {r.doc_id: re.findall(r"\w+", r.text.lower()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
