@@ -1,7 +1,8 @@
 """Personal data in texts: expressions propose spans, checksums confirm them, nearby words adjust the score.
 
 Kinds of the base (kept whatever their score): email, ip (parts at most 255), card (14 to 19 digits, Luhn),
-phone (+, 10 to 15 digits). Added kinds, kept from a score of 0.5: iban (mod-97) and national_id (grouped or plain
+phone (+, 10 to 15 digits). Added kinds, kept from a score of 0.5: iban (mod-97 over the length of its country; of
+other codes the longest end from 34 to 15 characters that no capital or digit follows) and national_id (grouped or plain
 digits that only context words make likely). Every expression runs in linear time, also on very long runs of one
 character. Null and empty texts have no spans. Rows, order and extra columns pass through untouched; columns of the
 same names as the result's are replaced.
@@ -22,7 +23,14 @@ LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+$")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Z0-9])")
+IBAN_START = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){1,30}")
+IBAN_LENGTHS = {
+    c: n for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items() for c in codes.split()
+}
 NATIONAL_ID = re.compile(r"(?<![0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9})(?![0-9-])")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -71,6 +79,22 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping IBANs; a start that is none hides no later one."""
+    done = 0
+    for m in IBAN_START.finditer(text):
+        if m.start() < done:
+            continue
+        at = [i for i in range(m.start(), IBAN_REST.match(text, m.end()).end()) if text[i] != " "]
+        known = IBAN_LENGTHS.get(m[0][:2])
+        for n in (known,) if known else range(len(at), 14, -1):
+            end = at[n - 1] + 1 if n <= len(at) else 0
+            if end and not re.match("[A-Z0-9]", text[end : end + 1]) and mod97("".join(text[i] for i in at[:n])):
+                yield m.start(), end
+                done = end
+                break
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", s, e) for s, e in emails(text)]
     out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.groups())]
@@ -96,7 +120,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
         return []
     out = [(*x, score(text, *x)) for x in base_spans(text)]
     taken = [(s, e) for _, s, e, _ in out]
-    extra = [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    extra = [("iban", *x) for x in ibans(text)]
     extra += [("national_id", *m.span()) for m in NATIONAL_ID.finditer(text)]
     for kind, s, e in extra:
         p = score(text, kind, s, e)

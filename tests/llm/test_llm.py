@@ -202,6 +202,17 @@ def test_pii_rows_context_and_redaction(spark):
     assert pii.detect_pii(documents(spark, [])).count() == 0
 
 
+def test_ibans_before_capitals_and_digits():
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"):
+        for before, after in (("", ""), ("account ", " Please pay"), ("account ", " 2024"), ("IBAN ", " A B C"), ("konto AB12 ", " 12 May"), ("", f" {iban}"), ("(", ").")):
+            text = f"bank {before}{iban}{after}"
+            want = [m.span() for m in re.finditer(iban, text)]
+            assert list(pii.ibans(text)) == want and [x[1:3] for x in pii.find_spans(text) if x[0] == "iban"] == want
+            assert iban not in pii.redact(text, pii.find_spans(text))
+    assert not [x for t in ("DE89370400440532013001 Please", "DE8937040044053201300 0A", "DE89370400440532013000X", "DE89 3704", "AB12", "DE89") for x in pii.ibans(t)]
+    assert pii.redact("account DE89370400440532013000 Please pay", pii.find_spans("account DE89370400440532013000 Please pay")) == "account <IBAN> Please pay"
+
+
 # 6 -------------------------------------------------------------------------------------------------------------------
 def test_best_fit_against_a_plain_scan():
     rnd = random.Random(8)
