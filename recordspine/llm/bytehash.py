@@ -1,6 +1,8 @@
 """Numpy hashing of whole texts as bytes: words, word shingles and all fixed-length windows, many texts at a time.
 
-A polynomial over a random byte table, modulo 2**64: with prefix sums any window's hash is two look-ups and one product.
+Windows: a polynomial over a random byte table, modulo 2**64: with prefix sums any window's hash is two look-ups and one
+product. Words: a multilinear hash, random table entry of the byte times a random number of its place in the word; a
+polynomial modulo 2**64 gives long words of the Thue-Morse kind equal hashes whatever the table.
 """
 
 from __future__ import annotations
@@ -59,24 +61,41 @@ def chunks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+WORD_TABLES = _RNG.integers(0, 2**64, (2, 256), dtype=U)
+WORD_SALTS = _RNG.integers(0, 2**64, 2, dtype=U)
+
+
+def place_numbers(n: int, seed: int) -> np.ndarray:
+    """A random number for each of the first n places of a word."""
+    return mix(mix(np.arange(n, dtype=U) + U(seed << 40)) + WORD_SALTS[seed])
+
+
+_FIRST_PLACES = [place_numbers(4096, seed) for seed in (0, 1)]
+
+
+def word_hashes(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case, in order, and each text's first word's index (with the end)."""
     joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    lower = joined + ((joined >= 65) & (joined <= 90)).astype(np.uint8) * np.uint8(32)
     gap = (joined == 32) | ((joined >= 9) & (joined <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    sums = prefix_sums(lower)
-    _, down = powers(len(lower))
-    words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return words, np.searchsorted(starts, offsets)
-
-
-def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
-    """Each text's sorted distinct k-word shingles; with 1 to k-1 words the whole sequence as one; without words none."""
+    if not len(starts):
+        return np.empty(0, dtype=U), np.zeros(len(offsets), dtype=np.int64)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    letters = joined[~gap]
+    letters = letters + ((letters >= 65) & (letters <= 90)).astype(np.uint8) * np.uint8(32)
+    place = np.arange(len(letters)) - np.repeat(first, sizes)
+    terms = WORD_TABLES[seed][letters] * (_FIRST_PLACES[seed] if sizes.max() <= 4096 else place_numbers(int(sizes.max()), seed))[place]
+    return mix(np.add.reduceat(terms, first) + sizes.astype(U)), np.searchsorted(starts, offsets)
+
+
+def shingle_sets(texts: list[bytes], k: int, seed: int = 0) -> Iterator[np.ndarray]:
+    """Each text's sorted distinct k-word shingles; with 1 to k-1 words the whole sequence as one; without words none.
+    Seeds 0 and 1 give independent hashes of the words."""
     for lo, hi in chunks(texts):
-        words, first = word_hashes(texts[lo:hi])
+        words, first = word_hashes(texts[lo:hi], seed)
         n = len(words)
         if n >= k:
             flat = words[: n - k + 1] * SHINGLE_MULTIPLIERS[0]

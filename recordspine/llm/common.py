@@ -16,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """Folder that the driver and all executors share: spark.checkpoint.dir; where it is unset, a temporary one, but only
+    in local mode, since on a cluster no other machine would see it."""
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="spark-shared-")
@@ -31,7 +34,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordspine/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize wrote for these tables; nothing that is still to run may read them."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -45,7 +58,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = materialize(both, "cc-edges")
     labels = both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component"))
-    labels = materialize(labels, "cc-labels")
+    written = labels = materialize(labels, "cc-labels")
     while True:
         seen = labels.select(F.col("node").alias("dst"), F.col("component").alias("theirs"))
         near = both.join(seen, "dst").groupBy("src").agg(F.min("theirs").alias("near")).withColumnRenamed("src", "node")
@@ -53,6 +66,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         up = labels.select(F.col("node").alias("one"), F.col("component").alias("two"))
         nxt = one.join(up, "one").select("node", F.col("was"), F.least("one", "two").alias("component"))
         nxt = materialize(nxt, "cc-labels")
-        labels = nxt.select("node", "component")
+        discard(written)
+        written, labels = nxt, nxt.select("node", "component")
         if nxt.where("component <> was").isEmpty():
+            discard(both)
             return labels

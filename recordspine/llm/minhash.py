@@ -2,19 +2,23 @@
 
 1. One pass over whole texts makes each document's shingle set and keeps of it: its size, a 128-bit key of the whole
    set, one hash per band of MinHash values, and an odd sketch: all MinHash values folded into a bitmap by parity.
-2. Equal sets collapse to their smallest doc_id. Only these representatives go on.
-3. Representatives that share a band hash are candidates. In each bucket the smallest and the largest member are
-   compared with all others (2m pairs, not m*m). Two sketches' XOR has about 2k(1-J) odd bits; pairs whose estimate lies
-   under the threshold by more than `sketch_margin` are dropped, all others are confirmed on their full sets.
-4. Buckets of four and more that still hold several components are searched to the end: buckets with the same most
-   common component form a family, and its outsiders (members of other components) are compared with all its members,
-   exactly, in blocks of bounded size. Pairs inside the common component need nothing more. A block returns a spanning
-   set of its links, never pairs.
-5. Connected components over the confirmed links; members take their representative's.
+2. Equal sets collapse to one node, written with a number of its own. Only nodes go on.
+3. Nodes that share a band hash are candidates. In each bucket the most central member (the one with the fullest
+   buckets) is compared with all others: m pairs, not m*m. Two sketches' XOR has about 2k(1-J) odd bits; pairs whose
+   estimate lies under the threshold by more than `sketch_margin` are dropped, all others are confirmed on their full
+   sets, made with a second hash of the words.
+4. Buckets that still hold several components are searched to the end. Each member is set against its bucket's hub H:
+   of a linked pair (x, y) either both share a shingle that H lacks, or their common part lies in H. For the first case
+   x and y meet in a hash join on the rarest shingles that H lacks: of n shingles the first n - ceil(2tn/(1+t)) + 1 of the
+   smaller set and the first n - ceil(tn) + 1 of the larger one, or no such pair is linked (prefix filtering). For the
+   second, the part in H must reach t/(1+t) of both sizes, which few members not linked to H do. Pairs in one component
+   are never made. No step emits the pairs of a group, except those of the second case that sizes alone allow.
+5. Connected components over the confirmed links; members take their node's.
 
 With 24 bands of 4 a pair at similarity 0.8 shares no band with a chance of 3e-6; a pair's sketch misses by the margin
 (6 standard deviations at 0.8) with less. Everything found is confirmed exactly. Null and empty texts and texts without words
-have empty sets and link with nothing; repeated doc_ids with one text count once; an empty table gives no rows.
+have empty sets and link with nothing; repeated rows count once; a doc_id with several texts is one document each time, which
+text is told by text_hash. Extra columns are not read, so that their names can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordspine.llm.bytehash import U, chunks, mix, shingle_sets
-from recordspine.llm.common import connected_components, materialize, table
+from recordspine.llm.common import connected_components, discard, materialize, table
 
 
 @dataclass(frozen=True)
@@ -41,8 +45,6 @@ class NearDuplicates:
     samples: int = 96  # MinHash values, all of them in the sketch
     sketch_words: int = 8  # 64-bit words of the sketch
     sketch_margin: float = 0.25
-    outsiders: int = 40  # of a block of the search
-    members: int = 80
 
 
 _MULTIPLIERS = np.random.default_rng(7).integers(0, 2**63, 4096, dtype=U) * U(2) + U(1)
@@ -87,13 +89,25 @@ def most_odd_bits(p: NearDuplicates) -> int:
     return int(n / 2 * (1 - np.exp(-4 * p.samples * (1 - low) / n)))
 
 
-def signatures(docs: DataFrame, p: NearDuplicates, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, key1, key2, bands, sketch); bands and sketch are null for empty sets."""
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row number each row reaches over the links."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def signatures(docs: DataFrame, p: NearDuplicates) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, key1, key2, bands, sketch) of (doc_id, text_hash, text); bands and sketch are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, column = batch.column(0), batch.column(1).to_pylist()
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in column]
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             for lo, hi in chunks(texts):
                 sets = list(shingle_sets(texts[lo:hi], p.shingle_words))
                 n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -109,135 +123,168 @@ def signatures(docs: DataFrame, p: NearDuplicates, doc_id: str = "doc_id", text:
                     for c in (0, 1):
                         keys[full, c] = np.add.reduceat(mix(flat + _SALTS[c]), starts)
                 empty = pa.array(n == 0)
-                of = lambda a, w: pa.ListArray.from_arrays(pa.array(np.arange(0, w * len(sets) + 1, w, dtype=np.int32)), pa.array(a.view(np.int64).ravel()), mask=empty)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n), pa.array(keys[:, 0].copy().view(np.int64)), pa.array(keys[:, 1].copy().view(np.int64)), of(bands, p.bands), of(sketch, p.sketch_words)], names=["doc_id", "n_shingles", "key1", "key2", "bands", "sketch"])
+                columns = [pa.array(n), *(pa.array(keys[:, c].copy().view(np.int64)) for c in (0, 1)), lists(bands, empty), lists(sketch, empty)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), *columns], names=["doc_id", "text_hash", "n_shingles", "key1", "key2", "bands", "sketch"])
+
+    slim = docs.select("doc_id", "text_hash", "text")
+    return slim.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, key1 long, key2 long, bands array<long>, sketch array<long>")
+
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sketch array<long>")
+def lists(rows: np.ndarray, empty: pa.Array) -> pa.Array:
+    width = rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(rows) + 1, width, dtype=np.int32)), pa.array(rows.view(np.int64).ravel()), mask=empty)
 
 
 def odd_bits(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame, first: str, second: str) -> DataFrame:
+    """The pairs with both texts. The text of second comes first, so that the pairs of a common first can be split."""
+    for column in (second, first):
+        pairs = pairs.join(texts.select(F.col("node").alias(column), F.col("text").alias(f"text_{column}")), column)
+    return pairs
+
+
+def set_pairs(frame: pd.DataFrame, first: str, second: str, k: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, set of first, set of second); a first that repeats is made once."""
+    last, kept = None, np.empty(0, dtype=U)
+    for i, (a, ta, tb) in enumerate(zip(frame[first], frame[f"text_{first}"], frame[f"text_{second}"], strict=True)):
+        if a != last:
+            last, kept = a, next(shingle_sets([ta.encode("utf-8", "surrogatepass")], k, seed))
+        yield i, kept, next(shingle_sets([tb.encode("utf-8", "surrogatepass")], k, seed))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold. The texts travel to the pairs, each pair with b's."""
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")  # a hub's pairs can be split
+    """The pairs (a, b) whose full shingle sets reach the threshold."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, kept = None, np.empty(0, dtype=U)
         for f in frames:
             hit = []
-            for a, b, ta, tb in zip(f["a"], f["b"], f["text_a"], f["text_b"], strict=True):
-                if a != last:
-                    last, kept = a, next(shingle_sets([ta.encode("utf-8", "surrogatepass")], p.shingle_words))
-                own = next(shingle_sets([tb.encode("utf-8", "surrogatepass")], p.shingle_words))
-                both_have = len(np.intersect1d(kept, own, assume_unique=True))
-                if 100 * both_have >= p.percent * (len(kept) + len(own) - both_have):
-                    hit.append((a, b))
-            yield pd.DataFrame(hit, columns=["a", "b"]).astype("int64")
-
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
-
-
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of two lists of sets, as products of 0/1 matrices over the shared shingles."""
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
-    one, two = (np.concatenate(x) if len(x) else np.empty(0, dtype=U) for x in (left, right))
-    both = np.intersect1d(one, two)
-    for lo in range(0, len(both), 4096):
-        part = both[lo : lo + 4096]
-        dense = []
-        for flat, sets in ((one, left), (two, right)):
-            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
-            hit = part[at] == flat
-            m = np.zeros((len(sets), len(part)), dtype=np.float32)
-            m[np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit], at[hit]] = 1
-            dense.append(m)
-        out += dense[0] @ dense[1].T
-    return out.astype(np.int64)
+            for i, x, y in set_pairs(f, "a", "b", p.shingle_words, 1):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= p.percent * (len(x) + len(y) - both):
+                    hit.append(i)
+            yield f.loc[f.index[hit], ["a", "b"]]
 
+    return with_texts(pairs, texts, "a", "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row number each row reaches over the links."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
 
+def against_hubs(members: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
+    """(hub, node, n, inside, outside) of (hub, node): the size of the node's set, how many of it are in the hub's, and the others."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            n, outside = [], []
+            for _, x, y in set_pairs(f, "hub", "node", p.shingle_words, 0):
+                n.append(len(y))
+                outside.append(np.setdiff1d(y, x, assume_unique=True).view(np.int64))
+            sizes = np.array(n, dtype=np.int64)
+            yield pd.DataFrame({"hub": f["hub"].to_numpy(), "node": f["node"].to_numpy(), "n": sizes, "inside": sizes - np.array([len(o) for o in outside], dtype=np.int64), "outside": outside})
+
+    return with_texts(members, texts, "hub", "node").select("hub", "node", "text_hub", "text_node").mapInPandas(run, "hub long, node long, n long, inside long, outside array<long>")
 
-def search_families(members: DataFrame, labels: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Links (a, b) that join different components of a bucket: all of them up to connectedness."""
-    now = members.where("n > 3").select("h", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    now = materialize(now, "minhash-search")
-    common = now.groupBy("h").agg(F.mode("component", True).alias("family"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "family")
-    in_family = materialize(now.join(common, "h").select("family", "doc_id", "component").distinct(), "minhash-families")
-    sizes = in_family.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("component") != F.col("family")).alias("r"))
-    sizes = materialize(sizes.select("family", F.ceil(F.col("r") / p.outsiders).cast("int").alias("ni"), F.ceil(F.col("m") / p.members).cast("int").alias("nj")), "minhash-family-sizes")
-    placed = in_family.join(sizes, "family").withColumns({"i": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("ni")).cast("int"), "j": F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("nj")).cast("int")})
-    outsider = placed.where("component <> family").withColumns({"j": F.explode(F.sequence(F.lit(0), F.col("nj") - 1)), "outsider": F.lit(True)})
-    member = placed.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("ni") - 1)), "outsider": F.lit(False)})
-    columns = ["family", "i", "j", "outsider", "doc_id", "component"]
-    blocks = outsider.select(*columns).unionByName(member.select(*columns)).join(texts, "doc_id")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("doc_id", kind="stable")
-        left, right = f[f["outsider"]], f[~f["outsider"]]
-        sets = [list(shingle_sets([t.encode("utf-8", "surrogatepass") for t in x["text"]], p.shingle_words)) for x in (left, right)]
-        both = shared_counts(*sets)
-        sizes = [np.array([len(s) for s in x], dtype=np.int64) for x in sets]
-        linked = 100 * both >= p.percent * (sizes[0][:, None] + sizes[1][None, :] - both)
-        linked &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
-        i, j = np.nonzero(linked)
-        ids = np.concatenate([left["doc_id"].to_numpy(), right["doc_id"].to_numpy()])
-        reach = ids[spanning(len(ids), i, j + len(left))]
-        out = pd.DataFrame({"a": np.minimum(reach, ids), "b": np.maximum(reach, ids)})
-        return out[out["a"] != out["b"]].drop_duplicates()
-
-    return blocks.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(hub, node, component, hub_component), once each, of the buckets (h, hub, node) that hold several components."""
+    known = members.join(labels, "node", "left").select("h", "hub", "node", F.coalesce("component", "node").alias("component"))
+    several = known.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
+    found = known.join(several, "h").select("hub", "node", "component").distinct()
+    of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+    return found.join(of_hub, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub"))
+
+
+def unresolved_pairs(members: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked; every linked pair of an open bucket is among them.
+
+    members as from open_members, sets as from against_hubs.
+    """
+    rows = members.join(sets, ["hub", "node"])
+    in_order = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") < F.col("other")))
+    fits = (F.col("component") != F.col("other_component")) & (100 * F.col("n") >= p.percent * F.col("m"))
+    t = p.percent
+
+    # A shingle outside the hub in common: each set's rarest ones, unique ones first, decide.
+    shingles = rows.select("hub", "node", "component", "n", F.size("outside").alias("u"), F.explode("outside").alias("shingle"))
+    shared = shingles.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("times"), (F.min("component") < F.max("component")).alias("mixed")).where("times > 1")
+    ranked = shingles.join(shared, ["hub", "shingle"]).groupBy("hub", "node", "component", "n", "u").agg(F.array_sort(F.collect_list(F.struct("times", "shingle", "mixed"))).alias("shared"))  # at most one document's shingles
+    unique = F.col("u") - F.size("shared")
+    larger = F.col("n") - F.ceil(t * F.col("n") / 100) + 1
+    smaller = F.col("n") - F.ceil(2 * t * F.col("n") / (100 + t)) + 1
+    prefix = ranked.select("hub", "node", "component", "n", smaller.alias("smaller"), unique.alias("unique"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(larger - unique, F.lit(0)).cast("int"))).alias("at", "s"))
+    prefix = prefix.where("s.mixed").select("hub", "node", "component", "n", F.col("s.shingle").alias("shingle"), (F.col("unique") + F.col("at") < F.col("smaller")).alias("short"))
+    of_larger = prefix.select("hub", "shingle", F.col("node").alias("other"), F.col("component").alias("other_component"), F.col("n").alias("m"))
+    by_shingle = prefix.where("short").join(of_larger, ["hub", "shingle"]).where(in_order & fits)
+
+    # Nothing outside the hub in common: what lies inside must do, for both.
+    within = rows.where(100 * F.col("inside") >= t * F.col("n")).select("hub", "node", "component", "hub_component", "n", "inside")
+    others = within.where("component <> hub_component").select("hub", F.col("node").alias("other"), F.col("component").alias("other_component"), F.col("n").alias("m"), F.col("inside").alias("other_inside"))
+    enough = (100 + t) * F.least("inside", "other_inside") >= t * (F.col("n") + F.col("m"))
+    by_size = within.join(others, "hub").where((F.col("component") != F.col("other_component")) & enough & (100 * F.least("n", "m") >= t * F.greatest("n", "m")))
+
+    both = [x.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")) for x in (by_shingle, by_size)]
+    return both[0].unionByName(both[1]).distinct()
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id, kept) of every row.
+    """(doc_id, text_hash, n_shingles, class_id, group, component_id, kept) of every row.
 
-    class_id: the smallest document of the same shingle set; component_id: the smallest reachable over links.
+    text_hash: xxhash64 of the text; class_id: the smallest document of the same shingle set; group: a number of its own
+    for each component, null without shingles; component_id: the smallest document reachable over links.
     """
-    sig = materialize(signatures(docs, p, doc_id, text), "minhash")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sig = materialize(signatures(rows, p), "minhash")
     classes = sig.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("class_id"))
-    classes = materialize(classes, "minhash-classes")
-    reps = sig.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sketch")
-    reps = materialize(reps, "minhash-representatives")
-
-    entries = reps.select("doc_id", F.explode("bands").alias("h"))
-    buckets = entries.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("n > 1")
-    members = materialize(entries.join(buckets, "h"), "minhash-buckets")
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    own = classes.withColumnRenamed("class_id", "doc_id")
+    reps = materialize(sig.join(own, ["key1", "key2", "doc_id"]).dropDuplicates(["node"]).select("node", "doc_id", "text_hash", "bands", "sketch"), "minhash-nodes")
+
+    entries = reps.select("node", F.explode("bands").alias("h"))
+    buckets = materialize(entries.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"), "minhash-buckets")
+    members = materialize(entries.join(buckets.where("n > 2").select("h", "n"), "h"), "minhash-members")
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = members.join(weights, "node").groupBy("h").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    members = members.join(materialize(hubs, "minhash-hubs"), "h").select("h", "hub", "node")
+
+    sketches = reps.select("node", "sketch")
     most = most_odd_bits(p)
-    sketches = reps.select("doc_id", "sketch")
-    ends = F.array(F.struct(F.col("first").alias("a"), F.col("doc_id").alias("b")), F.struct(F.col("doc_id").alias("a"), F.col("last").alias("b")))
-    star = members.select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a < b").distinct()
-    near = star.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b")
-    pairs = materialize(near.where(odd_bits("x", "y") <= most).select("a", "b"), "minhash-pairs")
-
-    wanted = members.where("n > 3").select("doc_id").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts = materialize(whole.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
-    links = materialize(confirm(pairs, texts, p), "minhash-links")
-    labels = connected_components(links)
 
-    more = materialize(search_families(members, labels, texts, p), "minhash-links")
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
+    def likely(pairs: DataFrame) -> DataFrame:
+        for column in ("a", "b"):
+            pairs = pairs.join(sketches.select(F.col("node").alias(column), F.col("sketch").alias(f"sketch_{column}")), column)
+        return pairs.where(odd_bits("sketch_a", "sketch_b") <= most).select("a", "b")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        places = reps.select("node", "doc_id", "text_hash").join(wanted.select("node").distinct(), "node", "left_semi")
+        return rows.join(places, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "minhash-pairs")
+        texts = materialize(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "minhash-texts")
+        links = materialize(confirm(pairs, texts, p), "minhash-links")
+        discard(pairs, texts)
+        return links
+
+    star = members.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    links = links_of(likely(star.unionByName(buckets.where("n = 2").select("a", "b")).distinct()))
+    labels = connected_components(links)
 
-    by_class = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("key1", "key2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "key1", "key2").join(by_class, ["key1", "key2"], "left")
-    own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    still_open = materialize(open_members(members, labels), "minhash-open")
+    if not still_open.isEmpty():
+        texts = materialize(texts_of(still_open), "minhash-texts")
+        sets = materialize(against_hubs(still_open.where("node <> hub").select("hub", "node"), texts, p), "minhash-sets")
+        more = links_of(likely(unresolved_pairs(still_open, sets, p)))
+        discard(texts, sets)
+        if not more.isEmpty():
+            labels = connected_components(links.unionByName(more))
+
+    named = labels.join(classes.select("node", "class_id"), "node")
+    smallest = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    by_class = classes.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node")).join(smallest, "component", "left")
+    by_class = by_class.select("key1", "key2", "class_id", "group", F.coalesce("component_id", "class_id").alias("component_id"))
+    out = sig.select("doc_id", "text_hash", "n_shingles", "key1", "key2").join(by_class, ["key1", "key2"], "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), "group", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

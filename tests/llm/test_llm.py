@@ -396,3 +396,33 @@ def test_shingles_equal_plain_words():
     texts = ["", " a  b\tc\nd e ", "ÀB ab A\x0bB", "one two", None]
     sizes = [len(x) for x in bytehash.shingle_sets([(t or "").encode() for t in texts], 4)]
     assert sizes == [len(shingles(t, 4)) for t in texts]
+
+
+def test_words_of_thue_and_morse_differ(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for seed in (0, 1):
+        one, two = (next(bytehash.shingle_sets([x.encode()], 5, seed)) for x in (word, other))
+        assert one != two
+    rows = [(1, f"{word} b c d e f"), (2, f"{other} b c d e f"), (3, word), (4, other)]
+    assert [r.component_id for r in minhash.near_duplicates(documents(spark, rows)).orderBy("doc_id").collect()] == [1, 2, 3, 4]
+
+
+def test_near_duplicates_cut_from_one_text(spark):
+    """Parts of one text, of all lengths and from both ends: links between members that no hub links to."""
+    rnd = random.Random(12)
+    base = words(rnd, 400, 10**6).split()
+    texts = [" ".join(base[:n]) for n in range(40, 400, 9)] + [" ".join(base[n:]) for n in range(0, 360, 11)]
+    texts += [" ".join([*base[:n], *words(rnd, 30, 10**6).split()]) for n in range(100, 400, 25)] + family(rnd, 60, 200, 14)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == near_brute(rows, 5)
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    got = minhash.near_duplicates(documents(spark, [(1, a), (3, a), (3, b), (4, b.upper())])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (3, 1, False), (3, 3, True), (4, 3, False)]
+    assert len({r.group for r in got}) == 2

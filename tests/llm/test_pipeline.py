@@ -48,3 +48,15 @@ def test_stages_with_odd_rows(spark):
             kept = stage(spark, kept, SF)
         assert {r.doc_id for r in kept.collect()} == want and kept.count() == len(want)
         assert corpus_pipeline.STAGES[-1][1](spark, kept, SF).where(F.col("n_pieces") > 0).count() == len(want & {3})
+
+
+def test_a_row_goes_with_its_own_text_only(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = spark.createDataFrame([(1, a, "en", "s", 19), (3, a, "en", "s", 19), (3, b, "en", "s", 19), (5, a.upper(), "en", "s", 19), (5, a, "en", "s", 19)], kind)
+    kept = corpus_pipeline.STAGES[1][1](spark, rows, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (3, b)]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first().text
+    rows = spark.createDataFrame([(1, f"{b} {item} {b}", "en", "s", 0), (1, b, "en", "s", 0), (2, None, "en", "s", 0)], kind)
+    kept = corpus_pipeline.STAGES[2][1](spark, rows, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, b), (2, None)]
