@@ -20,20 +20,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group stays (five words, similarity 0.8); of equal rows with one doc_id, one."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    removed = materialize(found.where("NOT kept").select("doc_id").distinct(), "pipeline-removed")
-    repeated = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "pipeline-repeated")
-    left = docs.join(removed, "doc_id", "left_anti")
-    if repeated.isEmpty():
-        return left
-    return left.join(repeated, "doc_id", "left_anti").unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    """One row of each group stays (five words, similarity 0.8): that of the smallest doc_id; of equal rows, one.
+
+    Texts without words are in no group and stay, but once for each doc_id and text. A doc_id with several texts is one
+    document each time: a row goes only with its own text's group. Extra columns stay.
+    """
+    found = materialize(minhash.near_duplicates(docs).select("doc_id", "text_hash", "group").distinct(), "pipeline-groups")
+    grouped = found.where(F.col("group").isNotNull())
+    first = grouped.groupBy("group").agg(F.min("doc_id").alias("first"))
+    same_id = grouped.join(first, "group").where("doc_id = first").groupBy("group", "first").agg(F.min("text_hash").alias("first_hash"))
+    removed = grouped.join(same_id, "group").where("doc_id <> first OR text_hash <> first_hash").select("doc_id", "text_hash")
+    removed = materialize(removed, "pipeline-removed")
+    hashed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64(F.col("text").cast("string"))})
+    repeated = materialize(hashed.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "_hash"), "pipeline-repeated")
+    keys = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
+    left = hashed.join(removed.select(*keys), ["_id", "_hash"], "left_anti")
+    if not repeated.isEmpty():
+        once = left.join(repeated, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+        left = left.join(repeated, ["_id", "_hash"], "left_anti").unionByName(once)
+    return left.select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item."""
-    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), decontamination.WHOLE)
-    return docs.join(materialize(leaks.select("doc_id").distinct(), "pipeline-leaks"), "doc_id", "left_anti")
+    """Without the rows whose text holds a benchmark item; null and empty texts stay, and so does a clean text whose doc_id
+    another, leaking text has too. Extra columns stay."""
+    hashed = docs.withColumn("_row", F.xxhash64("doc_id", F.col("text").cast("string")))
+    leaks = decontamination.find_leaks(hashed, table(spark, sf_dir, "benchmark").select("item_id", "text"), decontamination.WHOLE, doc_id="_row")
+    leaks = materialize(leaks.select(F.col("doc_id").alias("_row")).distinct(), "pipeline-leaks")
+    return hashed.join(leaks, "_row", "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
