@@ -7,12 +7,13 @@
    buckets) is compared with all others: m pairs, not m*m. Two sketches' XOR has about 2k(1-J) odd bits; pairs whose
    estimate lies under the threshold by more than `sketch_margin` are dropped, all others are confirmed on their full
    sets, made with a second hash of the words.
-4. Buckets that still hold several components are searched to the end. Each member is set against its bucket's hub H:
-   of a linked pair (x, y) either both share a shingle that H lacks, or their common part lies in H. For the first case
-   x and y meet in a hash join on the rarest shingles that H lacks: of n shingles the first n - ceil(2tn/(1+t)) + 1 of the
-   smaller set and the first n - ceil(tn) + 1 of the larger one, or no such pair is linked (prefix filtering). For the
-   second, the part in H must reach t/(1+t) of both sizes, which few members not linked to H do. Pairs in one component
-   are never made. No step emits the pairs of a group, except those of the second case that sizes alone allow.
+4. Buckets that still hold several components are searched to the end. Each member is set against its bucket's hub; H is
+   the hub's set and all shingles that more than one of `common` members of its family have. Of a linked pair (x, y) either
+   both share a shingle outside H, or their common part lies in H. For the first case x and y meet in a hash join on the
+   rarest shingles outside H: of n shingles the first n - ceil(2tn/(1+t)) + 1 of the smaller set and the first
+   n - ceil(tn) + 1 of the larger one, or no such pair is linked (prefix filtering). For the second, the part in H must
+   reach t/(1+t) of both sizes together, which few members not linked to the hub do. Pairs in one component are never made.
+   All linked pairs of open buckets are among these, whatever H is.
 5. Connected components over the confirmed links; members take their node's.
 
 With 24 bands of 4 a pair at similarity 0.8 shares no band with a chance of 3e-6; a pair's sketch misses by the margin
@@ -45,6 +46,7 @@ class NearDuplicates:
     samples: int = 96  # MinHash values, all of them in the sketch
     sketch_words: int = 8  # 64-bit words of the sketch
     sketch_margin: float = 0.25
+    common: int = 8  # a shingle in more than one of so many members of a family counts as its hub's
 
 
 _MULTIPLIERS = np.random.default_rng(7).integers(0, 2**63, 4096, dtype=U) * U(2) + U(1)
@@ -199,19 +201,24 @@ def unresolved_pairs(members: DataFrame, sets: DataFrame, p: NearDuplicates) ->
 
     members as from open_members, sets as from against_hubs.
     """
-    rows = members.join(sets, ["hub", "node"])
+    sizes = sets.groupBy("hub").agg(F.count(F.lit(1)).alias("family"))
+    shingles = members.join(sets, ["hub", "node"]).select("hub", "node", "component", "hub_component", "n", "inside", F.explode_outer("outside").alias("shingle"))
+    times = shingles.where("shingle IS NOT NULL").groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("times"), (F.min("component") < F.max("component")).alias("mixed")).where("times > 1")
+    times = times.join(sizes, "hub").withColumn("common", p.common * F.col("times") > F.col("family")).drop("family")
+    counted = shingles.join(times, ["hub", "shingle"], "left")
+    # A document's shingles at most. Those that are common in the family count as the hub's.
+    ranked = counted.groupBy("hub", "node", "component", "hub_component", "n", "inside").agg(
+        F.count_if("common").alias("more"), F.array_sort(F.collect_list(F.when(~F.col("common"), F.struct("times", "shingle", "mixed")))).alias("shared"))
+    rows = materialize(ranked.withColumn("inside", F.col("inside") + F.col("more")), "minhash-ranked")
     in_order = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") < F.col("other")))
     fits = (F.col("component") != F.col("other_component")) & (100 * F.col("n") >= p.percent * F.col("m"))
     t = p.percent
 
     # A shingle outside the hub in common: each set's rarest ones, unique ones first, decide.
-    shingles = rows.select("hub", "node", "component", "n", F.size("outside").alias("u"), F.explode("outside").alias("shingle"))
-    shared = shingles.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("times"), (F.min("component") < F.max("component")).alias("mixed")).where("times > 1")
-    ranked = shingles.join(shared, ["hub", "shingle"]).groupBy("hub", "node", "component", "n", "u").agg(F.array_sort(F.collect_list(F.struct("times", "shingle", "mixed"))).alias("shared"))  # at most one document's shingles
-    unique = F.col("u") - F.size("shared")
+    unique = F.col("n") - F.col("inside") - F.size("shared")
     larger = F.col("n") - F.ceil(t * F.col("n") / 100) + 1
     smaller = F.col("n") - F.ceil(2 * t * F.col("n") / (100 + t)) + 1
-    prefix = ranked.select("hub", "node", "component", "n", smaller.alias("smaller"), unique.alias("unique"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(larger - unique, F.lit(0)).cast("int"))).alias("at", "s"))
+    prefix = rows.select("hub", "node", "component", "n", smaller.alias("smaller"), unique.alias("unique"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(larger - unique, F.lit(0)).cast("int"))).alias("at", "s"))
     prefix = prefix.where("s.mixed").select("hub", "node", "component", "n", F.col("s.shingle").alias("shingle"), (F.col("unique") + F.col("at") < F.col("smaller")).alias("short"))
     of_larger = prefix.select("hub", "shingle", F.col("node").alias("other"), F.col("component").alias("other_component"), F.col("n").alias("m"))
     by_shingle = prefix.where("short").join(of_larger, ["hub", "shingle"]).where(in_order & fits)

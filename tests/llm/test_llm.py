@@ -253,12 +253,14 @@ def test_embedding_links_against_all_pairs(spark):
     x = np.concatenate([base + s * rnd.standard_normal(base.shape) for s in (0, 0.05, 0.15, 0.22, 0.3)]).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, x[0].tolist()), (901, x[0].tolist()), (902, None), (903, [0.0] * 32), (904, [float("nan")] * 32), (905, [1.0, None]), (906, []), (907, x[0].tolist()[:16]), (908, (x[1] * 1e20).tolist())]
     df = spark.createDataFrame([(i, v, 1, 5) for i, v in rows], "vec_id long, embedding array<float>, label int, k1 long")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, embeddings.Settings(bucket=20, block=32)).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, embeddings.Settings(bucket=20, block=32, strip=7)).collect()}
     good = {i: np.array(v, dtype=np.float64) for i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)}
     links = [(a, b) for a, b in itertools.combinations(good, 2) if len(good[a]) == len(good[b]) and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= 0.95]
     comp = components([i for i, _ in rows], links)
     assert got == {i: (sum(i in p for p in links), comp[i]) for i, _ in rows}
     assert len(links) > 100
+    for settings in (embeddings.Settings(), embeddings.Settings(block=50)):
+        assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, settings).collect()} == got
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -426,3 +428,10 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
     got = minhash.near_duplicates(documents(spark, [(1, a), (3, a), (3, b), (4, b.upper())])).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (3, 1, False), (3, 3, True), (4, 3, False)]
     assert len({r.group for r in got}) == 2
+
+
+def test_embeddings_of_doubles_are_not_rounded(spark):
+    near = 0.95 - 1e-9
+    rows = [(1, [1.0, 0.0]), (2, [near, (1 - near**2) ** 0.5]), (3, [1.0 + 1e-12, 0.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links) for r in got) == [(1, 1), (2, 0), (3, 1)]
