@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,20 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts (or lists) take about limit bytes, so that what Python makes of a part stays small."""
+    held = batch.column(batch.schema.names.index(column))
+    sizes = 8 * pa.compute.list_value_length(held).fill_null(0).to_numpy() if pa.types.is_list(held.type) else pa.compute.binary_length(held).fill_null(0).to_numpy()
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if total and total + n > limit:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += int(n)
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges, itself included.
 

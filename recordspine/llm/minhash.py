@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspine.llm.bytehash import U, chunks, mix, shingle_sets
-from recordspine.llm.common import connected_components, discard, materialize, table
+from recordspine.llm.bytehash import U, mix, shingle_sets
+from recordspine.llm.common import connected_components, discard, materialize, slices, table
 
 
 @dataclass(frozen=True)
@@ -109,9 +109,8 @@ def signatures(docs: DataFrame, p: NearDuplicates) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-            for lo, hi in chunks(texts):
-                sets = list(shingle_sets(texts[lo:hi], p.shingle_words))
+            for part in slices(batch, "text", 1 << 20):
+                sets = list(shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()], p.shingle_words))
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(n)
                 bands = np.zeros((len(sets), p.bands), dtype=U)
@@ -126,7 +125,7 @@ def signatures(docs: DataFrame, p: NearDuplicates) -> DataFrame:
                         keys[full, c] = np.add.reduceat(mix(flat + _SALTS[c]), starts)
                 empty = pa.array(n == 0)
                 columns = [pa.array(n), *(pa.array(keys[:, c].copy().view(np.int64)) for c in (0, 1)), lists(bands, empty), lists(sketch, empty)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), *columns], names=["doc_id", "text_hash", "n_shingles", "key1", "key2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "text_hash", "n_shingles", "key1", "key2", "bands", "sketch"])
 
     slim = docs.select("doc_id", "text_hash", "text")
     return slim.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, key1 long, key2 long, bands array<long>, sketch array<long>")

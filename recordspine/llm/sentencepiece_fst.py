@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordspine.llm.common import table
+from recordspine.llm.common import slices, table
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-WORD_LIMIT = 300_000
-ARC_LIMIT = 1_000_000
+#: Entries of a worker's memo tables, about 200 bytes each; they are emptied at the end of each partition.
+WORD_LIMIT = 60_000
+ARC_LIMIT = 100_000
 
 
 class PieceTransducer:
@@ -67,6 +68,12 @@ class PieceTransducer:
         self.surface_bytes = np.frombuffer(b"".join(surface) or b" ", dtype=np.uint8)
         self.marks_inside = any(MARK in p.lstrip(MARK) for p in self.id_bytes)
 
+    def forget(self) -> None:
+        """Empty all memo tables, so that a reused worker starts the next stage without them."""
+        for memo in (self.composed, self.spines, self.splits, self.words, self.words.older, self.parts):
+            memo.clear()
+        self.n_arcs = 0
+
     def spine(self, piece: str, side: int) -> list[tuple[str, float]]:
         """The tokens that stand at a piece's end (side 1) or start (side 0) while it is merged, each with the weight of
         the merge that takes it up; empty if merging the piece's own text doesn't give it."""
@@ -222,32 +229,19 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, kind)])
 
 
-def slices(batch: pa.RecordBatch, sizes: np.ndarray, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about limit bytes, so that what is made of a part stays small."""
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > limit:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += int(n)
-    if start < len(sizes):
-        yield batch.slice(start)
-
-
 def encode(docs: DataFrame, text: str = "text", model_path: str = DEFAULT_MODEL, into: str = "piece_ids") -> DataFrame:
     """docs with an array of piece ids; model_path must name the same file on every machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(model_path)
         for batch in batches:
-            column = batch.column(batch.schema.names.index(text))
-            sizes = np.array(pa.compute.binary_length(column).fill_null(0)) if batch.num_rows else np.empty(0)
-            for part in slices(batch, sizes):
+            for part in slices(batch, text):
                 made = [None if t is None else fst.encode(t) for t in part.column(part.schema.names.index(text)).to_pylist()]
                 offsets = np.cumsum([0, *(len(m or b"") // 4 for m in made)], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(m or b"" for m in made), dtype=np.int32))
                 mask = pa.array([m is None for m in made])
                 yield _with_column(part, into, pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask))
+        fst.forget()
 
     return docs.mapInArrow(run, _schema(docs, into, T.ArrayType(T.IntegerType())))
 
@@ -258,9 +252,7 @@ def decode(docs: DataFrame, ids: str = "piece_ids", model_path: str = DEFAULT_MO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(model_path)
         for batch in batches:
-            column = batch.column(batch.schema.names.index(ids))
-            sizes = 8 * np.array(pa.compute.list_value_length(column).fill_null(0)) if batch.num_rows else np.empty(0)
-            for part in slices(batch, sizes):
+            for part in slices(batch, ids):
                 rows = part.column(part.schema.names.index(ids))
                 yield _with_column(part, into, pa.array([None if not r.is_valid else fst.decode(np.asarray(r.values)) for r in rows], type=pa.string()))
 

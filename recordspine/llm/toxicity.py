@@ -32,6 +32,13 @@ SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"\w+")
 
 
+SPOKEN = re.compile(r"\w[^.!?\n]*")  # once in each sentence that has a word
+
+
+def logistic(z: float) -> float:
+    return 1 / (1 + exp(-min(max(z, -700.0), 700.0)))
+
+
 @dataclass(frozen=True)
 class Settings:
     sample_rows: int = 5_000
@@ -51,23 +58,38 @@ class Model:
     empty: float  # score of a document without sentences
     known: dict[str, float] = field(default_factory=dict, repr=False)
 
+    def carrying(self, words: set[str]) -> dict[str, float]:
+        """The words that carry weight; most texts have few, if any."""
+        out, known = {}, self.known
+        for w in words:
+            x = known.get(w)
+            if x is None:
+                if len(known) > 50_000:
+                    known.clear()
+                x = known[w] = float(self.weights[features(w, len(self.weights))].sum())
+            if x:
+                out[w] = x
+        return out
+
     def sentence_scores(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, score) of each sentence that has a word, in order; code points."""
-        out, known = [], self.known
+        out, carrying = [], self.carrying(set(WORD.findall(text or "")))
         for m in SENTENCE.finditer(text or ""):
-            words = set(WORD.findall(m[0]))
-            if words:
-                z = self.bias
-                for w in words:
-                    x = known.get(w)
-                    if x is None:
-                        if len(known) > 100_000:
-                            known.clear()
-                        x = known[w] = float(self.weights[features(w, len(self.weights))].sum())
-                    z += x
-                out.append((m.start(), m.end(), 1 / (1 + exp(-min(max(z, -700.0), 700.0)))))
+            if WORD.search(m[0]):
+                z = self.bias + sum(carrying[w] for w in set(WORD.findall(m[0])) if w in carrying) if carrying else self.bias
+                out.append((m.start(), m.end(), logistic(z)))
         return out
 
+    def read(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """The score of a text and its sentences of at least 0.5. A text without words that carry weight needs only the
+        number of its sentences."""
+        if not self.carrying(set(WORD.findall(text or ""))):
+            n, each = len(SPOKEN.findall(text or "")), logistic(self.bias)
+            if each < 0.5:
+                return (1 - exp(n * log1p(-each)) if n else self.empty), []
+        sentences = self.sentence_scores(text)
+        return self.score(sentences), [x for x in sentences if x[2] >= 0.5]
+
     def score(self, sentences: list[tuple[int, int, float]]) -> float:
         if not sentences:
             return self.empty
@@ -174,13 +196,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by Settings.buckets
 
     @F.pandas_udf("struct<score:double,found:array<struct<start:int,end:int,score:double>>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        scores, found = [], []
-        for t in texts:
-            sentences = sent.value.sentence_scores(t)
-            scores.append(sent.value.score(sentences))
-            found.append([{"start": a, "end": b, "score": p} for a, b, p in sentences if p >= 0.5])
-        return pd.DataFrame({"score": scores, "found": found})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            read = [sent.value.read(t) for t in texts]
+            yield pd.DataFrame({"score": [s for s, _ in read], "found": [[{"start": a, "end": b, "score": p} for a, b, p in f] for _, f in read]})
+        sent.value.known.clear()  # a reused worker starts the next stage without them
+        _known.clear()
 
     out = docs.withColumn("_toxic", run(F.col(text).cast("string")))
     return out.withColumns({"toxicity": F.col("_toxic.score"), "toxic_sentences": F.col("_toxic.found")}).drop("_toxic")

@@ -435,3 +435,18 @@ def test_embeddings_of_doubles_are_not_rounded(spark):
     rows = [(1, [1.0, 0.0]), (2, [near, (1 - near**2) ** 0.5]), (3, [1.0 + 1e-12, 0.0])]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted((r.vec_id, r.n_links) for r in got) == [(1, 1), (2, 0), (3, 1)]
+
+
+def test_toxicity_of_a_document_is_its_sentences_noisy_or(spark):
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["", None, "...", "a.b c!d\n\n?e", "é ... ñ\n_"]
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    for text in docs:
+        clean, n = 1.0, 0
+        for sentence in re.split(r"[.!?\n]+", text or ""):
+            words_of = set(re.findall(r"\w+", sentence))
+            if words_of:
+                z = model.bias + sum(float(model.weights[b]) for w in words_of for b in toxicity.features(w, len(model.weights)))
+                clean, n = clean * (1 - 1 / (1 + np.exp(-z))), n + 1
+        assert abs(model.read(text)[0] - (1 - clean if n else model.empty)) < 1e-4
+        assert abs(model.score(model.sentence_scores(text)) - model.read(text)[0]) < 1e-9
+    assert max(model.read(t)[0] for t in docs) > 0.2
