@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
@@ -50,6 +50,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+_memo_of: dict[str, Callable[[], None]] = {}
+
+
+def claim_memos(owner: str, forget: Callable[[], None]) -> None:
+    """Called in a Python worker as an operator starts a partition: what other operators keep there for speed is emptied,
+    so that a reused worker holds the memo tables of one operator at a time, and those stay warm within its stage."""
+    for other in [o for o in _memo_of if o != owner]:
+        _memo_of.pop(other)()
+    _memo_of[owner] = forget
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts whose texts (or lists) take about limit bytes, so that what Python makes of a part stays small."""
     held = batch.column(batch.schema.names.index(column))

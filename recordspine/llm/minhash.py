@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordspine.llm.bytehash import U, mix, shingle_sets
-from recordspine.llm.common import connected_components, discard, materialize, slices, table
+from recordspine.llm.common import claim_memos, connected_components, discard, materialize, slices, table
 
 
 @dataclass(frozen=True)
@@ -108,6 +108,7 @@ def signatures(docs: DataFrame, p: NearDuplicates) -> DataFrame:
     """(doc_id, text_hash, n_shingles, key1, key2, bands, sketch) of (doc_id, text_hash, text); bands and sketch are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memos("minhash", lambda: None)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 sets = list(shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()], p.shingle_words))

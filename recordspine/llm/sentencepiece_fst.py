@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordspine.llm.common import slices, table
+from recordspine.llm.common import claim_memos, slices, table
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Entries of a worker's memo tables, about 200 bytes each; they are emptied at the end of each partition.
-WORD_LIMIT = 60_000
-ARC_LIMIT = 100_000
+#: Entries of a worker's memo tables, about 200 bytes each; they are emptied when another operator takes the worker.
+WORD_LIMIT = 220_000
+PART_LIMIT = 120_000
+ARC_LIMIT = 400_000
 
 
 class PieceTransducer:
@@ -167,7 +168,7 @@ class PieceTransducer:
             part = word[start:end]
             got = self.parts.get(part)
             if got is None:
-                if len(self.parts) >= WORD_LIMIT:
+                if len(self.parts) >= PART_LIMIT:
                     self.parts.clear()
                 got = self.shortest_path(part)
                 if len(part) <= 64:
@@ -234,6 +235,7 @@ def encode(docs: DataFrame, text: str = "text", model_path: str = DEFAULT_MODEL,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(model_path)
+        claim_memos(f"sentencepiece {model_path}", fst.forget)
         for batch in batches:
             for part in slices(batch, text):
                 made = [None if t is None else fst.encode(t) for t in part.column(part.schema.names.index(text)).to_pylist()]
@@ -241,7 +243,6 @@ def encode(docs: DataFrame, text: str = "text", model_path: str = DEFAULT_MODEL,
                 values = pa.array(np.frombuffer(b"".join(m or b"" for m in made), dtype=np.int32))
                 mask = pa.array([m is None for m in made])
                 yield _with_column(part, into, pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask))
-        fst.forget()
 
     return docs.mapInArrow(run, _schema(docs, into, T.ArrayType(T.IntegerType())))
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import exp, log1p
 from zlib import crc32
 
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspine.llm.common import table
+from recordspine.llm.common import claim_memos, table
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"\w+")
@@ -56,39 +57,57 @@ class Model:
     weights: np.ndarray = field(repr=False)
     bias: float
     empty: float  # score of a document without sentences
-    known: dict[str, float] = field(default_factory=dict, repr=False)
-
-    def carrying(self, words: set[str]) -> dict[str, float]:
-        """The words that carry weight; most texts have few, if any."""
-        out, known = {}, self.known
-        for w in words:
-            x = known.get(w)
-            if x is None:
-                if len(known) > 50_000:
-                    known.clear()
-                x = known[w] = float(self.weights[features(w, len(self.weights))].sum())
+    seen: set[str] = field(default_factory=set, repr=False)
+    carrying: dict[str, float] = field(default_factory=dict, repr=False)
+    hot: set[str] = field(default_factory=set, repr=False)  # the words of carrying
+    heavy: dict[int, float] = field(default_factory=dict, repr=False)  # the buckets that have weight
+
+    def forget(self) -> None:
+        self.seen.clear()
+        self.carrying.clear()
+        self.hot.clear()
+
+    def learn(self, words: set[str]) -> None:
+        """Tell for each word whether it carries weight; most don't."""
+        if len(self.seen) > 200_000:
+            self.forget()
+        n = len(self.weights)
+        if not self.heavy:
+            self.heavy.update((int(b), float(self.weights[b])) for b in np.flatnonzero(self.weights))
+        self.seen |= words
+        for word in words:
+            x = sum(self.heavy.get(b, 0.0) for b in features(word, n))
             if x:
-                out[w] = x
-        return out
+                self.carrying[word] = x
+        self.hot = set(self.carrying)
+
+    def logit(self, sentence: str) -> float | None:
+        """Of a sentence by its distinct words; null if none of them carries weight."""
+        words = set(WORD.findall(sentence))
+        if not words <= self.seen:
+            self.learn(words - self.seen)
+        some = words & self.hot
+        return self.bias + sum(self.carrying[w] for w in sorted(some)) if some else None
 
     def sentence_scores(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, score) of each sentence that has a word, in order; code points."""
-        out, carrying = [], self.carrying(set(WORD.findall(text or "")))
+        out = []
         for m in SENTENCE.finditer(text or ""):
             if WORD.search(m[0]):
-                z = self.bias + sum(carrying[w] for w in set(WORD.findall(m[0])) if w in carrying) if carrying else self.bias
-                out.append((m.start(), m.end(), logistic(z)))
+                z = self.logit(m[0])
+                out.append((m.start(), m.end(), logistic(self.bias if z is None else z)))
         return out
 
     def read(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """The score of a text and its sentences of at least 0.5. A text without words that carry weight needs only the
-        number of its sentences."""
-        if not self.carrying(set(WORD.findall(text or ""))):
-            n, each = len(SPOKEN.findall(text or "")), logistic(self.bias)
-            if each < 0.5:
-                return (1 - exp(n * log1p(-each)) if n else self.empty), []
-        sentences = self.sentence_scores(text)
-        return self.score(sentences), [x for x in sentences if x[2] >= 0.5]
+        """The score of a text and its sentences of at least 0.5."""
+        sentences = SPOKEN.findall(text or "")
+        if not sentences:
+            return self.empty, []
+        told = [z for x in sentences if (z := self.logit(x)) is not None]
+        quiet = len(sentences) - len(told)
+        clean = quiet * log1p(-min(logistic(self.bias), 1 - 1e-12)) + sum(log1p(-min(logistic(z), 1 - 1e-12)) for z in told)
+        loud = max([*told, self.bias]) >= 0
+        return 1 - exp(clean), [x for x in self.sentence_scores(text) if x[2] >= 0.5] if loud else []
 
     def score(self, sentences: list[tuple[int, int, float]]) -> float:
         if not sentences:
@@ -96,24 +115,13 @@ class Model:
         return 1 - exp(sum(log1p(-min(s, 1 - 1e-12)) for _, _, s in sentences))
 
 
-_known: dict[tuple[str, int], list[int]] = {}
-
-
 def features(word: str, buckets: int) -> list[int]:
     """Buckets of a word: itself in lower case and its beginnings of 3 to 6 letters, which stand for its stem."""
-    key = (word, buckets)
-    got = _known.get(key)
-    if got is None:
-        if len(_known) > 30_000:
-            _known.clear()
-        w = word.lower()
-        got = _known[key] = [crc32(x.encode("utf-8", "surrogatepass")) % buckets for x in (w, *(f"{w[:n]}-" for n in range(3, min(len(w), 7))))]
-    return got
-
-
-def hashed(sentence: str, buckets: int) -> list[int]:
-    """Buckets of the sentence's distinct words."""
-    return [x for w in set(WORD.findall(sentence)) for x in features(w, buckets)]
+    w = word.lower().encode("utf-8", "surrogatepass") if word.isascii() else None
+    if w is not None:  # the same, without a text for each beginning
+        return [crc32(w) % buckets, *(crc32(b"-", crc32(w[:n])) % buckets for n in range(3, min(len(w), 7)))]
+    w = word.lower()
+    return [crc32(x.encode("utf-8", "surrogatepass")) % buckets for x in (w, *(f"{w[:n]}-" for n in range(3, min(len(w), 7))))]
 
 
 def noisy_or_fit(y: np.ndarray, sentences: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, s: Settings) -> Model:
@@ -174,10 +182,11 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id: st
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(known, "doc_id").select("doc_id", "y", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashed = lru_cache(30_000)(lambda w: features(w, s.buckets))  # kept for this partition
         for f in frames:
             lengths, words = [], []
             for t in f["text"]:
-                parts = [x for m in SENTENCE.finditer(t or "") if (x := hashed(m[0], s.buckets))]
+                parts = [x for m in SENTENCE.finditer(t or "") if (x := [b for w in set(WORD.findall(m[0])) for b in hashed(w)])]
                 lengths.append(np.array([len(x) for x in parts], dtype=np.int32).tobytes())
                 words.append(np.array([x for part in parts for x in part], dtype=np.int32).tobytes())
             yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "lengths": lengths, "words": words})
@@ -197,11 +206,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("struct<score:double,found:array<struct<start:int,end:int,score:double>>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim_memos("toxicity", sent.value.forget)
         for texts in batches:
             read = [sent.value.read(t) for t in texts]
             yield pd.DataFrame({"score": [s for s, _ in read], "found": [[{"start": a, "end": b, "score": p} for a, b, p in f] for _, f in read]})
-        sent.value.known.clear()  # a reused worker starts the next stage without them
-        _known.clear()
 
     out = docs.withColumn("_toxic", run(F.col(text).cast("string")))
     return out.withColumns({"toxicity": F.col("_toxic.score"), "toxic_sentences": F.col("_toxic.found")}).drop("_toxic")
