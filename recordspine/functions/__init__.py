@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recordspine.functions import vocabularies
+
 # Letters with marks and what stands below the mark, one for one.
 MARKED = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÇçÑñÝýÿ"
 PLAIN = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNnYyy"
@@ -120,3 +124,37 @@ def excerpt(text: Column, needle: Column, around: int = 100) -> Column:
     start = F.greatest(at - around, F.lit(1))
     hit = at > 0
     return F.struct(F.when(hit, F.octet_length(F.substring(text, F.lit(1), at - 1))).alias("byte_offset"), F.when(hit, F.substring(text, start, at - start + F.char_length(needle) + around)).alias("excerpt"))
+
+
+def seat_key(family: Column, district_number: Column, seat_class: Column) -> Column:
+    """Key of a permanent seat from its family and district, or from its class for the federal senate."""
+    dashed = F.replace(family, F.lit("_"), F.lit("-"))
+    county = F.when((family == "commission") & district_number.isNotNull(), F.concat(F.lit("us-fl-miami-dade-county-commissioner-district-"), district_number)).otherwise(F.concat(F.lit("us-fl-miami-dade-"), dashed))
+    return (
+        F.when(family == "US Senate", F.concat(F.lit("us-fl-senate-"), F.replace(F.lower(seat_class), F.lit(" "), F.lit("-"))))
+        .when(family.isin("commission", "clerk_of_court"), county)
+        .otherwise(F.concat_ws("-district-", F.concat(F.lit("us-fl-"), dashed), district_number))
+    )
+
+
+def official_links(html: Column, base: Column, most: int = 20) -> Column:
+    """base and the https links to official hosts, without query and fragment, once each, in order."""
+    found = F.filter(F.regexp_extract_all(html, F.lit(r"""https?://[^\s"'<>]+"""), F.lit(0)), lambda x: x.startswith("https:"))
+    host = lambda x: F.lower(F.regexp_extract(x, r"^https://([^/?#]+)", 1))
+    path = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"^https://[^/?#]+([^?#]*)", 1), F.lit("")), F.lit("/"))
+    official = lambda h: reduce(lambda a, p: a | h.contains(p), vocabularies.OFFICIAL_HOST_PARTS, h.endswith(".gov") | h.endswith(".us"))
+    kept = F.transform(F.filter(found, lambda x: official(host(x))), lambda x: F.concat(F.lit("https://"), host(x), path(x)))
+    return F.slice(F.array_distinct(F.concat(F.array(base), kept)), 1, most)
+
+
+def canonical_url(href: Column, base: Column) -> Column:
+    """href joined to its page's address, with a lower-case host, single slashes and no fragment; null for no web address."""
+    raw = F.trim(href)
+    joined = (
+        F.when(raw.rlike("^(mailto:|tel:|javascript:|#)") | (raw == ""), F.lit(None)).when(raw.rlike("^[a-z]+://"), raw)
+        .when(raw.startswith("//"), F.concat(F.regexp_extract(base, "^[a-z]+:", 0), raw)).when(raw.startswith("/"), F.concat(F.regexp_extract(base, "^[a-z]+://[^/]+", 0), raw))
+        .otherwise(F.concat(F.regexp_extract(base, "^([a-z]+://.*/)", 1), raw))
+    )
+    path = F.regexp_replace(F.regexp_extract(joined, "^https?://[^/?#]+([^?#]*)", 1), "/{2,}", "/")
+    whole = F.concat(F.regexp_extract(joined, "^https?://", 0), F.lower(F.regexp_extract(joined, "^https?://([^/?#]+)", 1)), F.coalesce(F.nullif(path, F.lit("")), F.lit("/")), F.regexp_extract(joined, r"(\?[^#]*)", 1))
+    return F.when(joined.rlike("^https?://[^/?#]"), whole)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recordspine.functions.vocabularies import look_up
+
 # Vocabularies and the legal moves between claim states.
 CLAIM_MOVES = {
     "not_collected": ["collected_unreviewed", "source_found", "checked_no_authoritative_result"],
@@ -23,7 +25,7 @@ CLAIM_MOVES = {
 }
 REFRESH_SECONDS = {"IMMUTABLE": (2592000, 604800), "LOW": (86400, 21600), "MEDIUM": (21600, 3600), "HIGH": (3600, 900), "ELECTION_REALTIME": (900, 300)}
 SEARCH_HOSTS = ["google.com", "www.google.com", "images.google.com", "bing.com", "www.bing.com", "duckduckgo.com", "www.duckduckgo.com", "yahoo.com", "images.search.yahoo.com", "yandex.com", "baidu.com"]
-LIVE_OCCUPANCY = ["current", "acting", "former", "completed", "vacant", "pending", "disputed"]
+LIVE_OCCUPANCY = ["current", "upcoming", "completed", "vacant", "acting", "disputed"]
 STRUCTURAL_FIELDS = ["jurisdiction", "seat", "person", "occupancy", "monitoring"]
 
 
@@ -72,18 +74,42 @@ def next_claim_state(state: Column, field_key: Column, matched: Column, has_evid
     from_evidence = F.when(has_evidence, pending).otherwise("evidence_pending")
     from_match = F.when(matched, from_evidence).otherwise("entity_match_pending")
     return (
-        F.when(field_key == "test_force_reject", "rejected").when(state.isin("collected_unreviewed", "extracted", "entity_match_pending"), from_match)
+        F.when(state.isin("collected_unreviewed", "extracted", "entity_match_pending"), from_match)
         .when(state == "evidence_pending", from_evidence).when(state == "verification_pending", pending).otherwise(state)
     )
 
 
+# Tiers of sources and the words that registries use for them.
+TIERS = {
+    "TIER_1_PRIMARY_OFFICIAL": ["primary_official", "official"],
+    "TIER_2_OFFICIAL_CAMPAIGN": ["official_campaign"],
+    "TIER_3_PUBLIC_INSTITUTIONAL": ["public_institutional"],
+    "TIER_4_SECONDARY_REVIEW": ["specialist_database", "secondary"],
+}
+DISCOVERY_TIER = "TIER_5_DISCOVERY_ONLY"
+TIER_OF_WORD = {word: tier for tier, words in TIERS.items() for word in [tier.lower(), *words]}
+
+
 def authority_tier(text: Column) -> Column:
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    return (
-        F.when(t.isin("tier_1_primary_official", "primary_official", "official"), "TIER_1_PRIMARY_OFFICIAL").when(t.isin("tier_2_official_campaign", "official_campaign"), "TIER_2_OFFICIAL_CAMPAIGN")
-        .when(t.isin("tier_3_public_institutional", "public_institutional"), "TIER_3_PUBLIC_INSTITUTIONAL").when(t.isin("tier_4_secondary_review", "specialist_database", "secondary"), "TIER_4_SECONDARY_REVIEW")
-        .otherwise("TIER_5_DISCOVERY_ONLY")
-    )
+    """A registry's word for a source as its tier; unknown words only help to discover."""
+    return look_up(F.lower(F.trim(text)), TIER_OF_WORD, DISCOVERY_TIER)
+
+
+def can_verify_alone(tier: Column) -> Column:
+    return tier != DISCOVERY_TIER
+
+
+def is_government_primary(tier: Column) -> Column:
+    return tier == "TIER_1_PRIMARY_OFFICIAL"
+
+
+def url_class(reason: Column) -> Column:
+    """The rank of a picture by what url_authority says of its address."""
+    return F.when(reason == "official_gov_host", "official_government_profile").otherwise("rejected")
+
+
+def seat_table_status(occupied: Column, acting: Column) -> Column:
+    return F.when(acting, "acting").when(occupied, "occupied").otherwise("vacant")
 
 
 def url_authority(url: Column) -> Column:
@@ -133,9 +159,10 @@ def document_kind(head: Column, content_type: Column) -> Column:
     )
 
 
-def backoff_ms(failures: Column, base: int, cap: int) -> Column:
+def backoff_ms(failures: Column, base: int, cap: int, jitter: float = 0.1) -> Column:
+    """Doubling from base to cap, and up to a share of jitter more by the number of failures."""
     exp = F.least(F.lit(float(cap)), base * F.pow(F.lit(2.0), F.greatest(failures - 1, F.lit(0))))
-    return (exp + F.floor(exp * 0.1 * ((failures % 7) / 7))).cast("long")
+    return (exp + F.floor(exp * jitter * ((failures % 7) / 7))).cast("long")
 
 
 def blockers(**tests: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Dependency graphs: cycles by peeling, ancestors by a bounded walk up."""
+"""Dependency graphs: edges on cycles, ancestors."""
 
 from __future__ import annotations
 
@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from recordspine.sources.tables import written
 
 
-def cyclic_edges(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """Edges that lie on a cycle or between cycles: what is left when nodes without incoming or outgoing edges are taken
-    off again and again. A round is written out, so plans don't grow; rounds are bounded by the longest chain."""
-    left = written(edges.select(child, parent).distinct(), "edges")
-    n = left.count()
+def peeled(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) left when nodes without incoming or outgoing edges are taken off again and again."""
+    left, n = edges, edges.count()
     while n:
-        ends = left.join(left.select(F.col(child).alias(parent)).distinct(), parent, "left_semi")
-        left = written(ends.join(ends.select(F.col(parent).alias(child)).distinct(), child, "left_semi"), "edges")
+        ends = left.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+        left = written(ends.join(ends.select(F.col("b").alias("a")).distinct(), "a", "left_semi"), "edges")
         m = left.count()
         if m == n:
             break
@@ -23,12 +21,58 @@ def cyclic_edges(edges: DataFrame, child: str, parent: str) -> DataFrame:
     return left
 
 
-def ancestors(nodes: DataFrame, key: str, parent: str, depth: int = 8) -> DataFrame:
-    """(key, ancestor, distance) along parent links up to a depth."""
-    step = nodes.select(F.col(key).alias("_k"), F.col(parent).alias("_p")).where(F.col(parent).isNotNull())
-    level = step.select(F.col("_k").alias(key), F.col("_p").alias("ancestor"), F.lit(1).alias("distance"))
-    out = level
-    for d in range(2, depth + 1):
-        level = level.join(step, F.col("ancestor") == F.col("_k")).select(key, F.col("_p").alias("ancestor"), F.lit(d).alias("distance"))
-        out = out.unionByName(level)
-    return out
+def furthest(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(node, top): the largest node that reaches each node along source -> target, itself included.
+
+    Each round takes the largest of the neighbours' and then the top's own top, so that long chains need few rounds.
+    """
+    nodes = edges.select(F.explode(F.array(source, target)).alias("node")).distinct()
+    tops = written(nodes.withColumn("top", F.col("node")), "tops")
+    while True:
+        near = edges.join(tops.withColumnRenamed("node", source), source).groupBy(F.col(target).alias("node")).agg(F.max("top").alias("near"))
+        one = tops.join(near, "node", "left").select("node", F.col("top").alias("was"), F.greatest("top", "near").alias("one"))
+        jump = tops.select(F.col("node").alias("one"), F.col("top").alias("two"))
+        both = written(one.join(jump, "one").select("node", "was", F.greatest("one", "two").alias("top")), "tops")
+        tops = both.select("node", "top")
+        if both.where("top <> was").isEmpty():
+            return tops
+
+
+def cyclic_edges(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """Edges that lie on a cycle: those whose ends reach each other, not those between cycles. Self-edges are cycles.
+
+    What peeling leaves is cut by the largest node that reaches a node: a strong component lies within one cut, and that of
+    the cut's largest node is all that reaches it again. The rest goes another round. Rounds are written out.
+    """
+    left = written(edges.select(F.col(child).alias("a"), F.col(parent).alias("b")).distinct(), "edges")
+    out = left.where("a = b")
+    left = peeled(left.where("a <> b"))
+    while not left.isEmpty():
+        tops = furthest(left, "a", "b")
+        inside = left.join(tops.select(F.col("node").alias("a"), F.col("top").alias("of_a")), "a").join(tops.select(F.col("node").alias("b"), F.col("top").alias("of_b")), "b").where("of_a = of_b")
+        inside = written(inside.select("a", "b", F.col("of_a").alias("cut")), "edges")
+        back = furthest(inside.select("a", "b"), "b", "a").withColumnRenamed("top", "reached")
+        marked = inside.join(back.select(F.col("node").alias("a"), F.col("reached").alias("from_a")), "a").join(back.select(F.col("node").alias("b"), F.col("reached").alias("from_b")), "b")
+        marked = written(marked.select("a", "b", (F.col("from_a") == F.col("cut")).alias("done_a"), (F.col("from_b") == F.col("cut")).alias("done_b")), "edges")
+        out = out.unionByName(marked.where("done_a AND done_b").select("a", "b"))
+        left = peeled(written(marked.where("NOT done_a AND NOT done_b").select("a", "b"), "edges"))
+    return out.select(F.col("a").alias(child), F.col("b").alias(parent))
+
+
+def ancestors(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, ancestor, distance) for all ancestors along parent links, whatever the depth: distances double each round.
+
+    Parent links that form a cycle have no end and raise an error.
+    """
+    known = written(nodes.where(F.col(parent).isNotNull()).select(F.col(key).alias("k"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance")), "ancestors")
+    most, step = known.count(), 1
+    while True:
+        far = known.where(F.col("distance") == step).select("k", F.col("ancestor").alias("via"))
+        beyond = far.join(known.select(F.col("k").alias("via"), "ancestor", F.col("distance").alias("more")), "via").select("k", "ancestor", (F.col("more") + step).alias("distance"))
+        beyond = written(beyond, "ancestors")
+        if beyond.isEmpty():
+            return known.withColumnRenamed("k", key)
+        if step >= most:
+            raise ValueError("parent links form a cycle")
+        step *= 2
+        known = written(known.unionByName(beyond), "ancestors")

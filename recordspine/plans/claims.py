@@ -60,10 +60,19 @@ def competing_claims(t):
     return sets.where(F.size("v") > 1).select("subject_id", "field_key", F.size("v").cast("long").alias("n_values"), F.array_join(F.sort_array("v"), ",").alias("competing"))
 
 
-@query("SELECT subject_id, field_key, normalized_value, count(*) AS n, md5(string_agg(claim_id, ',' ORDER BY claim_id)) AS claims_digest FROM fx_claims GROUP BY subject_id, field_key, normalized_value HAVING count(*) > 1")
+@query("""
+WITH p AS (SELECT subject_id, field_key, normalized_value, left(claim_id, 2) AS part, count(*) AS n, md5(string_agg(claim_id, ',' ORDER BY claim_id)) AS d FROM fx_claims GROUP BY ALL)
+SELECT subject_id, field_key, normalized_value, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(part || d, ',' ORDER BY part)) AS claims_digest FROM p GROUP BY subject_id, field_key, normalized_value HAVING sum(n) > 1""")
 def duplicate_claims(t):
-    g = t.claims.groupBy("subject_id", "field_key", "normalized_value").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("claim_id")), ",").cast("binary")).alias("claims_digest"))
-    return g.where("n > 1")
+    """Claims of one value; their digest is made in parts by the first letters of the id, so that no list holds a hot value's claims."""
+    return digested(t.claims, ["subject_id", "field_key", "normalized_value"], F.col("claim_id"), ",", "claims_digest").where("n > 1")
+
+
+def digested(df, keys, item, joiner, name):
+    """n and a digest of the items of each key: of each of 256 parts by claim_id, then of the parts."""
+    md5 = lambda items, by: F.md5(F.array_join(F.sort_array(F.collect_list(items)), by).cast("binary"))
+    parts = df.groupBy(*keys, F.left("claim_id", F.lit(2)).alias("_part")).agg(F.count(F.lit(1)).alias("_n"), md5(item, joiner).alias("_d"))
+    return parts.groupBy(*keys).agg(F.sum("_n").alias("n"), md5(F.concat("_part", "_d"), ",").alias(name))
 
 
 @query("""
@@ -80,14 +89,17 @@ def claim_upsert(t):
     return relational.upsert(base, delta, keys, keep=["first_seen", "verification_state"]).select(*keys, "first_seen", "last_seen", "verification_state")
 
 
-@query("SELECT claim_id, sha256(field_key || chr(1) || coalesce(normalized_value, '')) AS value_hash FROM fx_claims")
+@query("SELECT claim_id, sha256(encode(field_key) || '\\x00'::BLOB || encode(coalesce(normalized_value, ''))) AS value_hash FROM fx_claims")
 def value_hash(t):
-    return t.claims.select("claim_id", F.sha2(F.concat("field_key", F.char(F.lit(1)), F.coalesce("normalized_value", F.lit(""))), 256).alias("value_hash"))
+    return t.claims.select("claim_id", fn.value_hash(F.col("field_key"), F.coalesce("normalized_value", F.lit(""))).alias("value_hash"))
 
 
-@query("SELECT subject_id, count(*) AS n, md5(string_agg(claim_id || ':' || verification_state, ';' ORDER BY claim_id || ':' || verification_state)) AS digest FROM fx_claims GROUP BY subject_id")
+
+@query("""
+WITH p AS (SELECT subject_id, left(claim_id, 2) AS part, count(*) AS n, md5(string_agg(claim_id || ':' || verification_state, ';' ORDER BY claim_id || ':' || verification_state)) AS d FROM fx_claims GROUP BY ALL)
+SELECT subject_id, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(part || d, ',' ORDER BY part)) AS digest FROM p GROUP BY subject_id""")
 def group_digest(t):
-    return t.claims.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "claim_id", "verification_state"))), ";").cast("binary")).alias("digest"))
+    return digested(t.claims, ["subject_id"], F.concat_ws(":", "claim_id", "verification_state"), ";", "digest")
 
 
 FUNNEL = ["collected_unreviewed", "verification_pending", "verified"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recordspine import functions as fn
 from recordspine.functions import ladders
 from recordspine.operators import graph, relational
+from recordspine.operators.ordering import with_position
 from recordspine.plans.registry import query
 from recordspine.sources import tables
 
@@ -63,7 +64,7 @@ SELECT *, row_number() OVER (PARTITION BY branch ORDER BY canonical_name, person
 def directory_order(t):
     rank = F.when(F.col("branch") == "executive", 1).when(F.col("branch") == "legislative", 2).otherwise(3)
     d = projection(t).select("branch", "canonical_name", "person_id").distinct().withColumn("level_rank", rank)
-    return d.withColumn("position", F.row_number().over(Window.partitionBy("branch").orderBy("canonical_name", "person_id")))
+    return with_position(d, [F.col("canonical_name").asc(), F.col("person_id").asc()], within=["branch"])
 
 
 @query("SELECT seat_id, count(*) AS n, min(occupancy_id) AS first_occupancy, max(occupancy_id) AS last_occupancy FROM fx_occupancies WHERE occupancy_status IN ('current', 'acting') GROUP BY seat_id HAVING count(*) > 1")
@@ -81,9 +82,19 @@ def occupancy_timeline(t):
     return o.select("occupancy_id", "seat_id", "person_id", "start_date", "end_date", F.when(F.col("end_date").isNull(), F.col("occupancy_status")).otherwise("completed").alias("occupancy_status"))
 
 
-@query("SELECT o.seat_id, o.person_id, o.occupancy_id, coalesce(o.occupancy_status, '') AS raw, CASE WHEN o.occupancy_status IN ('current','acting','completed') THEN o.occupancy_status ELSE 'current' END AS stored FROM fx_occupancies o")
+RAW_STATUS = "CASE o_orderkey % 10 WHEN 0 THEN 'former' WHEN 1 THEN 'occupied' WHEN 2 THEN 'unknown' WHEN 3 THEN 'upcoming' WHEN 4 THEN 'vacant' WHEN 5 THEN 'disputed' WHEN 6 THEN 'pending' WHEN 7 THEN 'current' WHEN 8 THEN 'acting' END"
+
+
+@query(f"""
+SELECT occupancy_id, raw, vacant, CASE WHEN raw = 'former' THEN 'completed' WHEN raw IN ('occupied', 'unknown') THEN CASE WHEN vacant THEN 'vacant' ELSE 'current' END
+  WHEN raw IN ('current', 'upcoming', 'completed', 'vacant', 'acting', 'disputed') THEN raw WHEN vacant THEN 'completed' ELSE 'current' END AS stored,
+  CASE WHEN raw = 'acting' THEN 'acting' WHEN vacant THEN 'vacant' ELSE 'occupied' END AS seat_status
+FROM (SELECT o_orderkey AS occupancy_id, {RAW_STATUS} AS raw, o_custkey % 2 = 0 AS vacant FROM orders)""")
 def occupancy_status_stored(t):
-    return t.occupancies.select("seat_id", "person_id", "occupancy_id", F.coalesce("occupancy_status", F.lit("")).alias("raw"), ladders.occupancy_row_status(F.col("occupancy_status"), F.lit(False)).alias("stored"))
+    """What a collected term is stored as, in the term's table and in the seat's."""
+    o = t.orders.select(F.col("o_orderkey").alias("occupancy_id"), F.expr(RAW_STATUS).alias("raw"), (F.col("o_custkey") % 2 == 0).alias("vacant"))
+    acting = F.coalesce(F.col("raw") == "acting", F.lit(False))
+    return o.withColumns({"stored": ladders.occupancy_row_status(F.col("raw"), F.col("vacant")), "seat_status": ladders.seat_table_status(~F.col("vacant"), acting)})
 
 
 @query("""
@@ -91,7 +102,7 @@ SELECT j.jurisdiction_id, j.parent_jurisdiction_id AS ancestor, 1 AS distance, p
 FROM fx_jurisdictions j JOIN fx_jurisdictions p ON p.jurisdiction_id = j.parent_jurisdiction_id""")
 def jurisdiction_tree(t):
     j = t.jurisdictions
-    up = graph.ancestors(j, "jurisdiction_id", "parent_jurisdiction_id", 3)
+    up = graph.ancestors(j, "jurisdiction_id", "parent_jurisdiction_id")
     return up.join(j.select(F.col("jurisdiction_id").alias("ancestor"), F.col("name").alias("ancestor_name")), "ancestor").select("jurisdiction_id", "ancestor", "distance", "ancestor_name")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordspine.functions import ladders
 from recordspine.operators import graph, relational
+from recordspine.operators.ordering import with_position
 from recordspine.plans.registry import query
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -28,8 +29,7 @@ def ready_work(t):
     open_jobs = jobs.where("status NOT IN ('succeeded', 'failed')").select(F.col("job_id").alias("prerequisite_job_id"))
     blocked = t.job_deps.join(open_jobs, "prerequisite_job_id", "left_semi").select("job_id")
     ready = jobs.where((F.col("status") == "queued") & (F.col("attempt_count") < F.col("max_attempts")) & (ts("scheduled_for") <= now())).join(blocked, "job_id", "left_anti")
-    # The queue is one order by nature: a few thousand ready rows.
-    return ready.select("job_id", "priority", "scheduled_for", F.row_number().over(Window.orderBy(F.desc("priority"), F.asc_nulls_first("scheduled_for"), "job_id")).alias("position"))
+    return with_position(ready.select("job_id", "priority", "scheduled_for"), [F.desc("priority"), F.asc_nulls_first("scheduled_for"), F.asc("job_id")])
 
 
 @query("SELECT job_id, worker_run_id, capability, status, started_at FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY started_at DESC, worker_run_id DESC) AS r FROM fx_worker_runs) WHERE r = 1")
@@ -166,7 +166,9 @@ def props_json(t):
     return t.events.select("event_id", k.alias("k"), F.concat(F.lit('{"k":'), k.cast("string"), F.lit(',"type":"'), "event_type", F.lit('"}')).alias("merged"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT job_id AS a, prerequisite_job_id AS b FROM fx_job_deps), reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
+SELECT e.a AS job_id, e.b AS prerequisite_job_id FROM e JOIN reach r ON r.a = e.b AND r.b = e.a""")
 def dependency_cycles(t):
     return graph.cyclic_edges(t.job_deps, "job_id", "prerequisite_job_id")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordspine import functions as fn
 from recordspine.functions import ladders
+from recordspine.operators.ordering import with_position
 from recordspine.operators import relational
 from recordspine.plans.registry import query
 from recordspine.sources import tables
@@ -170,6 +171,6 @@ ok AS (SELECT DISTINCT source_key AS host FROM fx_retrievals WHERE starts_with(s
 SELECT seat_id, min(pos) AS position, min_by(pol.host, pos) AS source_key FROM pol JOIN ok ON ok.host = pol.host GROUP BY seat_id""")
 def first_eligible_source(t):
     hosts = t.retrievals.groupBy(F.col("source_key").alias("host")).agg(F.bool_or(F.col("source_url").startswith("https:")).alias("https"))
-    ranked = hosts.withColumn("pos", F.row_number().over(Window.orderBy("host")))  # a few registered hosts
-    policy = t.seats.select("seat_id", (F.col("seat_id") % 10).alias("k")).join(F.broadcast(ranked.where("https").withColumn("k", (F.col("pos") % 10).cast("long"))), "k")
-    return policy.groupBy("seat_id").agg(F.min("pos").alias("position"), F.min_by("host", "pos").alias("source_key"))
+    ranked = with_position(hosts, [F.col("host").asc()], "pos").where("https").withColumn("k", F.col("pos") % 10)
+    first = ranked.groupBy("k").agg(F.min("pos").cast("int").alias("position"), F.min_by("host", "pos").alias("source_key"))  # ten rows
+    return t.seats.select("seat_id", (F.col("seat_id") % 10).alias("k")).join(F.broadcast(first), "k").select("seat_id", "position", "source_key")

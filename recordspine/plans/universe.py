@@ -157,12 +157,28 @@ def composite_score(t):
 
 
 @query("""
-WITH w AS (SELECT s_suppkey AS id, s_nationkey AS region, s_suppkey % 5 AS family, s_suppkey % 3 AS phase FROM supplier)
-SELECT a.id AS left_id, b.id AS right_id FROM w a JOIN w b ON a.region = b.region AND a.family = b.family AND a.phase = b.phase AND a.id < b.id""")
+WITH w AS (SELECT s_suppkey AS id, s_nationkey AS region, s_suppkey % 5 AS family, s_suppkey % 3 AS phase FROM supplier), g AS (SELECT region, family, phase, min(id) AS first_id, count(*) AS members FROM w GROUP BY ALL HAVING count(*) > 1)
+SELECT w.id, g.first_id, g.members FROM w JOIN g ON g.region = w.region AND g.family = w.family AND g.phase = w.phase""")
 def scope_overlaps(t):
+    """Workstreams of one scope overlap: each with the scope's first and the number of them, not every pair."""
     w = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("region"), (F.col("s_suppkey") % 5).alias("family"), (F.col("s_suppkey") % 3).alias("phase"))
-    other = w.withColumnRenamed("id", "right_id")
-    return w.join(other, ["region", "family", "phase"]).where("id < right_id").select(F.col("id").alias("left_id"), "right_id")
+    g = w.groupBy("region", "family", "phase").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    return w.join(g, ["region", "family", "phase"]).select("id", "first_id", "members")
+
+
+STREAM_PATH = "concat_ws('/', 'data', CAST(s_nationkey AS STRING), CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 5 AS STRING) END, CASE WHEN s_suppkey % 3 > 1 THEN CAST(s_suppkey % 7 AS STRING) END)"
+
+
+@query(f"""
+WITH w AS (SELECT s_suppkey AS id, {STREAM_PATH} AS path FROM supplier), p AS (SELECT path, count(*) AS owners FROM w GROUP BY path)
+SELECT p.path, p.owners, count(w.id) AS inside FROM p JOIN w ON w.path = p.path OR starts_with(w.path, p.path || '/') GROUP BY p.path, p.owners HAVING count(w.id) > 1""")
+def path_overlaps(t):
+    """Paths with all workstreams at or below them: each path meets its own beginnings by equality."""
+    w = t.supplier.select(F.col("s_suppkey").alias("id"), F.expr(STREAM_PATH).alias("own"))
+    parts = F.split("own", "/")
+    above = w.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("path"))
+    inside = above.groupBy("path").agg(F.count(F.lit(1)).alias("inside")).where("inside > 1")
+    return w.groupBy(F.col("own").alias("path")).agg(F.count(F.lit(1)).alias("owners")).join(inside, "path").select("path", "owners", "inside")
 
 
 # Units of capability families and the source families of a pass plan.

@@ -48,8 +48,8 @@ FROM lineitem JOIN (SELECT t.k, t.field_key FROM (VALUES (0,'current_occupant'),
     "evidence": "SELECT doc_id AS evidence_id, source AS source_key, md5(text) AS content_hash, n_chars AS byte_length, CASE WHEN doc_id % 4 = 0 THEN 'verified' ELSE 'pending' END AS verification_state FROM documents",
     "claim_evidence": """
 SELECT DISTINCT c.claim_id, e.evidence_id, CASE e.evidence_id % 4 WHEN 0 THEN 'contradicts' WHEN 1 THEN 'contextualizes' ELSE 'supports' END AS role
-FROM (SELECT md5(concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(l_quantity AS INT) AS STRING), CAST(CAST(l_shipdate AS DATE) AS STRING))) AS claim_id, l_partkey AS k FROM lineitem WHERE l_linenumber < 4) c
-JOIN (SELECT doc_id AS evidence_id FROM documents) e ON e.evidence_id = c.k % 500""",
+FROM (SELECT md5(concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(l_quantity AS INT) AS STRING), CAST(CAST(l_shipdate AS DATE) AS STRING))) AS claim_id, l_partkey * 7 + l_linenumber AS k FROM lineitem WHERE l_linenumber < 4) c
+CROSS JOIN (SELECT max(doc_id) + 1 AS docs FROM documents) n JOIN (SELECT doc_id AS evidence_id FROM documents) e ON e.evidence_id = c.k % n.docs""",
     "retrievals": """
 SELECT page_id AS retrieval_id, parse_host.host AS source_key, md5(html) AS content_hash, length(html) AS n_chars, url AS source_url
 FROM (SELECT page_id, html, url, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages) parse_host""",

@@ -7,8 +7,6 @@ from recordspine.functions import ladders
 
 def step(state, field, matched, ev, contra, portrait, tier, certified):
     """One move of the state machine, as a loop would take it."""
-    if field == "test_force_reject":
-        return "rejected"
     if state == "collected_unreviewed":
         return "extracted"
     if state == "extracted":
@@ -30,7 +28,7 @@ def step(state, field, matched, ev, contra, portrait, tier, certified):
 
 def test_next_state_is_the_fixed_point_of_the_step(spark):
     flags = list(itertools.product([False, True], repeat=6))
-    rows = [(s, f, *x) for s in ladders.CLAIM_MOVES for f in ("contact", "portrait", "test_force_reject") for x in flags]
+    rows = [(s, f, *x) for s in ladders.CLAIM_MOVES for f in ("contact", "portrait") for x in flags]
     names = ["state", "field", "matched", "ev", "contra", "portrait", "tier", "certified"]
     df = spark.createDataFrame(rows, names)
     got = df.withColumn("out", ladders.next_claim_state(*(F.col(c) for c in names))).collect()

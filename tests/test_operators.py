@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from recordspine import functions as fn
 from recordspine.operators import extract, graph, places, quality, relational
+from recordspine.operators.ordering import with_position
 from recordspine.sources import tables
 
 
@@ -148,3 +149,27 @@ def test_roster_lines_and_labels(spark):
     assert pairs(extract.label_values(lines, "doc_id", "line")) == [(1, "phone", "555 1234")]
     terms = spark.createDataFrame([(1, '{"a":{"verification_state":"verified"}}'), (2, '{"name":"verified"}')], "id int, body string")
     assert pairs(extract.promoted_terms(terms, "id", "body")) == [(1, "verified")]
+
+
+def test_edges_between_cycles_are_not_cyclic(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4), (6, 6), (7, 1), (5, 9), *((i, i + 1) for i in range(20, 60)), (60, 20), (30, 4)], "job long, pre long")
+    want = [(1, 2), (2, 1), (4, 5), (5, 4), (6, 6), *((i, i + 1) for i in range(20, 60)), (60, 20)]
+    assert pairs(graph.cyclic_edges(edges, "job", "pre")) == sorted(want)
+
+
+def test_ancestors_of_a_long_chain_and_of_a_ring(spark):
+    chain = spark.createDataFrame([(i, i + 1 if i < 12 else None) for i in range(13)], "id long, parent long")
+    assert pairs(graph.ancestors(chain, "id", "parent")) == sorted((i, j, j - i) for i in range(13) for j in range(i + 1, 13))
+    with pytest.raises(ValueError):
+        graph.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id long, parent long"), "id", "parent")
+
+
+def test_positions_are_one_order(spark):
+    rows = [(i * 7919 % 1000, i % 3) for i in range(1000)]
+    df = spark.createDataFrame(rows, "x long, g long")
+    got = {r.x: r.position for r in with_position(df, [F.desc("x")]).collect()}
+    assert got == {x: 1000 - x for x, _ in rows}
+    inside = with_position(df, [F.asc("x")], "p", within=["g"]).collect()
+    for g in range(3):
+        assert [r.p for r in sorted((r for r in inside if r.g == g), key=lambda r: r.x)] == list(range(1, sum(g == y for _, y in rows) + 1))
+    assert with_position(df.limit(0), [F.asc("x")]).count() == 0
