@@ -20,7 +20,9 @@ numbers and names has the same template.
    items under 8 words; signs between words don't matter. An item of one word is thus in each text with that word.
 
 Without Settings.whole, a copy all in capitals has no names to tell and matches between the item's names only, and items
-under 8 tokens match nothing. Null and empty texts are clean. Repeated items or rows count once. The benchmark's windows are broadcast only after their number is known to be small; otherwise both sides
+under 8 tokens match nothing. Null and empty texts are clean. Repeated items or rows count once; an id with
+several texts is a row or an item for each of them, and windows of two texts never meet in one alignment. Extra columns are
+not read, whatever their names; texts may be of any length. The benchmark's windows are broadcast only after their number is known to be small; otherwise both sides
 are shuffled.
 """
 
@@ -124,14 +126,15 @@ def literal(rows: DataFrame, whole: DataFrame, items: DataFrame, near: Callable[
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, covered, share): one row for each document and benchmark item that it holds."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text), True).alias("item_tokens"), plain_words(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0 if s.whole else F.size("item_tokens") >= s.window).dropDuplicates()
+    as_row = lambda i, text: F.struct(F.col(i).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("hash"))  # noqa: E731  one id with two texts is two rows
+    items = benchmark.select(as_row(item_id, item_text).alias("item_id"), tokens(F.col(item_text), True).alias("item_tokens"), plain_words(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0 if s.whole else F.size("item_tokens") >= s.window).dropDuplicates()
     items = materialize(items.withColumn("item_template", template("item_tokens")), "leak-items")
     searched = lambda template, words, step: F.concat(windows(template, s.search_words, step), windows(words, s.search_words, step)) if s.whole else windows(template, s.search_words, step)
     keys = materialize(items.select(F.explode(searched("item_template", "item_words", 1)).alias("w")).select("w.h").distinct(), "leak-keys")
     small = keys.count() <= s.broadcast_rows
     near = (lambda x: F.broadcast(x)) if small else (lambda x: x)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(as_row(doc_id, text).alias("doc_id"), F.col(text).cast("string").alias("text"))
     seen = rows.select("doc_id", tokens(F.col("text"), False).alias("t"), plain_words(F.col("text")).alias("p")).select("doc_id", F.explode(searched("t", "p", s.stride)).alias("w")).select("doc_id", "w.h")
     near_docs = materialize(seen.join(near(keys), "h", "left_semi").select("doc_id").distinct(), "leak-docs")
 
@@ -154,15 +157,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(),
         worded = worded.join(near(items.select("item_id", "item_words")), "item_id").where(F.size("covered") >= needed("item_words"))
         found = found.unionByName(worded.select("doc_id", "item_id", F.size("item_words").alias("size"), F.size("covered").alias("covered")))
         found = found.unionByName(literal(rows, whole, items, near, s))
-    return found.groupBy("doc_id", "item_id").agg(F.max("covered").cast("long").alias("covered"), F.max(F.col("covered") / F.col("size")).alias("share"))
+    return found.groupBy(F.col("doc_id.id").alias("doc_id"), F.col("item_id.id").alias("item_id")).agg(F.max("covered").cast("long").alias("covered"), F.max(F.col("covered") / F.col("size")).alias("share"))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), **columns: str) -> DataFrame:
     """(doc_id, leaked, n_items, item_ids) of every row of docs."""
-    doc_id = columns.get("doc_id", "doc_id")
-    found = find_leaks(docs, benchmark, s, **columns).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    doc_id, text = columns.get("doc_id", "doc_id"), columns.get("text", "text")
+    rows = docs.withColumn("_row", F.xxhash64(F.col(doc_id), F.col(text).cast("string")))
+    found = find_leaks(rows, benchmark, s, **(columns | {"doc_id": "_row"})).groupBy(F.col("doc_id").alias("_row")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     found = materialize(found, "leaks")
-    out = docs.select(F.col(doc_id).alias("doc_id")).join(found, "doc_id", "left")
+    out = rows.select(F.col(doc_id).alias("doc_id"), "_row").join(found, "_row", "left")
     return out.select("doc_id", F.col("item_ids").isNotNull().alias("leaked"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast(found.schema["item_ids"].dataType)).alias("item_ids"))
 
 

@@ -2,8 +2,9 @@
 
 Kinds of the base (kept whatever their score): email, ip (parts at most 255), card (14 to 19 digits, Luhn),
 phone (+, 10 to 15 digits). Added kinds, kept from a score of 0.5: iban (mod-97 over the length of its country; of
-other codes the longest end from 34 to 15 characters that no capital or digit follows) and national_id (grouped or plain
-digits that only context words make likely). Every expression runs in linear time, also on very long runs of one
+other codes the longest end from 34 to 15 characters that no capital or digit follows), national_id (grouped or plain
+digits that only context words make likely) and secret (a value with a digit behind a name such as password or token and
+= or :, and keys of known forms; the name stays, the value is the span). Every expression runs in linear time, also on very long runs of one
 character. Null and empty texts have no spans. Rows, order and extra columns pass through untouched; columns of the
 same names as the result's are replaced.
 """
@@ -32,10 +33,13 @@ IBAN_LENGTHS = {
     }.items() for c in codes.split()
 }
 NATIONAL_ID = re.compile(r"(?<![0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9})(?![0-9-])")
+SECRET_VALUE = re.compile(r"""[=:]\s{0,3}["']?([A-Za-z0-9_./+-]{8,})""")
+SECRET_NAME = re.compile(r"""(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key)["']?\s{0,3}$""")
+SECRET_FORM = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "national_id")
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_id": 0.2}
+KINDS = (*BASE_KINDS, "iban", "national_id", "secret")
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_id": 0.2, "secret": 0.7}
 CONTEXT = {
     "email": ("email", "e-mail", "mail", "contact", "correo", "courriel"),
     "ip": ("ip", "address", "host", "server", "login", "adresse"),
@@ -43,6 +47,7 @@ CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "teléfono", "téléphone"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "national_id": ("ssn", "social", "security", "passport", "national", "ausweis", "dni"),
+    "secret": ("password", "token", "secret", "key", "login", "credentials"),
 }
 AGAINST = ("order", "invoice", "version", "isbn", "serial", "example", "test")
 WINDOW = 40
@@ -95,6 +100,14 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
                 break
 
 
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Keys of known forms and values that a name before them tells to be secret."""
+    yield from (m.span() for m in SECRET_FORM.finditer(text))
+    for m in SECRET_VALUE.finditer(text):
+        if SECRET_NAME.search(text, max(0, m.start() - 20), m.start()) and any("0" <= c <= "9" for c in m[1]):
+            yield m.span(1)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", s, e) for s, e in emails(text)]
     out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.groups())]
@@ -122,10 +135,12 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     taken = [(s, e) for _, s, e, _ in out]
     extra = [("iban", *x) for x in ibans(text)]
     extra += [("national_id", *m.span()) for m in NATIONAL_ID.finditer(text)]
+    extra += [("secret", *x) for x in secrets(text)]
     for kind, s, e in extra:
         p = score(text, kind, s, e)
         if p >= 0.5 and not any(s < y and x < e for x, y in taken):
             out.append((kind, s, e, p))
+            taken.append((s, e))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
