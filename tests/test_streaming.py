@@ -77,3 +77,17 @@ def test_duplicates_and_dependents(spark, tmp_path):
     facts = spark.createDataFrame([("f1", at), ("f2", at)], "fact_key string, ts timestamp")
     deps = spark.createDataFrame([("f1", "s1"), ("f1", "s2")], "fact_key string, scope string")
     assert sorted(r.scope for r in result(spark, jobs.reopened_scopes(stream_of(spark, facts, tmp_path / "b"), deps), tmp_path / "b").collect()) == ["s1", "s2"]
+
+
+def test_silent_sources_raise_alerts(spark, tmp_path):
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    df = spark.createDataFrame([(1, at(0)), (2, at(0)), (2, at(40)), (2, at(200)), (3, at(190))], "source_id long, ts timestamp")
+    out = result(spark, jobs.staleness_alerts(stream_of(spark, df, tmp_path)), tmp_path).collect()
+    assert [(r.source_id, r.alert) for r in out][:1] == [(1, "warning")] and {r.source_id for r in out} == {1}
+
+
+def test_sessions_of_a_job(spark, tmp_path):
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    df = spark.createDataFrame([(1, at(0)), (1, at(5)), (1, at(20)), (2, at(0)), (9, at(400))], "job_id long, started_at timestamp")
+    out = result(spark, jobs.work_sessions(stream_of(spark, df, tmp_path)), tmp_path).collect()
+    assert sorted((r.job_id, r.runs) for r in out if r.job_id != 9) == [(1, 1), (1, 2), (2, 1)]
