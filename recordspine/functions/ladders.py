@@ -180,3 +180,39 @@ def alignment_state(outside: Column, supports: Column, partial: Column, against:
         F.when(outside, "OUTSIDE_OFFICEHOLDER_AUTHORITY").when((supports > 0) & (against > 0), "CONFLICTING_EVIDENCE").when(supports > 0, "EVIDENCE_SUPPORTS_FULFILLMENT")
         .when(against > 0, "EVIDENCE_SUPPORTS_NON_FULFILLMENT").when(partial > 0, "EVIDENCE_SUPPORTS_PARTIAL_FULFILLMENT").otherwise("INSUFFICIENT_EVIDENCE")
     )
+
+
+def field_explanation(action: Column, presence: Column, field_key: Column, state: Column, capability: Column, open_ended: Column, missing: Column) -> Column:
+    """Why field_evaluation came to its presence and action, in words."""
+    said = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    standing = (
+        F.when(open_ended, "coverage_complete_for_defined_scope (never everything_on_the_internet_complete)")
+        .when(state.isNotNull(), said("field contains information in state ", state)).otherwise("structural entity present")
+    )
+    wanting = F.when(state.isNotNull(), said("required field ", field_key, " is ", state, "; NULL/empty is not complete")).otherwise(said("required field ", field_key, " has no claim; NULL is not complete"))
+    return (
+        F.when(action == "contradiction", said("unresolved contradiction on ", field_key)).when(action == "refresh", "claim is stale and requires refresh")
+        .when(presence == "CHECKED_NO_AUTHORITATIVE_RESULT", "checked; no authoritative result").when(action == "verify", "value present but evidence is insufficient for a material claim")
+        .when(action == "dataset_unit", said("enumerable dataset incomplete; missing ", missing.cast("string"), " units"))
+        .when(action == "close_not_implemented", said("NULL is not complete; capability ", capability, " is NOT_IMPLEMENTED"))
+        .when(action == "collect", wanting).otherwise(standing)
+    )
+
+
+def claim_step(state: Column, field_key: Column, value: Column, matched: Column, has_evidence: Column, has_contradiction: Column, tier: Column, schema_certified: Column) -> Column:
+    """Struct of the next state and the reason: one step; next_claim_state is where the steps end."""
+    out = lambda to, reason: F.struct((to if isinstance(to, Column) else F.lit(to)).alias("to"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
+    address = url_authority(F.coalesce(value, F.lit("")))
+    alone = is_government_primary(tier) & schema_certified & matched
+    portrait = F.when(address != "official_gov_host", out("rejected", address)).otherwise(out("verification_pending", "portrait_gov_host_still_requires_review"))
+    pending = (
+        F.when(has_contradiction, out("conflict", "contradiction_open")).when(field_key == "portrait", portrait)
+        .when(~has_evidence, out("checked_no_authoritative_result", "no_authoritative_evidence"))
+        .when(alone, out("verified", "tier1_schema_unique_evidence")).otherwise(out("verification_pending", "evidence_backed_not_auto_verified"))
+    )
+    return (
+        F.when(state == "collected_unreviewed", out("extracted", "payload_extracted")).when(state == "extracted", out("entity_match_pending", "ready_for_entity_match"))
+        .when((state == "entity_match_pending") & matched, out("evidence_pending", "entities_matched")).when(state == "entity_match_pending", out(state, "entity_match_pending"))
+        .when((state == "evidence_pending") & has_evidence, out("verification_pending", "evidence_present_unreviewed")).when(state == "evidence_pending", out(state, "evidence_missing"))
+        .when(state == "verification_pending", pending).otherwise(out(state, "no_change"))
+    )

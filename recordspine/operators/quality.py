@@ -23,3 +23,11 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def orphans(refs: DataFrame, key: str, targets: DataFrame, target_key: str) -> DataFrame:
     return refs.join(targets.select(F.col(target_key).alias(key)).distinct(), key, "left_anti")
+
+
+def count_gate(manifest: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """manifest (key, expected_minimum, expected_maximum) with n, status and message: a count outside the bounds is rejected."""
+    out = manifest.join(records.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    bad = (F.col("n") < F.col("expected_minimum")) | (F.col("n") > F.col("expected_maximum"))
+    said = F.concat(F.lit("wrote "), F.col("n").cast("string"), F.lit(" records; expected "), F.col("expected_minimum").cast("string"), F.lit("-"), F.col("expected_maximum").cast("string"))
+    return out.withColumns({"status": F.when(bad, "rejected").otherwise("success"), "message": F.when(bad, said)})

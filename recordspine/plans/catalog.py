@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordspine.plans import claims, officials, operations, pages, health, planning, routing, universe, writes  # noqa: F401  registers
+from recordspine.plans import claims, decisions, officials, operations, pages, health, planning, routing, universe, writes  # noqa: F401  registers
 from recordspine.plans.registry import SQL, spark_queries
 
 
