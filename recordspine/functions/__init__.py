@@ -81,12 +81,28 @@ def interval_seconds(text: Column) -> Column:
     return F.when(n != "", n.cast("long") * unit)
 
 
+# Named entities and their characters.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–", "hellip": "…", "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“"}
+
+
+def decode_entities(text: Column) -> Column:
+    """Named, decimal and hexadecimal entities as their characters, in one pass; unknown ones and impossible numbers stay as they are."""
+    entity = "&(#[xX]?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]+);"
+
+    def one(part: Column) -> Column:
+        name = F.lower(F.regexp_extract(part, f"^{entity}", 1))
+        code = F.when(name.startswith("#x"), F.conv(F.substring(name, 3, 12), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 12)).try_cast("long")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(code == 160, " ").when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(vocabularies.look_up(name, ENTITIES))
+        return F.when(char.isNotNull(), F.concat(char, F.regexp_replace(part, f"^{entity}", ""))).otherwise(part)
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, f"(?={entity})"), one), "")).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
-    """Visible text: without scripts, styles and tags, the five usual entities decoded, white space collapsed."""
+    """Visible text: without scripts, styles and tags, entities decoded, white space collapsed."""
     t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    t = F.regexp_replace(t, r"<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
+    t = decode_entities(F.regexp_replace(t, r"<[^>]*>", " "))
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 

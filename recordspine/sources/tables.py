@@ -104,11 +104,21 @@ def public(table: str, df: DataFrame) -> DataFrame:
     return df.select(*(c for c in PUBLIC_COLUMNS[table] if c in df.columns))
 
 
+# Columns that no write may hold.
+FORBIDDEN_COLUMNS = ["id", "record_status", "claim_key", "route", "person_key", "content_sha256", "r2_key"]
+
+
 def assert_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """df, if it holds only columns that the table has; else an error that names the others."""
-    unknown = sorted(set(df.columns) - set(schema.fieldNames()))
-    if unknown:
-        raise ValueError(f"unknown columns: {', '.join(unknown)}")
+    """df, if it holds only columns that the table has, in the table's types, and none that is forbidden; else an error that names the others."""
+    types = {f.name: f.dataType for f in schema}
+    wrong = {
+        "forbidden columns": [c for c in df.columns if c in FORBIDDEN_COLUMNS],
+        "unknown columns": [c for c in df.columns if c not in types and c not in FORBIDDEN_COLUMNS],
+        "columns of another type": [f.name for f in df.schema if f.name in types and f.dataType != types[f.name]],
+    }
+    for what, names in wrong.items():
+        if names:
+            raise ValueError(f"{what}: {', '.join(sorted(names))}")
     return df
 
 

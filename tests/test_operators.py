@@ -129,6 +129,17 @@ def test_record_sets_and_guards(spark, tmp_path):
         tables.public("jobs", df)
     with pytest.raises(ValueError, match="notes"):
         tables.assert_columns(df, T.StructType([T.StructField("person_id", T.IntegerType()), T.StructField("canonical_name", T.StringType())]))
+    with pytest.raises(ValueError, match="another type: person_id"):
+        tables.assert_columns(df.select("person_id"), T.StructType([T.StructField("person_id", T.LongType())]))
+    with pytest.raises(ValueError, match="forbidden columns: route"):
+        tables.assert_columns(df.select(F.col("notes").alias("route")), T.StructType([T.StructField("route", T.StringType())]))
+
+
+def test_entities(spark):
+    text = ["a &amp; b", "&amp;lt;", "&#233;&#x1F600;!", "&#0;&#x110000;&#xD800;", "&MDASH;&unknown;&nbsp;x", "AT&T; &", None, ""]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(text)], "i int, x string").select("i", fn.decode_entities(F.col("x")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == ["a & b", "&lt;", "é😀!", "&#0;&#x110000;&#xD800;", "—&unknown; x", "AT&T; &", None, ""]
+    assert spark.range(1).select(fn.html_text(F.lit("<p>A&#160;&rsquo;s</p><script>x</script> B"))).first()[0] == "A ’s B"
 
 
 def test_extraction(spark):
