@@ -85,3 +85,44 @@ def promoted_terms(rows: DataFrame, key: str, body: str, terms: tuple[str, ...]
 def next_context(lines: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
     """Each line with the one behind it."""
     return lines.withColumn("behind", F.lead(text).over(Window.partitionBy(doc).orderBy(pos)))
+
+
+def combined_lines(lines: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
+    """Office, district and holder of rows that hold all of it: 'Commissioner, District 4 - Jane Doe', 'Mayor: Jane Doe', 'Sheriff | Jane Doe'."""
+    m = lambda i: F.trim(F.regexp_extract(text, r"^\s*(\p{L}[\p{L} ]*?)(?:,?\s+District\s+(\d+))?\s*(?:\s[-–—]\s|:|\|)\s*(\S.*)$", i))
+    rows = lines.select(doc, pos, m(1).alias("office"), F.nullif(m(2), F.lit("")).cast("int").alias("district"), m(3).alias("name"))
+    return rows.where((F.col("office") != "") & fn.looks_like_person_name(F.col("name")))
+
+
+def education_entries(df: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, pos, entry, review_status): parts of an education text between semicolons and line ends; each waits for a review."""
+    parts = F.filter(F.transform(F.split(raw, r"\s*;\s*|\n+"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    return df.select(key, F.posexplode(parts).alias("pos", "entry")).withColumn("review_status", F.lit("unreviewed"))
+
+
+def office_blocks(pages: DataFrame, key: str, html: str, terms: tuple[str, ...] = ("office", "address")) -> DataFrame:
+    """(key, pos, label, line, n): texts of paragraphs and list items below headings that name one of the terms, up to the next heading."""
+    parts = pages.select(key, F.posexplode(F.split(html, r"(?i)(?=<h[1-6][\s>])")).alias("pos", "part"))
+    label = fn.html_text(F.regexp_extract("part", r"(?is)^<h[1-6][^>]*>(.*?)</h[1-6]>", 1))
+    named = parts.select(key, "pos", "part", label.alias("label")).where(F.lower("label").rlike("|".join(terms)))
+    items = F.transform(F.regexp_extract_all("part", F.lit(r"(?is)<(?:p|li|address|dd)(?:\s[^>]*)?>(.*?)</(?:p|li|address|dd)>"), F.lit(1)), fn.html_text)
+    return named.select(key, "pos", "label", F.posexplode(F.slice(F.array_distinct(F.filter(items, lambda x: x != "")), 1, 30)).alias("n", "line"))
+
+
+def named_links(pages: DataFrame, key: str, html: str, base: str, terms: tuple[str, ...], most: int = 50) -> DataFrame:
+    """(key, label, url): web addresses of anchors whose text or href names one of the terms, each once, the first ones of a page."""
+    a = pages.select(key, base, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)(<a\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a>)"), F.lit(1))).alias("pos", "a"))
+    href, label = F.regexp_extract("a", 'href="([^"]*)"', 1), fn.html_text(F.col("a"))
+    a = a.select(key, "pos", label.alias("label"), fn.canonical_url(href, F.col(base)).alias("url"), F.lower(F.concat_ws(" ", label, href)).alias("said"))
+    a = a.where(F.col("url").isNotNull() & F.col("said").rlike("|".join(terms))).groupBy(key, "url").agg(F.min(F.struct("pos", "label")).alias("first"))
+    a = a.select(key, "url", F.col("first.pos").alias("pos"), F.coalesce(F.nullif("first.label", F.lit("")), "url").alias("label"))
+    return top_k(a, [key], [F.col("pos")], most).select(key, "label", "url")
+
+
+def state_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, state, row, cells): rows of member tables under each table's caption, header rows left out."""
+    t = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))).alias("table", "body"))
+    state = fn.html_text(F.regexp_extract("body", r"(?is)<caption[^>]*>(.*?)</caption>", 1))
+    t = t.select(key, "table", state.alias("state"), F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "r"))
+    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), fn.html_text)
+    return t.select(key, "table", "state", "row", cells.alias("cells")).where((F.size("cells") > 0) & (F.col("state") != ""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordspine import functions as fn
 from recordspine.operators import envelopes, extract, places
@@ -180,3 +181,64 @@ def profile_names(t):
 def public_seats(t):
     """Only what may be shown of a table."""
     return tables.public("seats", t.seats)
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 40 AS STRING) END AS district, CAST(NULL AS STRING) AS party FROM supplier")
+def csv_directory(t):
+    """A directory written with other headers and read by their aliases."""
+    path = tables.shared_folder(t.spark, "directory")
+    t.supplier.select(F.col("s_suppkey").alias("Id"), F.col("s_name").alias("Full Name"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 40).alias("Dist")).write.option("header", True).csv(path)
+    got = tables.read_csv_directory(t.spark, path, {"id": ["id"], "name": ["name", "full_name"], "district": ["district", "dist"], "party": ["party"]})
+    return got.withColumn("id", F.col("id").cast("long"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS last_name, CASE WHEN s_suppkey % 2 = 0 THEN 'FL' END AS state FROM supplier")
+def xml_roster(t):
+    path = tables.shared_folder(t.spark, "roster")
+    t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("last_name"), F.when(F.col("s_suppkey") % 2 == 0, "FL").alias("state")).write.format("xml").option("rowTag", "member").option("rootTag", "contact_information").save(path)
+    return tables.read_xml_roster(t.spark, path, "member", T.StructType([T.StructField("id", T.LongType()), T.StructField("last_name", T.StringType()), T.StructField("state", T.StringType())]))
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS segment, CASE WHEN c_mktsegment = 'BUILDING' THEN 'second' ELSE 'first' END AS run FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_custkey % 2 = 0")
+def replaced_sets(t):
+    """Record sets after a second run replaced one of them."""
+    path = tables.shared_folder(t.spark, "sets")
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    tables.replace_records(rows.withColumn("run", F.lit("first")), path, "segment")
+    tables.replace_records(rows.where("segment = 'BUILDING' AND id % 2 = 0").withColumn("run", F.lit("second")), path, "segment")
+    return t.spark.read.schema("id long, run string, segment string").json(path).select("id", "segment", "run")
+
+
+COMBINED = "SELECT s_suppkey AS doc_id, CASE s_suppkey % 5 WHEN 0 THEN 'Mayor: Jane Doe' WHEN 1 THEN concat('Commissioner, District ', CAST(s_suppkey % 13 AS STRING), ' - Max Q. Roe') WHEN 2 THEN 'Sheriff | Ann Lee-Smith' WHEN 3 THEN 'Phone: 555 1234' ELSE 'See the page' END AS line, CASE WHEN s_suppkey % 2 = 0 THEN concat(' B.A., Uni  ', CAST(s_suppkey AS STRING), ' ; ;J.D.') END AS education FROM supplier"
+
+
+@query("SELECT s_suppkey AS doc_id, CASE s_suppkey % 5 WHEN 0 THEN 'Mayor' WHEN 1 THEN 'Commissioner' ELSE 'Sheriff' END AS office, CASE WHEN s_suppkey % 5 = 1 THEN CAST(s_suppkey % 13 AS INT) END AS district, CASE s_suppkey % 5 WHEN 0 THEN 'Jane Doe' WHEN 1 THEN 'Max Q. Roe' ELSE 'Ann Lee-Smith' END AS name FROM supplier WHERE s_suppkey % 5 < 3")
+def combined_roster(t):
+    """Rosters whose rows hold office, district and holder at once."""
+    d = rows_of(t, COMBINED, "supplier").withColumn("pos", F.lit(0))
+    return extract.combined_lines(d, "doc_id", "pos", "line").select("doc_id", "office", "district", "name")
+
+
+@query("SELECT s_suppkey AS doc_id, 'B.A., Uni ' || CAST(s_suppkey AS STRING) AS entry, 'unreviewed' AS review_status FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'J.D.', 'unreviewed' FROM supplier WHERE s_suppkey % 2 = 0")
+def education_rows(t):
+    return extract.education_entries(rows_of(t, COMBINED, "supplier"), "doc_id", "education").select("doc_id", "entry", "review_status")
+
+
+DETAIL = """SELECT s_suppkey AS page_id, 'https://H.gov/m/x.html' AS url, concat('<h2>Capitol Office</h2><p>Room ', CAST(s_suppkey AS STRING), '</p><ul><li>Second &amp; Main</li><li>Second &amp; Main</li></ul><H2 class="b">Bio</H2><p>none</p><a href="/bills/', CAST(s_suppkey % 9 AS STRING), '">Bills</a><a href="/bills/', CAST(s_suppkey % 9 AS STRING), '">Again</a><a href="mailto:bill@x">bill</a><a href="/z">Other</a>',
+  '<table><caption>', CASE WHEN s_suppkey % 2 = 0 THEN 'Florida' ELSE 'Ohio' END, '</caption><tr><th>District</th></tr><tr><td>1st</td><td><a href="/m">', s_name, '</a></td></tr></table>') AS html FROM supplier"""
+
+
+@query("SELECT s_suppkey AS page_id, 'Capitol Office' AS label, 0 AS n, 'Room ' || CAST(s_suppkey AS STRING) AS line FROM supplier UNION ALL SELECT s_suppkey, 'Capitol Office', 1, 'Second & Main' FROM supplier")
+def office_block_lines(t):
+    return extract.office_blocks(rows_of(t, DETAIL, "supplier"), "page_id", "html").select("page_id", "label", "n", "line")
+
+
+@query("SELECT s_suppkey AS page_id, 'Bills' AS label, 'https://h.gov/bills/' || CAST(s_suppkey % 9 AS STRING) AS url FROM supplier")
+def named_page_links(t):
+    return extract.named_links(rows_of(t, DETAIL, "supplier"), "page_id", "html", "url", ("bill",))
+
+
+@query("SELECT s_suppkey AS page_id, CASE WHEN s_suppkey % 2 = 0 THEN 'Florida' ELSE 'Ohio' END AS state, '1st|' || s_name AS cells FROM supplier")
+def state_table_members(t):
+    rows = extract.state_tables(rows_of(t, DETAIL, "supplier"), "page_id", "html")
+    return rows.select("page_id", "state", F.array_join("cells", "|").alias("cells"))

@@ -26,16 +26,20 @@ PUBLIC_COLUMNS = {
 _FALLBACK: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the cluster's shared folder (spark.checkpoint.dir) and read back: cuts the plan."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the cluster's shared folder (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = base or _FALLBACK.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-shared-"))
-    path = f"{base.rstrip('/')}/recordspine/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/recordspine/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the cluster's shared folder and read back: cuts the plan."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_staging(spark: SparkSession, path: str) -> DataFrame:
