@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordspine.llm import chat, decontamination, embeddings, minhash, pii, quality, sentencepiece_fst, sharding, suffix, toxicity
+from recordspine.llm import chat, decontamination, embeddings, lexical, minhash, negatives, pii, quality, sentencepiece_fst, sharding, suffix, toxicity, urls
 
 
 def pipeline(spark, sf_dir):
@@ -24,9 +24,12 @@ def queries():
         "op8_decontamination": decontamination.query,
         "op9_toxicity": toxicity.query,
         "op10_chat_formatting": chat.query,
+        "op11_hard_negatives": negatives.query,
+        "op12_url_filter": urls.query,
+        "op13_lexical_search": lexical.query,
     }
 
 
 def oracle_sql():
     """SQL where it can express the query; the others are tested against brute force, round trips or held-out labels."""
-    return {"op1_minhash_dedup": minhash.SQL, "op7_embedding_dedup": embeddings.SQL, "op10_chat_formatting": chat.SQL}
+    return {"op1_minhash_dedup": minhash.SQL, "op7_embedding_dedup": embeddings.SQL, "op10_chat_formatting": chat.SQL, "op11_hard_negatives": negatives.SQL, "op13_lexical_search": lexical.SQL}
