@@ -64,8 +64,12 @@ def name_parts(name: Column) -> Column:
 
 
 def party(text: Column) -> Column:
-    t = F.lower(F.trim(text))
-    return F.when(t.startswith("rep"), "Republican").when(t.startswith("dem"), "Democratic").when(t.startswith("ind") | t.startswith("npa") | t.startswith("no party"), "No Party Affiliation").when(t == "", None).otherwise(F.trim(text))
+    """The party that a registry's spelling begins with, or its letter; other texts as they are, without surplus spaces."""
+    t = F.lower(text)
+    return (
+        F.when(t.startswith("republican") | (t == "r"), "Republican").when(t.startswith("democrat") | (t == "d"), "Democratic").when(t.startswith("no party"), "No Party Affiliation")
+        .when(t.startswith("independent") | (t == "i"), "Independent").when(t == "", None).otherwise(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    )
 
 
 def district(text: Column) -> Column:
@@ -107,8 +111,10 @@ def html_text(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """href values of anchors, in order."""
-    return F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)"'), F.lit(1))
+    """href values of anchors that have one, wherever it stands in the tag and however it is quoted, decoded, in order."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*>"), F.lit(0))
+    part = lambda tag, i: F.regexp_extract(tag, r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", i)
+    return F.filter(F.transform(tags, lambda tag: decode_entities(F.trim(F.concat(part(tag, 1), part(tag, 2), part(tag, 3))))), lambda x: x != "")
 
 
 def humanize(key: Column) -> Column:
@@ -120,7 +126,12 @@ def initials(name: Column) -> Column:
 
 
 def looks_like_person_name(text: Column) -> Column:
-    return text.rlike(r"^[A-Z][\p{L}'.-]+( [A-Z][\p{L}'.-]*){1,4}$")
+    """Two to six capitalised words of Latin letters (or Jr., Sr., II to IV) that are no vacancy and no title of a site."""
+    t = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r",+\s*$", "")
+    words = F.split(t, " ")
+    word = lambda w: w.rlike(r"^[A-Z][A-Za-z.'’-]*$") | w.rlike(r"(?i)^(Jr\.?|Sr\.?|II|III|IV)$")
+    titled = t.rlike(r"(?i)^(vacant|tbd|to be determined)$") | t.rlike("(?i)welcome|official website|^home$|state of florida$")
+    return F.size(words).between(2, 6) & ~titled & F.forall(words, word)
 
 
 def merge_external_ids(old: Column, new: Column) -> Column:

@@ -139,14 +139,43 @@ def dataset_state(implemented: Column, expected: Column, collected: Column, miss
     return F.when(~implemented, "checked_no_authoritative_result").when(collected == 0, "not_collected").when(met, "coverage_complete_for_defined_scope").otherwise("incomplete")
 
 
-def coverage_state(finite: Column, expected: Column, accounted: Column, missing: Column, cutoff: Column, audited: Column, families: Column, passes: Column, leads: Column, reopened: Column, capability_blocked: Column, source_blocked: Column) -> Column:
+# The reasons of a scope's coverage and the state of each.
+COVERAGE_STATE_OF = {
+    "MATERIAL_MISS_REOPENED_SCOPE": "REOPENED",
+    "REQUIRED_CAPABILITY_BLOCKED": "CAPABILITY_BLOCKED",
+    "REQUIRED_SOURCE_FAMILY_BLOCKED": "SOURCE_BLOCKED",
+    "FINITE_SCOPE_REQUIRES_EXPECTED_UNITS": "IN_PROGRESS",
+    "ACCOUNTED_PLUS_MISSING_EXCEEDS_EXPECTED_UNITS": "REOPENED",
+    "FINITE_SCOPE_REQUIRES_CUTOFF_AND_INDEPENDENT_AUDIT": "IN_PROGRESS",
+    "FINITE_SCOPE_HAS_UNACCOUNTED_UNITS": "IN_PROGRESS",
+    "FINITE_SCOPE_RECONCILED_TO_EXPLICIT_CUTOFF": "RECONCILED_THROUGH",
+    "OPEN_SCOPE_REQUIRES_MULTIPLE_SOURCE_FAMILIES_AND_PASSES": "IN_PROGRESS",
+    "OPEN_SCOPE_HAS_UNRESOLVED_LEADS": "IN_PROGRESS",
+    "OPEN_SCOPE_REQUIRES_AUDIT_AND_AS_OF_BOUNDARY": "IN_PROGRESS",
+    "OPEN_SCOPE_SATURATED_ONLY_FOR_DECLARED_AS_OF_BOUNDARY": "SEARCH_SATURATED_AS_OF",
+}
+
+
+def coverage_reason(finite: Column, expected: Column, accounted: Column, missing: Column, cutoff: Column, audited: Column, families: Column, passes: Column, leads: Column, reopened: Column, capability_blocked: Column, source_blocked: Column) -> Column:
+    """Why a scope's coverage is in its state; null counts are 0, a null expected number is unknown."""
+    zero = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))
+    got, gap = zero(accounted), zero(F.coalesce(missing, expected - zero(accounted)))
     closed = F.coalesce(cutoff.isNotNull() & audited, F.lit(False))
     bounded = (
-        F.when(expected.isNull(), "IN_PROGRESS").when(accounted + missing > expected, "REOPENED").when(~closed, "IN_PROGRESS")
-        .when((accounted != expected) | (missing != 0), "IN_PROGRESS").otherwise("RECONCILED_THROUGH")
+        F.when(expected.isNull(), "FINITE_SCOPE_REQUIRES_EXPECTED_UNITS").when(got + gap > expected, "ACCOUNTED_PLUS_MISSING_EXCEEDS_EXPECTED_UNITS").when(~closed, "FINITE_SCOPE_REQUIRES_CUTOFF_AND_INDEPENDENT_AUDIT")
+        .when((got != expected) | (gap != 0), "FINITE_SCOPE_HAS_UNACCOUNTED_UNITS").otherwise("FINITE_SCOPE_RECONCILED_TO_EXPLICIT_CUTOFF")
     )
-    unbounded = F.when((families < 2) | (passes < 2), "IN_PROGRESS").when(leads > 0, "IN_PROGRESS").when(~closed, "IN_PROGRESS").otherwise("SEARCH_SATURATED_AS_OF")
-    return F.when(reopened, "REOPENED").when(capability_blocked, "CAPABILITY_BLOCKED").when(source_blocked, "SOURCE_BLOCKED").when(finite, bounded).otherwise(unbounded)
+    unbounded = (
+        F.when((zero(families) < 2) | (zero(passes) < 2), "OPEN_SCOPE_REQUIRES_MULTIPLE_SOURCE_FAMILIES_AND_PASSES").when(zero(leads) > 0, "OPEN_SCOPE_HAS_UNRESOLVED_LEADS")
+        .when(~closed, "OPEN_SCOPE_REQUIRES_AUDIT_AND_AS_OF_BOUNDARY").otherwise("OPEN_SCOPE_SATURATED_ONLY_FOR_DECLARED_AS_OF_BOUNDARY")
+    )
+    blocked = F.when(reopened, "MATERIAL_MISS_REOPENED_SCOPE").when(capability_blocked, "REQUIRED_CAPABILITY_BLOCKED").when(source_blocked, "REQUIRED_SOURCE_FAMILY_BLOCKED")
+    return blocked.when(finite, bounded).otherwise(unbounded)
+
+
+def coverage_state(*inputs: Column) -> Column:
+    """The state of coverage_reason, with the same inputs."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in COVERAGE_STATE_OF.items() for x in pair)), coverage_reason(*inputs))
 
 
 def document_kind(head: Column, content_type: Column) -> Column:

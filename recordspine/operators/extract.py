@@ -42,10 +42,18 @@ def single_card(pages: DataFrame, key: str, html: str, office: str) -> DataFrame
 
 
 def profile_name(html: Column) -> Column:
-    """The first name-like text among og:title, twitter:title, h1 and title; null if none is."""
-    found = [F.regexp_extract(html, p, 1) for p in (r'<meta property="og:title" content="([^"]*)"', r'<meta name="twitter:title" content="([^"]*)"', r"(?is)<h1[^>]*>(.*?)</h1>", r"(?is)<title>(.*?)</title>")]
-    clean = F.transform(F.array(*found), lambda x: F.trim(F.regexp_replace(fn.html_text(x), r"\s*[|–-].*$", "")))
-    return F.get(F.filter(clean, fn.looks_like_person_name), F.lit(0))
+    """The first of og:title, twitter:title, h1 and title that is a name, up to a bar or dash, or that says that the seat is
+    vacant ('Vacant'); null if none is."""
+
+    def meta(name: str) -> Column:
+        named, held = rf"""(?:property|name)=["']{name}["']""", r"""content=(?:"([^"]*)"|'([^']*)')"""
+        both = [F.concat(F.regexp_extract(html, p, 1), F.regexp_extract(html, p, 2)) for p in (rf"(?is)<meta\s[^>]*?{named}[^>]*?{held}", rf"(?is)<meta\s[^>]*?{held}[^>]*?{named}")]
+        return F.coalesce(F.nullif(both[0], F.lit("")), both[1])
+
+    found = F.transform(F.array(meta("og:title"), meta("twitter:title"), F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1), F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1)), fn.html_text)
+    name = lambda x: F.trim(F.regexp_replace(x, r"\s*[|—-].*$", ""))
+    read = F.transform(found, lambda x: F.when(x.rlike(r"(?i)\bvacant\b"), "Vacant").when(fn.looks_like_person_name(name(x)), name(x)))
+    return F.get(F.filter(read, lambda x: x.isNotNull()), F.lit(0))
 
 
 def section_items(lines: DataFrame, doc: str, pos: str, text: str, heading: Column) -> DataFrame:
@@ -76,12 +84,6 @@ def image_scores(images: DataFrame, page: str, url: str, method: Column, preferr
     return top_k(images.withColumn("score", score), [page], [F.col("score").desc(), F.col(url)], k)
 
 
-def promoted_terms(rows: DataFrame, key: str, body: str, terms: tuple[str, ...] = ("verified", "published", "approved", "certified")) -> DataFrame:
-    """Rows whose JSON holds a key named like status, state, verification or publication with a promoting value, at any depth."""
-    pattern = rf'(?i)"[^"]*(?:status|state|verification|publication)[^"]*"\s*:\s*"({"|".join(terms)})"'
-    return rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)))).alias("term"))
-
-
 def next_context(lines: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
     """Each line with the one behind it."""
     return lines.withColumn("behind", F.lead(text).over(Window.partitionBy(doc).orderBy(pos)))

@@ -285,10 +285,13 @@ def lineage_violations(t):
     return l.select("claim_id", "evidence_id", why.alias("violation")).where("violation IS NOT NULL").distinct()
 
 
-@query("SELECT DISTINCT c.claim_id, c.subject_id % 1200 AS evidence_id FROM fx_claims c WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = c.subject_id % 1200 + 990)")
+@query("""
+WITH n AS (SELECT count(*) AS n FROM documents), r AS (SELECT l_orderkey, l_linenumber, (l_partkey * 7 + l_orderkey) % (n + n // 10) AS evidence_id FROM lineitem, n) SELECT r.* FROM r LEFT JOIN documents d ON d.doc_id = r.evidence_id WHERE d.doc_id IS NULL""")
 def orphan_references(t):
-    refs = t.claims.select("claim_id", (F.col("subject_id") % 1200).alias("evidence_id"), (F.col("subject_id") % 1200 + 990).alias("ref")).distinct()
-    return quality.orphans(refs, "ref", t.documents, "doc_id").select("claim_id", "evidence_id")
+    """References of the line items' claims to documents that are not there."""
+    n = t.documents.count()
+    refs = t.lineitem.select("l_orderkey", "l_linenumber", ((F.col("l_partkey") * 7 + F.col("l_orderkey")) % (n + n // 10)).alias("evidence_id"))
+    return quality.orphans(refs, "evidence_id", t.documents, "doc_id").select("l_orderkey", "l_linenumber", "evidence_id")
 
 
 @query("""

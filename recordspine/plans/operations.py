@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recordspine.functions import ladders
-from recordspine.operators import graph, relational
+from recordspine.operators import graph, relational, work
 from recordspine.operators.ordering import with_position
 from recordspine.plans.registry import query
 
@@ -21,15 +21,18 @@ def ts(c):
     return F.col(c).cast("timestamp_ntz")
 
 
+READY_AT = "TIMESTAMP '2024-01-30 12:00:00'"
+
+
 @query(f"""
-SELECT job_id, priority, scheduled_for, row_number() OVER (ORDER BY priority DESC, scheduled_for NULLS FIRST, job_id) AS position FROM fx_jobs j
-WHERE status = 'queued' AND attempt_count < max_attempts AND scheduled_for <= {NOW} AND NOT EXISTS (SELECT 1 FROM fx_job_deps d JOIN fx_jobs p ON p.job_id = d.prerequisite_job_id WHERE d.job_id = j.job_id AND p.status <> 'succeeded' AND p.status <> 'failed')""")
+WITH p AS (SELECT job_id, status FROM fx_jobs), held AS (SELECT d.job_id FROM fx_job_deps d JOIN p ON p.job_id = d.prerequisite_job_id GROUP BY d.job_id HAVING count(*) > count(*) FILTER (WHERE p.status = 'succeeded'))
+SELECT job_id, status, priority, scheduled_for, row_number() OVER (ORDER BY priority DESC, scheduled_for NULLS FIRST, job_id) AS position FROM fx_jobs
+WHERE (status = 'queued' OR status = 'leased' AND lease_expires_at < {READY_AT}) AND attempt_count < max_attempts AND (scheduled_for IS NULL OR scheduled_for <= {READY_AT}) AND job_id NOT IN (SELECT job_id FROM held)""")
 def ready_work(t):
-    jobs = t.jobs
-    open_jobs = jobs.where("status NOT IN ('succeeded', 'failed')").select(F.col("job_id").alias("prerequisite_job_id"))
-    blocked = t.job_deps.join(open_jobs, "prerequisite_job_id", "left_semi").select("job_id")
-    ready = jobs.where((F.col("status") == "queued") & (F.col("attempt_count") < F.col("max_attempts")) & (ts("scheduled_for") <= now())).join(blocked, "job_id", "left_anti")
-    return with_position(ready.select("job_id", "priority", "scheduled_for"), [F.desc("priority"), F.asc_nulls_first("scheduled_for"), F.asc("job_id")])
+    """Jobs that may be leased, in the queue's order; a third of the dependencies have a prerequisite that failed."""
+    jobs = t.jobs.withColumns({"scheduled_for": ts("scheduled_for"), "lease_expires_at": ts("lease_expires_at")})
+    rows = work.ready(jobs, t.job_deps, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"))
+    return with_position(rows.select("job_id", "status", "priority", "scheduled_for"), [F.desc("priority"), F.asc_nulls_first("scheduled_for"), F.asc("job_id")])
 
 
 @query("SELECT job_id, worker_run_id, capability, status, started_at FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY started_at DESC, worker_run_id DESC) AS r FROM fx_worker_runs) WHERE r = 1")

@@ -32,6 +32,7 @@ HTML_SQL = "regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</
 for _entity, _char in ENTITIES:
     HTML_SQL = f"replace({HTML_SQL}, '{_entity}', '{_char}')"
 HTML_SQL = f"trim(regexp_replace({HTML_SQL}, '[\\s]+', ' ', 'g'))"
+HREFS_SQL = r"""list_filter(list_transform(regexp_extract_all(html, '(?is)<a\s[^>]*>'), lambda x: trim(regexp_extract(x, '(?i)\shref\s*=\s*["'']?([^"''>]*)', 1))), lambda x: x <> '')"""
 
 
 @query(f"SELECT page_id, md5(v) AS text_md5, length(v) AS n_chars FROM (SELECT page_id, {HTML_SQL} AS v FROM pages)")
@@ -40,7 +41,7 @@ def html_text(t):
     return t.pages.select("page_id", F.md5(v.cast("binary")).alias("text_md5"), F.char_length(v).cast("long").alias("n_chars"))
 
 
-@query("""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY ALL""")
+@query(f"""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest({HREFS_SQL}) AS href FROM pages) GROUP BY ALL""")
 def page_links(t):
     return t.pages.select("page_id", F.explode(fn.links(F.col("html"))).alias("href")).groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
 
@@ -93,7 +94,7 @@ CAT_SQL = ", ".join(f"('{w}', '{c}')" for w, c in CATEGORIES.items())
 
 
 @query(f"""
-WITH a AS (SELECT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)), c(word, category) AS (VALUES {CAT_SQL})
+WITH a AS (SELECT page_id, href FROM (SELECT page_id, unnest({HREFS_SQL}) AS href FROM pages)), c(word, category) AS (VALUES {CAT_SQL})
 SELECT page_id, category, count(*) AS hits, CAST(sum(CASE WHEN lower(href) = '/' || word THEN 3 ELSE 1 END) AS BIGINT) AS score FROM a JOIN c ON contains(lower(href), word) GROUP BY page_id, category""")
 def link_categories(t):
     return link_scores(t).groupBy("page_id", "category").agg(F.count(F.lit(1)).alias("hits"), F.sum("score").alias("score"))
@@ -106,7 +107,7 @@ def link_scores(t):
 
 
 @query(f"""
-WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages), c(word, category) AS (VALUES {CAT_SQL}),
+WITH a AS (SELECT page_id, unnest({HREFS_SQL}) AS href FROM pages), c(word, category) AS (VALUES {CAT_SQL}),
 s AS (SELECT category, href, max(CASE WHEN lower(href) = '/' || word THEN 3 ELSE 1 END) AS score, count(*) AS n FROM a JOIN c ON contains(lower(href), word) GROUP BY category, href)
 SELECT category, href, CAST(score AS BIGINT) AS score, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY score DESC, n DESC, href) AS INT) AS rank FROM s) WHERE rank <= 20""")
 def topk_per_category(t):
@@ -115,7 +116,7 @@ def topk_per_category(t):
 
 
 @query(f"""
-WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages), c(word, category) AS (VALUES {CAT_SQL}),
+WITH a AS (SELECT page_id, unnest({HREFS_SQL}) AS href FROM pages), c(word, category) AS (VALUES {CAT_SQL}),
 have AS (SELECT DISTINCT page_id, category FROM a JOIN c ON contains(lower(href), word)), cats AS (SELECT DISTINCT category FROM c)
 SELECT p.page_id, count(*) AS n, string_agg(k.category, ',' ORDER BY k.category) AS unresolved FROM pages p CROSS JOIN cats k LEFT JOIN have h ON h.page_id = p.page_id AND h.category = k.category WHERE h.page_id IS NULL GROUP BY p.page_id""")
 def unresolved_categories(t):
@@ -155,16 +156,6 @@ def retrieval_register(t):
     return relational.latest(t.retrievals, ["source_key", "content_hash"], [F.col("retrieval_id")]).select("source_key", "content_hash", "retrieval_id")
 
 
-@query("""
-WITH h AS (SELECT source_key AS host, min(retrieval_id) AS first_id, count(*) AS n FROM fx_retrievals GROUP BY source_key), reg AS (SELECT host FROM h WHERE first_id % 2 = 0)
-SELECT r.retrieval_id, r.source_key, CASE WHEN reg.host IS NULL THEN 'missing' WHEN starts_with(r.source_url, 'https:') THEN 'exact' ELSE 'mismatch' END AS outcome FROM fx_retrievals r LEFT JOIN reg ON reg.host = r.source_key""")
-def source_provenance(t):
-    r = t.retrievals
-    registered = r.groupBy("source_key").agg(F.min("retrieval_id").alias("first_id")).where("first_id % 2 = 0").select("source_key", F.lit(True).alias("known"))
-    out = r.join(registered, "source_key", "left")
-    return out.select("retrieval_id", "source_key", F.when(F.col("known").isNull(), "missing").when(F.col("source_url").startswith("https:"), "exact").otherwise("mismatch").alias("outcome"))
-
-
 @query("""
 WITH pol AS (SELECT s.seat_id, k.pos, k.host FROM fx_seats s CROSS JOIN (SELECT host, CAST(row_number() OVER (ORDER BY host) AS INT) AS pos FROM (SELECT DISTINCT source_key AS host FROM fx_retrievals)) k WHERE k.pos % 10 = s.seat_id % 10),
 ok AS (SELECT DISTINCT source_key AS host FROM fx_retrievals WHERE starts_with(source_url, 'https:'))

@@ -24,27 +24,28 @@ DATES = """SELECT o_orderkey AS order_id, CASE o_orderkey % 4 WHEN 0 THEN concat
   WHEN 2 THEN concat('31/', CAST(day(o_orderdate) AS STRING), '/2020') ELSE 'soon' END AS text FROM orders"""
 
 
-@query("SELECT o_orderkey AS order_id, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN make_date(2000 + year(o_orderdate) % 100, month(o_orderdate), day(o_orderdate)) END AS day FROM orders WHERE year(o_orderdate) < 2000")
+@query("SELECT o_orderkey AS order_id, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN CASE WHEN year(o_orderdate) % 100 >= 10 THEN make_date(2000 + year(o_orderdate) % 100, month(o_orderdate), day(o_orderdate)) END END AS day FROM orders")
 def us_dates(t):
-    return rows_of(t, DATES + " WHERE year(o_orderdate) < 2000", "orders").select("order_id", fn.iso_from_us_date(F.col("text")).alias("day"))
+    return rows_of(t, DATES, "orders").select("order_id", fn.iso_from_us_date(F.col("text")).alias("day"))
 
 
 # Spellings and what they stand for.
-PARTIES = [("Rep.", "Republican"), ("Democrat", "Democratic"), (" no party affiliation", "No Party Affiliation"), ("Green ", "Green"), ("", None)]
+PARTIES = [("Republican Party", "Republican"), ("Democrat", "Democratic"), ("NO PARTY affiliation", "No Party Affiliation"), ("Green  Party ", "Green Party"), ("", None), ("Representative", "Representative"), ("Independent", "Independent"), ("indigenous", "indigenous"), ("R", "Republican"), ("d", "Democratic"), ("I", "Independent")]
+NAMES = [("Ann B. O''Neil-Roe", True), ("Contact us", False), ("Official Website", False), ("Vacant", False), ("Mary Ann Lee Van Der Berg", True), ("Ann O’Neil, ", True), ("Max Roe jr.", True), ("Welcome Home", False), ("To Be Determined", False), ("A B C D E F G", False), ("Jane", False), ("Jo  Li III", True)]
 DISTRICTS = [("At-Large", "AL"), ("District 07", "07"), ("Delegate", "DEL"), ("Resident Commissioner", "RC"), ("north", None), ("12th ward", "12")]
 INTERVALS = [("30s", 30), ("15m", 900), ("24h", 86400), ("7d", 604800), ("never", None)]
 
 
 def pick(i: str, pairs, k: int) -> str:
     """A literal chosen by the remainder of i, in SQL of both engines."""
-    lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
+    lit = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, int) else f"'{x}'"
     return f"CASE CAST({i} % {len(pairs)} AS INT) " + " ".join(f"WHEN {n} THEN {lit(p[k])}" for n, p in enumerate(pairs)) + " END"
 
 
-@query(f"""SELECT c_custkey AS id, {pick('c_custkey', PARTIES, 1)} AS party, {pick('c_custkey', DISTRICTS, 1)} AS district, CAST({pick('c_custkey', INTERVALS, 1)} AS BIGINT) AS seconds, concat(upper(left(c_mktsegment, 1)), lower(substring(c_mktsegment, 2)), ' Race') AS label, left(upper(c_mktsegment), 1) || 'R' AS initials, c_custkey % 2 = 0 AS person FROM customer""")
+@query(f"""SELECT c_custkey AS id, {pick('c_custkey', PARTIES, 1)} AS party, {pick('c_custkey', DISTRICTS, 1)} AS district, CAST({pick('c_custkey', INTERVALS, 1)} AS BIGINT) AS seconds, concat(upper(left(c_mktsegment, 1)), lower(substring(c_mktsegment, 2)), ' Race') AS label, left(upper(c_mktsegment), 1) || 'R' AS initials, {pick('c_custkey', NAMES, 1)} AS person FROM customer""")
 def spellings(t):
     """Parties, districts, intervals, labels and names as registries spell them."""
-    d = rows_of(t, f"SELECT c_custkey AS id, {pick('c_custkey', PARTIES, 0)} AS p, {pick('c_custkey', DISTRICTS, 0)} AS d, {pick('c_custkey', INTERVALS, 0)} AS i, c_mktsegment AS m, CASE WHEN c_custkey % 2 = 0 THEN 'Ann B. O''Neil-Roe' ELSE 'Contact us' END AS n FROM customer", "customer")
+    d = rows_of(t, f"SELECT c_custkey AS id, {pick('c_custkey', PARTIES, 0)} AS p, {pick('c_custkey', DISTRICTS, 0)} AS d, {pick('c_custkey', INTERVALS, 0)} AS i, c_mktsegment AS m, {pick('c_custkey', NAMES, 0)} AS n FROM customer", "customer")
     key = F.concat(F.lower("m"), F.lit("_race"))
     return d.select("id", fn.party(F.col("p")).alias("party"), fn.district(F.col("d")).alias("district"), fn.interval_seconds(F.col("i")).alias("seconds"), fn.humanize(key).alias("label"), fn.initials(fn.humanize(key)).alias("initials"), fn.looks_like_person_name(F.col("n")).alias("person"))
 
@@ -58,17 +59,6 @@ def external_ids(t):
     return d.select("person_id", *(F.try_element_at("ids", F.lit(k)).alias(k) for k in ("wikidata", "bioguide", "fec")), fn.first_external_id(F.col("ids"), ["icpsr", "fec", "bioguide"]).alias("first_id"))
 
 
-KEYS = [("verification_state",), ("name",), ("publicationStatus",), ("stateCode",)]
-WORDS = [("verified",), ("draft",), ("Published",), ("approved",), ("x",)]
-
-
-@query(f"SELECT event_id, {pick('event_id', WORDS, 0)} AS term FROM events WHERE event_id % 4 <> 1 AND event_id % 5 IN (0, 2, 3)")
-def promoted_terms(t):
-    """Producers' rows that claim a promotion of their own, at any depth."""
-    d = rows_of(t, f"""SELECT event_id, concat('{{"a":{{"k":1,"', {pick('event_id', KEYS, 0)}, '": "', {pick('event_id', WORDS, 0)}, '"}}}}') AS body FROM events""", "events")
-    return extract.promoted_terms(d, "event_id", "body")
-
-
 IMAGES = "SELECT p_partkey % 40 AS page_id, concat('https://h.gov/', replace(p_name, ' ', '-'), '/', CAST(p_partkey AS STRING), CASE p_partkey % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.svg' ELSE '.PNG' END) AS url, CASE p_partkey % 4 WHEN 0 THEN 'og:image' WHEN 1 THEN 'twitter:image' ELSE 'img' END AS method, p_size % 5 = 0 AS portrait, p_size % 7 = 0 AS logo, lower(split_part(p_name, ' ', 1)) AS token FROM part"
 
 
@@ -146,13 +136,13 @@ def roster_lines(t):
     return rows_of(t, ROSTER, "supplier").select("doc_id", "k", lines.alias("i", "line")).select("doc_id", (F.col("k") * 3 + F.col("i")).alias("pos"), "line")
 
 
-@query("SELECT s_nationkey AS doc_id, 'office_phone' AS label, concat('555 ', CAST(s_suppkey AS STRING)) AS value FROM supplier")
+@query("SELECT s_nationkey AS doc_id, 'office_phone' AS label, concat('555 ', CAST(s_suppkey AS STRING)) AS value FROM supplier UNION ALL SELECT s_nationkey, 'ann_lee_expires', '2028' FROM supplier WHERE s_suppkey % 4 = 3")
 def label_rows(t):
-    """Labelled values of a detail page's lines; terms inside brackets and after names are none."""
-    return extract.label_values(roster_lines(t).where("line NOT LIKE 'Jane%' AND line NOT LIKE 'Ann%'"), "doc_id", "line")
+    """Labelled values of a detail page's lines; terms inside brackets are none."""
+    return extract.label_values(roster_lines(t), "doc_id", "line")
 
 
-TABLE = """SELECT s_suppkey AS page_id, concat('<table><tr><th>Name</th><TH class="d">District</TH></tr><tr><td><b>', s_name, '</b></td><td> &#', CAST(65 + s_suppkey % 26 AS STRING), '; </td></tr></table><div class="card x">', CASE WHEN s_suppkey % 2 = 0 THEN 'Governor' ELSE 'Clerk' END, ' <a href="/g">G</a>', CASE WHEN s_suppkey % 3 = 0 THEN '<a href="/h">H</a>' ELSE '' END, '</div><h1>',
+TABLE = """SELECT s_suppkey AS page_id, concat('<meta content="Official Website" property="og:title">', CASE WHEN s_suppkey % 7 = 0 THEN '<meta name="twitter:title" content="District 4 - Vacant Seat">' ELSE '' END, '<table><tr><th>Name</th><TH class="d">District</TH></tr><tr><td><b>', s_name, '</b></td><td> &#', CAST(65 + s_suppkey % 26 AS STRING), '; </td></tr></table><div class="card x">', CASE WHEN s_suppkey % 2 = 0 THEN 'Governor' ELSE 'Clerk' END, ' <a href="/g">G</a>', CASE WHEN s_suppkey % 3 = 0 THEN '<a href="/h">H</a>' ELSE '' END, '</div><h1>',
   CASE WHEN s_suppkey % 5 > 0 THEN 'Jane Doe | Office' ELSE '404' END, '</h1><a href="/Senators/S1">Doe, Jane</a> District: ', CAST(s_suppkey % 40 AS STRING), ' Democrat <a href="/Senators/S2">Vacant</a>') AS html FROM supplier"""
 
 
@@ -172,7 +162,7 @@ def directory_rows(t):
     return extract.directory_members(rows_of(t, TABLE, "supplier"), "page_id", "html", "/Senators/")
 
 
-@query("SELECT s_suppkey AS page_id, CASE WHEN s_suppkey % 5 > 0 THEN 'Jane Doe' END AS name FROM supplier")
+@query("SELECT s_suppkey AS page_id, CASE WHEN s_suppkey % 7 = 0 THEN 'Vacant' WHEN s_suppkey % 5 > 0 THEN 'Jane Doe' END AS name FROM supplier")
 def profile_names(t):
     return rows_of(t, TABLE, "supplier").select("page_id", extract.profile_name(F.col("html")).alias("name"))
 

@@ -21,16 +21,27 @@ def units(t):
 UNITS = "SELECT o_custkey AS subject_id, count(*) AS expected, count(*) FILTER (WHERE o_orderstatus = 'F') AS accounted, count(*) FILTER (WHERE o_orderstatus = 'P') AS excluded, count(DISTINCT o_orderpriority) AS families, max(CAST(o_orderdate AS DATE)) AS cutoff FROM orders GROUP BY o_custkey"
 
 
+LEADS = "SELECT o_custkey AS subject_id, count(DISTINCT year(o_orderdate)) AS passes, count(*) FILTER (WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS leads FROM orders GROUP BY o_custkey"
+
+
 @query(f"""
-SELECT subject_id, finite, CASE WHEN subject_id % 17 = 0 THEN 'REOPENED' WHEN subject_id % 13 = 0 THEN 'CAPABILITY_BLOCKED' WHEN subject_id % 11 = 0 THEN 'SOURCE_BLOCKED'
-  WHEN finite THEN CASE WHEN accounted + missing > expected THEN 'REOPENED' WHEN NOT audited THEN 'IN_PROGRESS' WHEN accounted <> expected OR missing <> 0 THEN 'IN_PROGRESS' ELSE 'RECONCILED_THROUGH' END
-  ELSE CASE WHEN families < 2 OR accounted < 2 THEN 'IN_PROGRESS' WHEN excluded > 0 THEN 'IN_PROGRESS' WHEN NOT audited THEN 'IN_PROGRESS' ELSE 'SEARCH_SATURATED_AS_OF' END END AS state
-FROM (SELECT *, subject_id % 2 = 0 AS finite, greatest(0, expected - excluded - accounted) AS missing, subject_id % 3 <> 0 AS audited FROM ({UNITS}))""")
+WITH r AS (SELECT u.subject_id, finite, CASE WHEN u.subject_id % 17 = 0 THEN 'REOPENED:MATERIAL_MISS_REOPENED_SCOPE' WHEN u.subject_id % 13 = 0 THEN 'CAPABILITY_BLOCKED:REQUIRED_CAPABILITY_BLOCKED' WHEN u.subject_id % 11 = 0 THEN 'SOURCE_BLOCKED:REQUIRED_SOURCE_FAMILY_BLOCKED'
+  WHEN finite AND wanted IS NULL THEN 'IN_PROGRESS:FINITE_SCOPE_REQUIRES_EXPECTED_UNITS' WHEN finite AND accounted + missing > wanted THEN 'REOPENED:ACCOUNTED_PLUS_MISSING_EXCEEDS_EXPECTED_UNITS' WHEN finite AND NOT audited THEN 'IN_PROGRESS:FINITE_SCOPE_REQUIRES_CUTOFF_AND_INDEPENDENT_AUDIT'
+  WHEN finite AND (accounted <> wanted OR missing <> 0) THEN 'IN_PROGRESS:FINITE_SCOPE_HAS_UNACCOUNTED_UNITS' WHEN finite THEN 'RECONCILED_THROUGH:FINITE_SCOPE_RECONCILED_TO_EXPLICIT_CUTOFF'
+  WHEN families < 2 OR passes < 2 THEN 'IN_PROGRESS:OPEN_SCOPE_REQUIRES_MULTIPLE_SOURCE_FAMILIES_AND_PASSES' WHEN leads > 0 THEN 'IN_PROGRESS:OPEN_SCOPE_HAS_UNRESOLVED_LEADS' WHEN NOT audited THEN 'IN_PROGRESS:OPEN_SCOPE_REQUIRES_AUDIT_AND_AS_OF_BOUNDARY'
+  ELSE 'SEARCH_SATURATED_AS_OF:OPEN_SCOPE_SATURATED_ONLY_FOR_DECLARED_AS_OF_BOUNDARY' END AS said
+FROM (SELECT *, subject_id % 2 = 0 AS finite, CASE WHEN subject_id % 10 > 0 THEN accounted + excluded END AS wanted, CASE WHEN subject_id % 6 = 4 THEN 0 WHEN subject_id % 8 = 2 THEN expected ELSE excluded END AS missing, subject_id % 3 <> 0 AS audited FROM ({UNITS})) u JOIN ({LEADS}) l ON l.subject_id = u.subject_id)
+SELECT subject_id, finite, split_part(said, ':', 1) AS state, split_part(said, ':', 2) AS reason FROM r""")
 def coverage_state(t):
-    u = units(t).withColumns({"finite": F.col("subject_id") % 2 == 0, "missing": F.greatest(F.lit(0), F.col("expected") - F.col("excluded") - F.col("accounted")), "audited": F.col("subject_id") % 3 != 0})
+    """State and reason of each scope's coverage; passes are the years in which it was looked at, leads its urgent open orders."""
+    i = F.col("subject_id")
+    wanted = F.when(i % 10 > 0, F.col("accounted") + F.col("excluded"))
+    missing = F.when(i % 6 == 4, 0).when(i % 8 == 2, F.col("expected")).otherwise(F.col("excluded"))
+    leads = t.orders.groupBy(F.col("o_custkey").alias("subject_id")).agg(F.count_distinct(F.year("o_orderdate")).alias("passes"), F.count_if((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")).alias("leads"))
+    u = units(t).join(leads, "subject_id").withColumns({"finite": i % 2 == 0, "wanted": wanted, "missing": missing, "audited": i % 3 != 0})
     c = F.col
-    state = ladders.coverage_state(c("finite"), c("expected"), c("accounted"), c("missing"), c("cutoff"), c("audited"), c("families"), c("accounted"), c("excluded"), c("subject_id") % 17 == 0, c("subject_id") % 13 == 0, c("subject_id") % 11 == 0)
-    return u.select("subject_id", "finite", state.alias("state"))
+    inputs = [c("finite"), c("wanted"), c("accounted"), c("missing"), c("cutoff"), c("audited"), c("families"), c("passes"), c("leads"), i % 17 == 0, i % 13 == 0, i % 11 == 0]
+    return u.select("subject_id", "finite", ladders.coverage_state(*inputs).alias("state"), ladders.coverage_reason(*inputs).alias("reason"))
 
 
 @query(f"""SELECT subject_id, expected, accounted, CASE WHEN subject_id % 5 = 0 THEN 'checked_no_authoritative_result' WHEN accounted = 0 THEN 'not_collected' WHEN expected > 0 AND accounted >= expected - excluded AND accounted >= expected THEN 'coverage_complete_for_defined_scope' ELSE 'incomplete' END AS state FROM ({UNITS})""")

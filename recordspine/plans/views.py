@@ -63,8 +63,8 @@ SELECT user_id AS job_id, CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'queued' WHE
   CAST(100 - user_id % 7 AS INT) AS priority, CAST(count(*) % 6 AS INT) AS attempt_count, 5 AS max_attempts, min(ts) AS scheduled_for, max(ts) AS lease_expires_at
 FROM events GROUP BY user_id""",
     "job_deps": """
-SELECT DISTINCT e.user_id AS job_id, (e.user_id * 7 + 3) % n.k AS prerequisite_job_id
-FROM events e CROSS JOIN (SELECT max(user_id) + 1 AS k FROM events) n WHERE e.user_id <> (e.user_id * 7 + 3) % n.k""",
+SELECT DISTINCT e.user_id AS job_id, (e.user_id * 7 + e.user_id % 4) % n.k AS prerequisite_job_id
+FROM events e CROSS JOIN (SELECT max(user_id) + 1 AS k FROM events) n WHERE e.user_id <> (e.user_id * 7 + e.user_id % 4) % n.k""",
     "fingerprints": "SELECT user_id AS source_id, ts AS checked_at, CAST(floor(value / 10) AS INT) AS fingerprint FROM events WHERE event_type = 'view'",
 }
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

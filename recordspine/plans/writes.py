@@ -5,95 +5,67 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordspine.functions import vocabularies as v
+from recordspine.operators import identity, relational, terms
+from recordspine.plans.records import rows_of
 from recordspine.plans.registry import query
 
-PEOPLE = """SELECT c_custkey AS person_id, concat('Pat ', CAST(c_custkey % 300 AS STRING)) AS name, CASE WHEN c_custkey % 3 = 0 THEN concat('B', CAST(c_custkey % 900 AS STRING)) END AS bioguide,
-  CASE WHEN c_custkey % 4 = 0 THEN concat('w', CAST(c_custkey % 500 AS STRING)) END AS wikidata FROM customer"""
-CANDIDATES = f"""SELECT person_id AS candidate_id, name, bioguide, upper(wikidata) AS wikidata, CASE WHEN person_id % 10 = 1 THEN person_id - 1 END AS given_id,
-  CASE WHEN person_id % 3 = 1 THEN person_id % 7 + 1 END AS seat_id, CASE WHEN person_id % 4 = 1 THEN concat('n-', CAST(person_id % 25 AS STRING)) END AS jurisdiction_id FROM ({PEOPLE}) WHERE person_id % 2 = 1"""
+NAME = "concat(CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'Pat ' WHEN 1 THEN 'PÁT  ' WHEN 2 THEN ' pat.' ELSE '“Pat” ' END, CAST(c_custkey % 300 AS STRING))"
+PEOPLE = f"""SELECT c_custkey AS person_id, {NAME} AS canonical_name, CASE WHEN c_custkey % 3 = 0 THEN concat('B', CAST(c_custkey % 900 AS STRING)) END AS bioguide,
+  CASE WHEN c_custkey % 4 = 0 THEN concat('w', CAST(c_custkey % 500 AS STRING), ' ') WHEN c_custkey % 4 = 2 THEN ' ' END AS wikidata FROM customer"""
+CANDIDATES = f"""SELECT c_custkey AS candidate_id, {NAME.replace("c_custkey % 300", "(c_custkey - 1) % 300")} AS canonical_name, CASE WHEN c_custkey % 3 = 0 THEN concat(' b', CAST(c_custkey % 900 AS STRING)) END AS bioguide, CASE WHEN c_custkey % 5 = 0 THEN concat('W', CAST((c_custkey - 1) % 500 AS STRING)) WHEN c_custkey % 5 = 1 THEN '  ' END AS wikidata,
+  CASE WHEN c_custkey % 10 = 1 THEN c_custkey - 1 END AS given_id, CASE WHEN c_custkey % 3 = 1 THEN c_custkey % 7 + 1 END AS seat_id, CASE WHEN c_custkey % 4 = 1 THEN concat('n-', CAST(c_custkey % 25 AS STRING)) END AS jurisdiction_id FROM customer WHERE c_custkey % 2 = 1"""
+IDS = ["bioguide", "wikidata"]
 
 CASCADE = f"""
-WITH people AS (SELECT * FROM ({PEOPLE}) WHERE person_id % 2 = 0), c AS ({CANDIDATES}), held AS (SELECT DISTINCT o.seat_id, o.person_id, p.name, s.jurisdiction_id FROM fx_occupancies o JOIN people p ON p.person_id = o.person_id JOIN fx_seats s ON s.seat_id = o.seat_id),
-ext AS (SELECT c.candidate_id, min(p.person_id) AS hit FROM c JOIN people p ON lower(p.bioguide) = lower(c.bioguide) OR lower(p.wikidata) = lower(c.wikidata) GROUP BY c.candidate_id),
+WITH n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(strip_accents(canonical_name)), '["“”'']', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name, lower(trim(bioguide)) AS b, nullif(lower(trim(wikidata)), '') AS w FROM ({PEOPLE}) WHERE person_id % 2 = 0),
+c AS (SELECT *, trim(regexp_replace(regexp_replace(lower(strip_accents(canonical_name)), '["“”'']', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name, lower(trim(bioguide)) AS b, nullif(lower(trim(wikidata)), '') AS w FROM ({CANDIDATES})),
+held AS (SELECT DISTINCT o.seat_id, o.person_id, n.name, s.jurisdiction_id FROM fx_occupancies o JOIN n ON n.person_id = o.person_id JOIN fx_seats s ON s.seat_id = o.seat_id),
+ext AS (SELECT c.candidate_id, min(n.person_id) AS hit FROM c JOIN n ON n.b = c.b OR n.w = c.w GROUP BY c.candidate_id),
 seat AS (SELECT c.candidate_id, min(h.person_id) AS hit FROM c JOIN held h ON h.seat_id = c.seat_id AND h.name = c.name GROUP BY c.candidate_id HAVING count(DISTINCT h.person_id) = 1),
 area AS (SELECT c.candidate_id, min(h.person_id) AS hit FROM c JOIN held h ON h.jurisdiction_id = c.jurisdiction_id AND h.name = c.name GROUP BY c.candidate_id HAVING count(DISTINCT h.person_id) = 1),
-same AS (SELECT name, count(*) AS n FROM people GROUP BY name),
-r AS (SELECT c.*, CASE WHEN given_id IS NOT NULL THEN g.person_id ELSE coalesce(ext.hit, seat.hit, area.hit) END AS resolved_id, coalesce(same.n, 0) AS namesakes
-  FROM c LEFT JOIN people g ON g.person_id = c.given_id LEFT JOIN ext ON ext.candidate_id = c.candidate_id LEFT JOIN seat ON seat.candidate_id = c.candidate_id LEFT JOIN area ON area.candidate_id = c.candidate_id LEFT JOIN same ON same.name = c.name)
-SELECT candidate_id, name, bioguide, wikidata, resolved_id, CASE WHEN resolved_id IS NOT NULL THEN 'matched' WHEN namesakes > 1 AND seat_id IS NULL AND jurisdiction_id IS NULL THEN 'conflict' ELSE 'unmatched' END AS status,
-  CASE WHEN resolved_id IS NULL THEN CASE WHEN namesakes > 1 AND seat_id IS NULL AND jurisdiction_id IS NULL THEN 'name_only' ELSE 'none' END WHEN given_id IS NOT NULL THEN 'person_id'
-    WHEN bioguide IS NOT NULL OR wikidata IS NOT NULL THEN 'external_identifier' WHEN seat_id IS NOT NULL THEN 'normalized_name_seat' ELSE 'normalized_name_jurisdiction' END AS method FROM r"""
+same AS (SELECT name, count(*) AS n FROM n GROUP BY name),
+r AS (SELECT c.*, CASE WHEN given_id IS NOT NULL THEN g.person_id ELSE coalesce(ext.hit, seat.hit, area.hit) END AS resolved_id, coalesce(same.n, 0) > 1 AND c.seat_id IS NULL AND c.jurisdiction_id IS NULL AS namesakes
+  FROM c LEFT JOIN n g ON g.person_id = c.given_id LEFT JOIN ext ON ext.candidate_id = c.candidate_id LEFT JOIN seat ON seat.candidate_id = c.candidate_id LEFT JOIN area ON area.candidate_id = c.candidate_id LEFT JOIN same ON same.name = c.name)
+SELECT candidate_id, canonical_name, b, w, bioguide, wikidata, resolved_id, CASE WHEN resolved_id IS NOT NULL THEN 'matched' WHEN namesakes THEN 'conflict' ELSE 'unmatched' END AS status,
+  CASE WHEN resolved_id IS NULL THEN CASE WHEN namesakes THEN 'name_only' ELSE 'none' END WHEN given_id IS NOT NULL THEN 'person_id' WHEN b IS NOT NULL OR w IS NOT NULL THEN 'external_identifier' WHEN seat_id IS NOT NULL THEN 'normalized_name_seat' ELSE 'normalized_name_jurisdiction' END AS method FROM r"""
 
 
 def resolved(t):
-    """Candidates with the person that each is: by the given id alone where there is one; else by a shared external
-    identifier (the first such person), else by name among a seat's holders, else among those of a jurisdiction's seats,
-    each only if unique."""
-    all_people = t.spark.sql(PEOPLE.replace("FROM customer", "FROM {customer}"), customer=t.customer)
-    people, c = all_people.where("person_id % 2 = 0"), t.spark.sql(CANDIDATES.replace("FROM customer", "FROM {customer}"), customer=t.customer)
-    held = t.occupancies.select("seat_id", "person_id").distinct().join(people.select("person_id", "name"), "person_id").join(t.seats.select("seat_id", "jurisdiction_id"), "seat_id")
-
-    spelled = lambda df: F.explode(F.filter(F.array(*(F.when(F.col(k).isNotNull(), F.concat_ws("=", F.lit(k), F.lower(k))) for k in v.EXTERNAL_IDS if k in df.columns)), lambda x: x.isNotNull()))
-    firsts = people.select("person_id", spelled(people).alias("entry")).groupBy("entry").agg(F.min("person_id").alias("hit"))
-    by_id = c.select("candidate_id", spelled(c).alias("entry")).join(firsts, "entry").groupBy("candidate_id").agg(F.min("hit").alias("by_id"))
-    unique = lambda keys: held.groupBy(*keys).agg(F.min("person_id").alias("hit"), F.max("person_id").alias("_last")).where("hit = _last").drop("_last")
-    in_seat, in_area = unique(["seat_id", "name"]).withColumnRenamed("hit", "in_seat"), unique(["jurisdiction_id", "name"]).withColumnRenamed("hit", "in_area")
-    same = people.groupBy("name").agg(F.count(F.lit(1)).alias("namesakes"))
-    given = people.select(F.col("person_id").alias("given_id"), F.col("person_id").alias("given"))
-
-    out = c.join(by_id, "candidate_id", "left").join(in_seat, ["seat_id", "name"], "left").join(in_area, ["jurisdiction_id", "name"], "left").join(same, "name", "left").join(given, "given_id", "left")
-    hit = F.when(F.col("given_id").isNotNull(), F.col("given")).otherwise(F.coalesce("by_id", "in_seat", "in_area"))
-    named_only = (F.col("namesakes") > 1) & F.col("seat_id").isNull() & F.col("jurisdiction_id").isNull()
-    how = (
-        F.when(F.col("given_id").isNotNull(), "person_id").when(F.col("bioguide").isNotNull() | F.col("wikidata").isNotNull(), "external_identifier")
-        .when(F.col("seat_id").isNotNull(), "normalized_name_seat").otherwise("normalized_name_jurisdiction")
-    )
-    out = out.withColumn("resolved_id", hit)
-    status = F.when(F.col("resolved_id").isNotNull(), "matched").when(named_only, "conflict").otherwise("unmatched")
-    method = F.when(F.col("resolved_id").isNotNull(), how).when(named_only, "name_only").otherwise("none")
-    return people, out.select("candidate_id", "name", "bioguide", "wikidata", "resolved_id", status.alias("status"), method.alias("method"))
+    people = rows_of(t, PEOPLE, "customer").where("person_id % 2 = 0")
+    return people, identity.resolve_persons(people, t.occupancies, t.seats, rows_of(t, CANDIDATES, "customer"), IDS)
 
 
 @query(f"SELECT candidate_id, status, method, resolved_id FROM ({CASCADE})")
 def identity_cascade(t):
+    """Candidates, whose names and identifiers are spelt in several ways, and the persons that they are."""
     return resolved(t)[1].select("candidate_id", "status", "method", "resolved_id")
 
 
 @query(f"""
 WITH m AS ({CASCADE}), people AS (SELECT * FROM ({PEOPLE}) WHERE person_id % 2 = 0),
-w AS (SELECT coalesce(resolved_id, candidate_id) AS person_id, max_by(bioguide, candidate_id) FILTER (WHERE bioguide IS NOT NULL) AS bioguide, max_by(wikidata, candidate_id) FILTER (WHERE wikidata IS NOT NULL) AS wikidata, min_by(name, candidate_id) AS name, count(*) AS written FROM m WHERE status <> 'conflict' GROUP BY 1)
-SELECT coalesce(p.person_id, w.person_id) AS person_id, coalesce(p.name, w.name) AS canonical_name, coalesce(w.bioguide, p.bioguide) AS bioguide, coalesce(w.wikidata, p.wikidata) AS wikidata, coalesce(w.written, 0) AS written FROM people p FULL JOIN w ON w.person_id = p.person_id""")
+k AS (SELECT coalesce(resolved_id, candidate_id) AS person_id, candidate_id, canonical_name, trim(bioguide) AS bioguide, nullif(trim(wikidata), '') AS wikidata FROM m WHERE status <> 'conflict'),
+w AS (SELECT person_id, max_by(bioguide, candidate_id) FILTER (WHERE bioguide IS NOT NULL) AS bioguide, max_by(wikidata, candidate_id) FILTER (WHERE wikidata IS NOT NULL) AS wikidata, min_by(canonical_name, candidate_id) AS name, count(*) AS written FROM k GROUP BY 1)
+SELECT coalesce(p.person_id, w.person_id) AS person_id, coalesce(p.canonical_name, w.name) AS canonical_name, coalesce(w.bioguide, p.bioguide) AS bioguide, coalesce(w.wikidata, p.wikidata) AS wikidata, coalesce(w.written, 0) AS written FROM people p FULL JOIN w ON w.person_id = p.person_id""")
 def person_upsert(t):
-    """People after the candidates are written: identifiers are merged, the latest wins; the first name stays; conflicts wait."""
+    """People after the candidates are written."""
     people, c = resolved(t)
-    last = lambda k: F.max_by(k, F.when(F.col(k).isNotNull(), F.col("candidate_id")))
-    w = c.where("status <> 'conflict'").groupBy(F.coalesce("resolved_id", "candidate_id").alias("person_id")).agg(
-        last("bioguide").alias("new_bioguide"), last("wikidata").alias("new_wikidata"), F.min_by("name", "candidate_id").alias("new_name"), F.count(F.lit(1)).alias("written"))
-    out = people.join(w, "person_id", "full")
-    return out.select("person_id", F.coalesce("name", "new_name").alias("canonical_name"), F.coalesce("new_bioguide", "bioguide").alias("bioguide"), F.coalesce("new_wikidata", "wikidata").alias("wikidata"), F.coalesce("written", F.lit(0)).alias("written"))
+    return identity.upsert_persons(people, c, IDS)
 
 
 TERMS = """SELECT o_orderkey % 2 AS side, o_orderkey % (SELECT count(*) FROM supplier) AS seat_id, o_custkey % 20 AS person_id, CASE WHEN o_orderkey % 5 > 0 THEN CAST(date_trunc('year', o_orderdate) AS DATE) END AS start_date,
-  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'current' ELSE 'acting' END AS status FROM orders"""
+  CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_orderdate AS DATE) END AS end_date, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'current' ELSE 'acting' END AS status FROM orders"""
 
 
 @query(f"""
-WITH x AS ({TERMS}), k AS (SELECT seat_id, person_id, start_date, max(status) FILTER (WHERE side = 0) AS old, max(status) FILTER (WHERE side = 1) AS new FROM x GROUP BY ALL),
-u AS (SELECT seat_id, person_id, start_date, coalesce(new, old) AS status, old IS NULL AS inserted FROM k),
-keep AS (SELECT seat_id, person_id, start_date FROM (SELECT *, row_number() OVER (PARTITION BY seat_id ORDER BY start_date DESC NULLS LAST, person_id DESC) AS r FROM u WHERE status IN ('current', 'acting')) WHERE r = 1)
-SELECT u.seat_id, u.person_id, u.start_date, CASE WHEN u.status IN ('current', 'acting') AND keep.seat_id IS NULL THEN 'completed' ELSE u.status END AS status, u.status IN ('current', 'acting') AND keep.seat_id IS NULL AS demoted, u.inserted
-FROM u LEFT JOIN keep ON keep.seat_id = u.seat_id AND keep.person_id = u.person_id AND keep.start_date IS NOT DISTINCT FROM u.start_date""")
+WITH x AS ({TERMS}), k AS (SELECT seat_id, person_id, start_date, max(status) FILTER (WHERE side = 0) AS old, max(status) FILTER (WHERE side = 1) AS new, max(end_date) FILTER (WHERE side = 0) AS old_end, max(end_date) FILTER (WHERE side = 1) AS new_end FROM x GROUP BY ALL),
+u AS (SELECT seat_id, person_id, start_date, coalesce(new, old) AS status, coalesce(new_end, old_end) AS end_date, old IS NULL AS inserted FROM k),
+keep AS (SELECT seat_id, person_id, start_date FROM (SELECT *, row_number() OVER (PARTITION BY seat_id ORDER BY start_date DESC NULLS LAST, person_id DESC) AS r FROM u WHERE status IN ('current', 'acting')) WHERE r = 1),
+d AS (SELECT u.*, u.status IN ('current', 'acting') AND keep.seat_id IS NULL AS demoted FROM u LEFT JOIN keep ON keep.seat_id = u.seat_id AND keep.person_id = u.person_id AND keep.start_date IS NOT DISTINCT FROM u.start_date)
+SELECT seat_id, person_id, start_date, CASE WHEN demoted THEN coalesce(end_date, DATE '1998-08-02') ELSE end_date END AS end_date, CASE WHEN demoted THEN 'completed' ELSE status END AS status, demoted, inserted FROM d""")
 def term_upsert(t):
-    """Terms by seat, person and start (null starts are equal); of a seat's running terms the latest stays, the others end."""
-    x = t.spark.sql(TERMS.replace("FROM supplier", "FROM {supplier}").replace("FROM orders", "FROM {orders}"), supplier=t.supplier, orders=t.orders)
-    of = lambda side: F.max(F.when(F.col("side") == side, F.col("status")))
-    u = x.groupBy("seat_id", "person_id", "start_date").agg(of(0).alias("old"), of(1).alias("new"))
-    u = u.select("seat_id", "person_id", "start_date", F.coalesce("new", "old").alias("status"), F.col("old").isNull().alias("inserted"))
-    runs = F.col("status").isin("current", "acting")
-    last = u.where(runs).groupBy("seat_id").agg(F.max(F.struct("start_date", "person_id")).alias("last"))
-    demoted = runs & ~F.struct("start_date", "person_id").eqNullSafe(F.col("last"))
-    out = u.join(last, "seat_id", "left").withColumn("demoted", demoted)
-    return out.select("seat_id", "person_id", "start_date", F.when(F.col("demoted"), "completed").otherwise(F.col("status")).alias("status"), "demoted", "inserted")
+    """Terms after a batch: of a seat's running terms the latest stays, the others end."""
+    x = rows_of(t, TERMS, "supplier", "orders")
+    return terms.upsert_terms(x.where("side = 0").drop("side"), x.where("side = 1").drop("side"), F.to_date(F.lit("1998-08-02")))
 
 
 CAMPAIGNS = """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS election, o_orderkey % (SELECT count(*) FROM supplier) AS seat_id, o_custkey AS person_id, CASE WHEN o_orderkey % 6 = 0 THEN 'withdrawn' ELSE 'filed' END AS status, CAST(o_totalprice AS DECIMAL(18,2)) AS votes FROM orders"""
@@ -125,23 +97,35 @@ def incident_register(t):
 FINITE = ("election_history", "campaign_finance", "financial_disclosure", "executive_actions", "prior_offices")
 
 
+# What is on record: an audit for each seat and field that an order has touched, governors' or not.
+RECORDED = """SELECT DISTINCT o_custkey % 60 AS seat_id, CAST(o_orderkey % 12 AS INT) AS field_id, o_custkey % 3 > 0 AS audited FROM orders WHERE o_custkey % 2 = 0"""
+
+
 @query(f"""
-WITH j AS (SELECT job_id % 50 AS seat_id, f.field_key AS scope_key, bool_or(status IN ('leased', 'running')) AS running, bool_or(status = 'succeeded') AS has_result FROM fx_jobs JOIN fx_contract_fields f ON f.field_id = job_id % 12 GROUP BY ALL),
-n AS (SELECT s.seat_id, f.field_key AS scope_key, coalesce(j.running, false) OR coalesce(j.has_result, false) AS going FROM fx_seats s CROSS JOIN fx_contract_fields f LEFT JOIN j ON j.seat_id = s.seat_id AND j.scope_key = f.field_key WHERE s.office_type = 'governor')
-SELECT seat_id, scope_key, CASE WHEN scope_key IN ({", ".join(f"'{x}'" for x in FINITE)}) THEN 'FINITE' ELSE 'OPEN_ENDED' END AS dataset_kind, CASE WHEN going THEN 'IN_PROGRESS' ELSE 'CAPABILITY_BLOCKED' END AS coverage_state,
-  CASE WHEN seat_id % 2 = 0 THEN 'AUDITED' ELSE 'PENDING' END AS audit_state, CASE WHEN NOT going THEN 'CAPABILITY_NOT_IMPLEMENTED_OR_NOT_ROUTED' END AS blocker, CASE WHEN going THEN 'COLLECT_THEN_INDEPENDENT_COVERAGE_AUDIT' ELSE 'IMPLEMENT_COMPATIBLE_CAPABILITY_ROUTE' END AS next_action FROM n""")
+WITH r AS (SELECT seat_id, f.field_key AS scope_key, bool_or(audited) AS audited FROM ({RECORDED}) x JOIN fx_contract_fields f ON f.field_id = x.field_id GROUP BY ALL),
+j AS (SELECT (job_id - job_id % 5) % 50 AS seat_id, f.field_key AS scope_key, bool_or(status IN ('leased', 'running', 'succeeded')) AS going FROM fx_jobs JOIN fx_contract_fields f ON f.field_id = job_id % 12 GROUP BY ALL),
+n AS (SELECT s.seat_id, f.field_key AS scope_key, coalesce(j.going, false) AS going FROM fx_seats s CROSS JOIN fx_contract_fields f LEFT JOIN j ON j.seat_id = s.seat_id AND j.scope_key = f.field_key WHERE s.office_type = 'governor')
+SELECT coalesce(n.seat_id, r.seat_id) AS seat_id, coalesce(n.scope_key, r.scope_key) AS scope_key, CASE WHEN coalesce(n.scope_key, r.scope_key) IN ({", ".join(f"'{x}'" for x in FINITE)}) THEN 'FINITE' ELSE 'OPEN_ENDED' END AS dataset_kind,
+  CASE WHEN going IS NULL THEN 'UNKNOWN' WHEN going THEN 'IN_PROGRESS' ELSE 'CAPABILITY_BLOCKED' END AS coverage_state, CASE WHEN r.audited THEN 'AUDITED' ELSE 'PENDING' END AS audit_state, CASE WHEN NOT going THEN 'CAPABILITY_NOT_IMPLEMENTED_OR_NOT_ROUTED' END AS blocker,
+  CASE WHEN going THEN 'COLLECT_THEN_INDEPENDENT_COVERAGE_AUDIT' WHEN NOT going THEN 'IMPLEMENT_COMPATIBLE_CAPABILITY_ROUTE' END AS next_action,
+  CASE WHEN going IS NULL THEN 'kept' WHEN r.seat_id IS NULL THEN 'inserted' ELSE 'changed' END AS written FROM n FULL JOIN r ON r.seat_id = n.seat_id AND r.scope_key = n.scope_key""")
 def scope_coverage_upsert(t):
-    """Coverage of each governor's seat and contract field by what its jobs did; an audit that is on record stays."""
+    """Coverage on record after each governor's seat and contract field was looked at: an audit that is on record stays, other
+    values change, and what this batch has not looked at is kept."""
     fields = t.contract_fields.select("field_id", F.col("field_key").alias("scope_key"))
-    j = t.jobs.select((F.col("job_id") % 50).alias("seat_id"), (F.col("job_id") % 12).alias("field_id"), "status").join(F.broadcast(fields), "field_id")  # twelve rows
+    kind = F.when(F.col("scope_key").isin(*FINITE), "FINITE").otherwise("OPEN_ENDED").alias("dataset_kind")
+    none = F.lit(None).cast("string")
+    base = rows_of(t, RECORDED, "orders").join(F.broadcast(fields), "field_id").groupBy("seat_id", "scope_key").agg(F.when(F.bool_or("audited"), "AUDITED").otherwise("PENDING").alias("audit_state"))  # twelve fields
+    base = base.select("seat_id", "scope_key", kind, F.lit("UNKNOWN").alias("coverage_state"), "audit_state", none.alias("blocker"), none.alias("next_action"))
+    j = t.jobs.select(((F.col("job_id") - F.col("job_id") % 5) % 50).alias("seat_id"), (F.col("job_id") % 12).alias("field_id"), "status").join(F.broadcast(fields), "field_id")
     j = j.groupBy("seat_id", "scope_key").agg(F.bool_or(F.col("status").isin("leased", "running", "succeeded")).alias("going"))
     new = t.seats.where("office_type = 'governor'").select("seat_id").crossJoin(F.broadcast(fields.select("scope_key"))).join(j, ["seat_id", "scope_key"], "left")
     going = F.coalesce("going", F.lit(False))
-    new = new.select("seat_id", "scope_key", F.when(F.col("scope_key").isin(*FINITE), "FINITE").otherwise("OPEN_ENDED").alias("dataset_kind"), F.when(going, "IN_PROGRESS").otherwise("CAPABILITY_BLOCKED").alias("coverage_state"), F.lit("PENDING").alias("audit_state"),
+    new = new.select("seat_id", "scope_key", kind, F.when(going, "IN_PROGRESS").otherwise("CAPABILITY_BLOCKED").alias("coverage_state"), F.lit("PENDING").alias("audit_state"),
                      F.when(~going, "CAPABILITY_NOT_IMPLEMENTED_OR_NOT_ROUTED").alias("blocker"), F.when(going, "COLLECT_THEN_INDEPENDENT_COVERAGE_AUDIT").otherwise("IMPLEMENT_COMPATIBLE_CAPABILITY_ROUTE").alias("next_action"))
-    base = new.where("seat_id % 2 = 0").withColumns({"audit_state": F.lit("AUDITED"), "coverage_state": F.lit("UNKNOWN"), "blocker": F.lit(None).cast("string")})
-    known = base.select("seat_id", "scope_key", F.col("audit_state").alias("recorded"))
-    return new.join(known, ["seat_id", "scope_key"], "left").withColumn("audit_state", F.coalesce("recorded", "audit_state")).drop("recorded")
+    out = relational.upsert(base, new, ["seat_id", "scope_key"], keep=["audit_state"])
+    written = F.when(F.col("_in_delta") == 0, "kept").when(F.col("_only_delta") == 1, "inserted").otherwise("changed")
+    return out.withColumn("written", written).drop("_in_delta", "_only_delta")
 
 
 @query(f"""
