@@ -10,29 +10,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from recordspine.sources.tables import written
+from recordspine.streaming.ordered import Fold, ordered
+
 
 def first_submissions(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """The first of each (producer, job_id, hash) within the watermark; later ones are duplicates."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["producer", "job_id", "hash"])
 
 
-def submission_outcomes(stream: DataFrame) -> DataFrame:
-    """accepted, duplicate or conflict for each submission of (producer, job_id): the first hash wins. Columns: producer, job_id, turn, hash."""
+def submission_outcomes(stream: DataFrame, delay: int = 3600, keep: int = 30 * 86400) -> DataFrame:
+    """accepted, duplicate or conflict for each submission of (producer, job_id): the first hash in event time wins, for as long
+    as the job has been heard of in the last `keep` seconds. Columns: producer, job_id, turn, hash, ts. Late ones have no outcome."""
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["turn", "hash"], kind="stable")
-        out = []
-        for turn, h in zip(rows["turn"], rows["hash"], strict=True):
-            if first is None:
-                first = h
-                out.append((key[0], key[1], turn, "accepted"))
-            else:
-                out.append((key[0], key[1], turn, "duplicate" if h == first else "conflict"))
-        state.update((first,))
-        yield pd.DataFrame(out, columns=["producer", "job_id", "turn", "outcome"])
+    def step(state, at, row):
+        first = state[0] if state[0] is not None else row["hash"]
+        outcome = "accepted" if state[0] is None else "duplicate" if row["hash"] == first else "conflict"
+        return (first,), [(at, row["turn"], outcome)]
 
-    return stream.groupBy("producer", "job_id").applyInPandasWithState(run, "producer string, job_id long, turn long, outcome string", "first string", "append", GroupStateTimeout.NoTimeout)
+    return ordered(stream, ["producer", "job_id"], "ts", Fold("turn bigint, hash string", "first string", "turn bigint, outcome string", step, order=("turn", "hash")), delay, keep)
 
 
 def cadence_counts(stream: DataFrame, cadence: str = "1 day", delay: str = "1 hour") -> DataFrame:
@@ -105,38 +101,91 @@ def staleness_alerts(stream: DataFrame, warn_hours: int = 36, error_hours: int =
     return stream.withWatermark("ts", delay).groupBy("source_id").applyInPandasWithState(run, "source_id long, alert string", "newest long, level int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def fingerprint_stream(stream: DataFrame) -> DataFrame:
-    """Changes of a source's fingerprint. Columns: source_id, checked_at, fingerprint."""
+def fingerprint_stream(stream: DataFrame, delay: int = 3600, keep: int = 90 * 86400) -> DataFrame:
+    """Changes of a source's fingerprint in event time. A source that was silent for `keep` seconds starts anew. Columns: source_id,
+    checked_at, fingerprint."""
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["checked_at", "fingerprint"], kind="stable")
-        out = []
-        for at, f in zip(rows["checked_at"], rows["fingerprint"], strict=True):
-            if last is None or f != last:
-                out.append((key[0], at, last, f))
-            last = int(f)
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["source_id", "checked_at", "previous", "fingerprint"]).astype({"previous": "Int64"})
+    def step(state, at, row):
+        return (row["fingerprint"],), [] if row["fingerprint"] == state[0] else [(at, state[0], row["fingerprint"])]
 
-    return stream.groupBy("source_id").applyInPandasWithState(run, "source_id long, checked_at timestamp, previous long, fingerprint long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return ordered(stream, ["source_id"], "checked_at", Fold("fingerprint bigint", "last bigint", "previous bigint, fingerprint bigint", step, order=("fingerprint",)), delay, keep)
 
 
-def circuit_breaker(stream: DataFrame, failures: int = 5, open_seconds: int = 1800) -> DataFrame:
-    """When a source's circuit opens: after so many failures in a row. Columns: source_id, ts, failed."""
+def circuit_breaker(stream: DataFrame, failures: int = 5, open_seconds: int = 1800, delay: int = 60, keep: int = 86400) -> DataFrame:
+    """A source's circuit: open once after so many failures in a row, closed by a success, half_open when its time is over; then one
+    more failure opens it again. Failures while it is open move its end. Columns: source_id, ts, failed."""
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        out = []
-        for at, failed in zip(rows["ts"], rows["failed"], strict=True):
-            n = n + 1 if failed else 0
-            if n >= failures:
-                out.append((key[0], at, at + pd.Timedelta(seconds=open_seconds), n))
-        state.update((n,))
-        yield pd.DataFrame(out, columns=["source_id", "opened_at", "open_until", "failures"])
-
-    return stream.groupBy("source_id").applyInPandasWithState(run, "source_id long, opened_at timestamp, open_until timestamp, failures long", "n long", "append", GroupStateTimeout.NoTimeout)
+    def step(state, at, row):
+        n, until = state[0] or 0, state[1]
+        out = [(until, "half_open", n)] if until is not None and at >= until else []
+        until = None if out else until
+        if not row["failed"]:
+            return (0, None), [*out, *([(at, "closed", 0)] if until is not None else [])]
+        n += 1
+        if n >= failures:
+            out += [(at, "open", n)] if until is None else []
+            until = at + 1000 * open_seconds
+        return (n, until), out
+
+    def idle(state, clock):
+        n, until = state
+        return ((n, None), [(until, "half_open", n)]) if until is not None and clock >= until else (state, [])
+
+    fold = Fold("failed boolean", "n bigint, until bigint", "state string, failures bigint", step, order=("failed",), idle=idle, wake=lambda s: s[1])
+    return ordered(stream, ["source_id"], "ts", fold, delay, keep)
+
+
+def lease_results(leases: DataFrame, results: DataFrame, horizon: int = 86400, delay: int = 600) -> DataFrame:
+    """(job_id, lease_id, leased_at, decision, finished_at): what came of each lease, by a left outer interval join of two streams.
+
+    leases: job_id, lease_id, leased_at, expires_at; results: job_id, lease_id, status, finished_at. A result within `horizon`
+    seconds of the lease's start counts: success in time, late_success after its end, failed; a lease without any is expired as
+    soon as no result can come. State of either side ends with the horizon. Rows later than `delay` belong to late_rows.
+    """
+    left = leases.select("job_id", "lease_id", "leased_at", "expires_at").withWatermark("leased_at", f"{delay} seconds")
+    right = results.select(F.col("job_id").alias("_job"), F.col("lease_id").alias("_lease"), "status", "finished_at").withWatermark("finished_at", f"{delay} seconds")
+    within = (F.col("finished_at") >= F.col("leased_at")) & F.expr(f"finished_at <= leased_at + INTERVAL {int(horizon)} SECONDS")
+    both = left.join(right, (F.col("job_id") == F.col("_job")) & (F.col("lease_id") == F.col("_lease")) & within, "left")
+    late = F.col("finished_at") > F.col("expires_at")
+    decision = F.when(F.col("status").isNull(), "expired").when(F.col("status") != "succeeded", "failed").when(late, "late_success").otherwise("success")
+    return both.select("job_id", "lease_id", "leased_at", decision.alias("decision"), "finished_at")
+
+
+def late_rows(stream: DataFrame, keys: list[str], ts: str, delay: int = 600, keep: int = 86400) -> DataFrame:
+    """(keys, at): rows that come more than `delay` seconds behind the stream's newest, for a side table; the others give nothing."""
+    nothing = Fold("seen bigint", "n int", "none int", lambda state, at, row: (state, []))
+    return ordered(stream.withColumn("seen", F.unix_micros(ts)), keys, ts, nothing, delay, keep).where("late").select(*keys, "at")
+
+
+def reopen_all(changed: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(scope, depth): what has to be looked at again when facts change, along all dependencies.
+
+    changed: fact_key; dependencies: fact_key, scope, where a scope may be a fact of others. Each scope comes once, at its least
+    depth; a changed fact itself comes only if it depends on another one, so cycles end. A round is one join of the newest
+    scopes with the dependencies; rounds are written out.
+    """
+    seen = written(changed.select(F.col("fact_key").alias("scope")).distinct().withColumn("depth", F.lit(0)), "reopened")
+    front, depth = seen, 0
+    while True:
+        depth += 1
+        reached = front.select(F.col("scope").alias("fact_key")).join(dependencies, "fact_key").select("scope").distinct()
+        front = written(reached.join(seen.where("depth > 0").select("scope"), "scope", "left_anti").withColumn("depth", F.lit(depth)), "reopened")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.where("depth > 0").select("scope", "depth")
+
+
+def start_reopening(changes: DataFrame, dependencies_path: str, out_path: str, checkpoint: str, trigger: dict):
+    """A query that writes, for each batch of changed facts, the scopes to look at again. The dependencies are read anew for each
+    batch, so what was added since counts; a batch that runs twice replaces its own folder."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        found = reopen_all(batch, spark.read.parquet(dependencies_path))
+        found.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def reopened_scopes(changes: DataFrame, dependencies: DataFrame) -> DataFrame:

@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 from recordspine.plans import catalog
 from recordspine.plans.views import Tables
 from recordspine.streaming import jobs
+from recordspine.streaming.ordered import ROCKS
+
+
+@pytest.fixture(autouse=True)
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    yield
+    spark.conf.set(name, before)
 
 
 def stream_of(spark, df, tmp_path, files=1):
@@ -31,11 +41,23 @@ def runs(spark):
     return Tables(spark, SF).worker_runs.withColumn("started_at", F.col("started_at").cast("timestamp"))
 
 
-def test_submissions_equal_batch(spark, tmp_path):
+def shuffled(spark, df, ts, tmp_path, files, last, seed=5):
+    """A stream of df in files of random rows, then one row far ahead that lets all others through."""
+    path = str(tmp_path / "in")
+    df.withColumn("_f", (F.rand(seed) * files).cast("int")).repartition(files, "_f").drop("_f").write.parquet(path)
+    end = spark.createDataFrame([last], df.schema)
+    end.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_submissions_equal_batch_in_any_order(spark, tmp_path):
     from recordspine.plans.universe import submissions
 
-    stream = stream_of(spark, submissions(Tables(spark, SF)), tmp_path)
-    assert same(result(spark, jobs.submission_outcomes(stream), tmp_path, "append"), catalog.queries()["receipt_idempotency"](spark, SF))
+    rows = submissions(Tables(spark, SF)).withColumn("ts", F.timestamp_seconds(F.col("turn") + 1_700_000_000))
+    last = tuple({"producer": "end", "job_id": -1, "turn": 0, "hash": "h", "ts": datetime(2030, 1, 1)}.get(c) for c in rows.columns)
+    out = result(spark, jobs.submission_outcomes(shuffled(spark, rows, "ts", tmp_path, 5, last), delay=10**6, keep=2 * 10**6), tmp_path)
+    want = catalog.queries()["receipt_idempotency"](spark, SF)
+    assert same(out.where("producer <> 'end' AND NOT late").select(*want.columns), want)
 
 
 def test_cadence_and_sliding_equal_batch(spark, runs, tmp_path):
@@ -47,18 +69,73 @@ def test_cadence_and_sliding_equal_batch(spark, runs, tmp_path):
     assert same(out.select("capability", F.col("window_end").cast("timestamp_ntz"), "runs"), catalog.queries()["sliding_activity"](spark, SF))
 
 
-def test_fingerprints_equal_batch(spark, tmp_path):
-    f = Tables(spark, SF).fingerprints.withColumn("checked_at", F.col("checked_at").cast("timestamp"))
-    out = result(spark, jobs.fingerprint_stream(stream_of(spark, f, tmp_path)), tmp_path)
-    want = catalog.queries()["fingerprint_changes"](spark, SF).where("changed").select("source_id", F.col("checked_at").cast("timestamp"), "previous", "fingerprint")
-    assert same(out, want)
+def test_fingerprints_equal_batch_in_any_order(spark, tmp_path):
+    f = Tables(spark, SF).fingerprints.withColumns({"checked_at": F.col("checked_at").cast("timestamp"), "fingerprint": F.col("fingerprint").cast("long")})
+    stream = shuffled(spark, f, "checked_at", tmp_path, 5, (-1, datetime(2025, 1, 1), 0))
+    out = result(spark, jobs.fingerprint_stream(stream, delay=40 * 86400, keep=80 * 86400), tmp_path)
+    want = catalog.queries()["fingerprint_changes"](spark, SF).where("changed").select("source_id", F.date_trunc("millisecond", F.col("checked_at").cast("timestamp")).alias("at"), "previous", "fingerprint")
+    assert same(out.where("source_id >= 0 AND NOT late").select("source_id", "at", "previous", "fingerprint"), want)
 
 
-def test_circuit_opens_after_failures_in_a_row(spark, tmp_path):
+def test_circuit_opens_once_and_stays_open(spark, tmp_path):
     at = datetime(2024, 1, 1)
-    rows = spark.createDataFrame([(1, at + timedelta(minutes=i), x == "f") for i, x in enumerate("fffsffffff")], "source_id long, ts timestamp, failed boolean")
-    out = result(spark, jobs.circuit_breaker(stream_of(spark, rows, tmp_path)), tmp_path).orderBy("opened_at").collect()
-    assert [r.failures for r in out] == [5, 6]
+    minutes = [(i, c == "f") for i, c in enumerate("fffsffffff")] + [(60, True), (61, False), (200, False), (2000, False)]
+    rows = spark.createDataFrame([(1, at + timedelta(minutes=i), x) for i, x in minutes], "source_id long, ts timestamp, failed boolean")
+    out = result(spark, jobs.circuit_breaker(stream_of(spark, rows, tmp_path)), tmp_path).orderBy("at").collect()
+    told = [((r["at"] - at).total_seconds() / 60, r.state, r.failures) for r in out]
+    assert told == [(8, "open", 5), (39, "half_open", 6), (60, "open", 7), (61, "closed", 0)]
+
+
+def test_late_rows_change_nothing_and_state_ends(spark, tmp_path):
+    at, path = datetime(2024, 1, 1), tmp_path / "in"
+    schema = "source_id long, checked_at timestamp, fingerprint long"
+    for i in range(100):
+        rows = [(i, at + timedelta(hours=i), 1), (i, at + timedelta(hours=i, minutes=1), 2)] + [(7, at + timedelta(hours=1), 9)] * (i == 20)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).parquet(str(path))
+    out = jobs.fingerprint_stream(stream, delay=60, keep=86400)
+    q = out.writeStream.format("memory").queryName("ends").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.table("ends")
+    assert [(r.source_id, r["at"]) for r in got.where("late").collect()] == [(7, at + timedelta(hours=1))]
+    assert got.where("NOT late AND source_id < 90").count() == 180 and got.where("source_id = 7 AND fingerprint = 9").isEmpty()
+    held = [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+    assert max(held) < 400 and q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 250
+
+
+def test_lease_results_equal_batch_in_any_order(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    t = lambda m: at + timedelta(minutes=m)
+    leases = [(i, 10 * i, t(i), t(i + 30)) for i in range(60)]
+    results = [(i, 10 * i, "failed" if i % 5 == 0 else "succeeded", t(i + (20 if i % 3 else 50))) for i in range(60) if i % 4] + [(3, 31, "succeeded", t(9))]
+    left = spark.createDataFrame(leases, "job_id long, lease_id long, leased_at timestamp, expires_at timestamp")
+    right = spark.createDataFrame(results, "job_id long, lease_id long, status string, finished_at timestamp")
+    (tmp_path / "l").mkdir(), (tmp_path / "r").mkdir()
+    a = shuffled(spark, left, "leased_at", tmp_path / "l", 3, (-1, -1, t(9000), t(9030)))
+    b = shuffled(spark, right, "finished_at", tmp_path / "r", 3, (-2, -2, "failed", t(9000)))
+    out = result(spark, jobs.lease_results(a, b, horizon=7200, delay=36000), tmp_path)
+    done = {(r[0], r[1]): ("failed" if r[2] == "failed" else "late_success" if r[3] > t(r[0] + 30) else "success") for r in results}
+    assert {(r.job_id, r.lease_id): r.decision for r in out.where("job_id >= 0").collect()} == {(i, k): done.get((i, k), "expired") for i, k, *_ in leases}
+
+
+def test_rows_behind_the_clock_go_to_a_side_table(spark, tmp_path):
+    at, path = datetime(2024, 1, 1), str(tmp_path / "in")
+    for rows in ([(1, at)], [(2, at + timedelta(hours=5))], [(3, at + timedelta(hours=1)), (4, at + timedelta(hours=5))], [(5, at + timedelta(hours=6))]):
+        spark.createDataFrame(rows, "job_id long, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("job_id long, ts timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
+    assert [(r.job_id, r["at"]) for r in result(spark, jobs.late_rows(stream, ["job_id"], "ts"), tmp_path).collect()] == [(3, at + timedelta(hours=1))]
+
+
+def test_reopening_runs_along_chains_diamonds_and_cycles(spark, tmp_path):
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("a", "x"), ("a", "y"), ("x", "z"), ("y", "z"), ("p", "q"), ("q", "p"), ("u", "v")]
+    deps, path = str(tmp_path / "deps"), str(tmp_path / "in")
+    spark.createDataFrame(edges, "fact_key string, scope string").write.parquet(deps)
+    facts = spark.createDataFrame([("a", datetime(2024, 1, 1)), ("a", datetime(2024, 1, 2)), ("p", datetime(2024, 1, 1))], "fact_key string, ts timestamp")
+    facts.coalesce(1).write.parquet(path)
+    q = jobs.start_reopening(spark.readStream.schema(facts.schema).parquet(path), deps, str(tmp_path / "out"), str(tmp_path / "cp"), {"availableNow": True})
+    q.awaitTermination(120)
+    got = [(r.scope, r.depth) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [("b", 1), ("c", 2), ("d", 3), ("e", 4), ("f", 5), ("p", 2), ("q", 1), ("x", 1), ("y", 1), ("z", 2)]
 
 
 def test_leases_expire_and_late_success_counts_once(spark, tmp_path):
