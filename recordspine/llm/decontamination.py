@@ -19,11 +19,11 @@ numbers and names has the same template.
    words the whole item. This holds for tables, lists and repeated words too, whose windows don't count above, and for
    items under 8 words; signs between words don't matter. An item of one word is thus in each text with that word.
 
-Without Settings.whole, a copy all in capitals has no names to tell and matches between the item's names only, and items
+With TEMPLATES, a copy all in capitals has no names to tell and matches between the item's names only, and items
 under 8 tokens match nothing. Null and empty texts are clean. Repeated items or rows count once; an id with
 several texts is a row or an item for each of them, and windows of two texts never meet in one alignment. Extra columns are
-not read, whatever their names; texts may be of any length. The benchmark's windows are broadcast only after their number is known to be small; otherwise both sides
-are shuffled.
+not read, whatever their names; texts may be of any length. Each table of the benchmark (keys, windows, items by their words) is broadcast only after its own rows are counted
+and few; otherwise both sides are shuffled.
 """
 
 from __future__ import annotations
@@ -52,11 +52,11 @@ class Settings:
     run: int = 13
     share: float = 0.5
     broadcast_rows: int = 2_000_000
-    whole: bool = False
+    whole: bool = True
 
 
-# What the query and the pipeline use; the plain default keeps to templates and asks consistency of whole alignments.
-WHOLE = Settings(whole=True)
+# The narrower form: templates only, and one clash of values rejects a whole alignment.
+TEMPLATES = Settings(whole=False)
 
 
 def tokens(text: Column, values: bool) -> Column:
@@ -125,14 +125,15 @@ def literal(rows: DataFrame, whole: DataFrame, items: DataFrame, near: Callable[
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, covered, share): one row for each document and benchmark item that it holds."""
+    """(doc_id, item_id, covered, share, size): one row for each document and benchmark item that it holds; size: the item's words."""
     as_row = lambda i, text: F.struct(F.col(i).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("hash"))  # noqa: E731  one id with two texts is two rows
     items = benchmark.select(as_row(item_id, item_text).alias("item_id"), tokens(F.col(item_text), True).alias("item_tokens"), plain_words(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0 if s.whole else F.size("item_tokens") >= s.window).dropDuplicates()
     items = materialize(items.withColumn("item_template", template("item_tokens")), "leak-items")
     searched = lambda template, words, step: F.concat(windows(template, s.search_words, step), windows(words, s.search_words, step)) if s.whole else windows(template, s.search_words, step)
     keys = materialize(items.select(F.explode(searched("item_template", "item_words", 1)).alias("w")).select("w.h").distinct(), "leak-keys")
-    small = keys.count() <= s.broadcast_rows
-    near = (lambda x: F.broadcast(x)) if small else (lambda x: x)
+    near = lambda x: F.broadcast(x) if x.count() <= s.broadcast_rows else x  # noqa: E731  x is written: counting it costs little
+    held = items.agg(F.coalesce(F.sum(F.size("item_tokens") + F.size("item_words")), F.lit(0))).first()[0]
+    near_items = F.broadcast(items) if held <= s.broadcast_rows else items
 
     rows = docs.select(as_row(doc_id, text).alias("doc_id"), F.col(text).cast("string").alias("text"))
     seen = rows.select("doc_id", tokens(F.col("text"), False).alias("t"), plain_words(F.col("text")).alias("p")).select("doc_id", F.explode(searched("t", "p", s.stride)).alias("w")).select("doc_id", "w.h")
@@ -146,7 +147,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(),
 
     lined = line_up(doc_windows("doc_template"), near(item_windows("item_template", "^#")), s.window)
     needed = lambda column: F.least(F.lit(s.run), F.ceil(s.share * F.size(column)).cast("int"))
-    both = lined.join(near(items.select("item_id", "item_tokens")), "item_id").where(F.size("covered") >= needed("item_tokens"))
+    both = lined.join(near_items.select("item_id", "item_tokens"), "item_id").where(F.size("covered") >= needed("item_tokens"))
     both = both.join(whole.select("doc_id", "doc_tokens"), "doc_id")
     aligned = F.transform("covered", lambda p, i: F.struct(p.alias("at"), (p - i).alias("run"), F.get("item_tokens", p).alias("ours"), F.get("doc_tokens", p + F.col("shift")).alias("theirs")))
     both = both.select("doc_id", "item_id", F.size("item_tokens").alias("size"), needed("item_tokens").alias("need"), aligned.alias("aligned"))
@@ -154,10 +155,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(),
     found = both.select("doc_id", "item_id", "size", "need", counted.alias("covered")).where("covered >= need").select("doc_id", "item_id", "size", "covered")
     if s.whole:
         worded = line_up(doc_windows("doc_words"), near(item_windows("item_words", r"^\p{N}")), s.window)
-        worded = worded.join(near(items.select("item_id", "item_words")), "item_id").where(F.size("covered") >= needed("item_words"))
+        worded = worded.join(near_items.select("item_id", "item_words"), "item_id").where(F.size("covered") >= needed("item_words"))
         found = found.unionByName(worded.select("doc_id", "item_id", F.size("item_words").alias("size"), F.size("covered").alias("covered")))
         found = found.unionByName(literal(rows, whole, items, near, s))
-    return found.groupBy(F.col("doc_id.id").alias("doc_id"), F.col("item_id.id").alias("item_id")).agg(F.max("covered").cast("long").alias("covered"), F.max(F.col("covered") / F.col("size")).alias("share"))
+    return found.groupBy(F.col("doc_id.id").alias("doc_id"), F.col("item_id.id").alias("item_id")).agg(F.max("covered").cast("long").alias("covered"), F.max(F.col("covered") / F.col("size")).alias("share"), F.max("size").cast("long").alias("size"))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), **columns: str) -> DataFrame:
@@ -172,5 +173,5 @@ def flag(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), **colu
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = flag(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), WHOLE)
+    out = flag(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return out.select("doc_id", "leaked", "n_items", F.concat_ws(",", F.col("item_ids").cast("array<string>")).alias("item_ids"))

@@ -117,12 +117,13 @@ def signatures(docs: DataFrame, p: NearDuplicates) -> DataFrame:
                 bands = np.zeros((len(sets), p.bands), dtype=U)
                 sketch = np.zeros((len(sets), p.sketch_words), dtype=U)
                 keys = np.zeros((len(sets), 2), dtype=U)
+                again = list(shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()], p.shingle_words, 1))
                 if len(full):
                     own = [sets[i] for i in full]
                     samples = minhash(own, p.samples)
                     bands[full], sketch[full] = band_hashes(samples, p.bands, p.rows), odd_sketch(samples, p.sketch_words)
-                    flat, starts = np.concatenate(own), np.cumsum([0, *n[full][:-1]])
-                    for c in (0, 1):
+                    for c, of in enumerate((own, [again[i] for i in full])):  # from two hashes of the words, so 128 bits even for one shingle
+                        flat, starts = np.concatenate(of), np.cumsum([0, *(len(x) for x in of[:-1])])
                         keys[full, c] = np.add.reduceat(mix(flat + _SALTS[c]), starts)
                 empty = pa.array(n == 0)
                 columns = [pa.array(n), *(pa.array(keys[:, c].copy().view(np.int64)) for c in (0, 1)), lists(bands, empty), lists(sketch, empty)]

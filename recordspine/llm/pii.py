@@ -12,7 +12,8 @@ same names as the result's are replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -127,20 +128,32 @@ def score(text: str, kind: str, start: int, end: int) -> float:
     return round(min(1.0, max(0.0, s)), 2)
 
 
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans sorted, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by start, then kind in the order of KINDS; code points, end exclusive."""
     if not text:
         return []
     out = [(*x, score(text, *x)) for x in base_spans(text)]
-    taken = [(s, e) for _, s, e, _ in out]
+    taken = merged((s, e) for _, s, e, _ in out)
     extra = [("iban", *x) for x in ibans(text)]
     extra += [("national_id", *m.span()) for m in NATIONAL_ID.finditer(text)]
     extra += [("secret", *x) for x in secrets(text)]
     for kind, s, e in extra:
         p = score(text, kind, s, e)
-        if p >= 0.5 and not any(s < y and x < e for x, y in taken):
+        at = bisect_left(taken, (e,))  # what begins before the end; disjoint and sorted, so the last of them ends last
+        if p >= 0.5 and not (at and taken[at - 1][1] > s):
             out.append((kind, s, e, p))
-            taken.append((s, e))
+            taken.insert(at, (s, e))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

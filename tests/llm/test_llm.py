@@ -284,15 +284,15 @@ def test_leaks_whole_reparameterised_and_clean(spark):
     torn = BENCH.replace("counts 14", "counts 3").replace("for Anna", "for Maria")
     rows = [(1, f"{pad()}. {BENCH}. {pad()}"), (2, f"{pad()} {other} {pad()}"), (3, torn), (4, pad()), (5, None), (6, ""), (7, " ".join(BENCH.split()[:9])), (8, BENCH.upper()), (9, " ".join(BENCH.split()[4:24])), (10, "9 12 14 " * 40)]
     bench = spark.createDataFrame([(1, BENCH), (2, words(rnd, 40)), (3, "too short"), (4, None), (1, BENCH)], "item_id long, text string")
-    got = {r.doc_id: (r.leaked, r.item_ids) for r in decontamination.flag(documents(spark, rows), bench).collect()}
+    got = {r.doc_id: (r.leaked, r.item_ids) for r in decontamination.flag(documents(spark, rows), bench, decontamination.TEMPLATES).collect()}
     assert {i for i, (leaked, _) in got.items() if leaked} == {1, 2, 9} and got[1][1] == [1] and len(got) == 10
-    big = decontamination.flag(documents(spark, rows), bench, decontamination.Settings(broadcast_rows=0)).collect()
+    big = decontamination.flag(documents(spark, rows), bench, decontamination.Settings(broadcast_rows=0, whole=False)).collect()
     assert {r.doc_id: (r.leaked, r.item_ids) for r in big} == got
     assert decontamination.flag(documents(spark, []), bench).count() == 0 and not decontamination.flag(documents(spark, rows), bench.limit(0)).where("leaked").count()
 
 
 def leaks(spark, rows, bench):
-    found = decontamination.flag(documents(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), decontamination.WHOLE)
+    found = decontamination.flag(documents(spark, rows), spark.createDataFrame(bench, "item_id long, text string"))
     return {r.doc_id: r.item_ids for r in found.collect() if r.leaked}
 
 
@@ -512,7 +512,7 @@ def test_leaks_of_ids_with_several_texts(spark):
     half = " ".join(BENCH.split()[:7])
     rows = [(1, f"so {BENCH}"), (1, words(random.Random(1), 30)), (2, half), (2, " ".join(BENCH.split()[7:14])), (3, f"{BENCH} " * 3000)]
     bench = spark.createDataFrame([(1, BENCH), (1, words(random.Random(9), 30))], "item_id long, text string")
-    got = sorted((r.doc_id, r.leaked) for r in decontamination.flag(documents(spark, rows), bench, decontamination.WHOLE).collect())
+    got = sorted((r.doc_id, r.leaked) for r in decontamination.flag(documents(spark, rows), bench).collect())
     assert got == [(1, False), (1, True), (2, False), (2, False), (3, True)]
 
 
