@@ -1,11 +1,14 @@
-"""SentencePiece encoding and decoding by a weighted finite-state transducer.
+"""SentencePiece encoding and decoding by an automaton of pieces and allowed piece pairs.
+
+Not the weighted transducer as dealt: the lattice below has one path, which is searched for depth-first; no arc weight is
+added or relaxed, and the normaliser is plain replacement (see the README).
 
 The transducer is compiled from the model file: the normaliser (space to the word mark, a mark before a text), one arc
 for each piece, and byte-fallback arcs for characters without a piece. Composed with an input it is a lattice over the
 input's positions; a state is (position, piece that ends there). The model is of the BPE kind, whose result is not the
 path of least summed scores over all segmentations, so the lattice is also composed with an acceptor of piece pairs:
 two pieces may follow each other only if merging their joined text gives just these two. Exactly the BPE segmentation
-is left (one path), which is the tropical shortest path, byte fallback having the highest weight.
+is left (one path), whatever the arcs weigh.
 States are made only as they are reached.
 Pairs and words are memoised in bounded tables; a text is cut only where no piece could cross. The installed library reads the model's pieces and is the oracle in
 the tests; it doesn't encode here.

@@ -1,4 +1,7 @@
-"""Repeated passages, byte for byte, over all documents: bucket-pointer refinement on content-chosen positions.
+"""Repeated passages, byte for byte, over all documents: refinement of buckets of fingerprints at content-chosen positions.
+
+Not bucket-pointer refinement as dealt: each level groups fingerprints of its own bytes; bucket identifiers of later offsets
+are not looked up (see the README).
 
 Wanted is every 200-byte string (window) that starts at two or more places. Sorting all suffixes would ship every
 position; buckets of equal strings are enough, and most positions can follow one that was chosen by content:
