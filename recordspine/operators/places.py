@@ -1,28 +1,126 @@
-"""Points in boundaries: grid cells first, so that only near pairs are tested; the test itself is exact ray casting."""
+"""Points in boundaries by a quadtree cover of each boundary.
+
+A cell that more than a few edges touch is cut into four, so cells are small along the edges and large elsewhere. A cell that no
+edge touches lies wholly inside (and needs no test) or wholly outside (and is dropped); all others carry only the edges
+that touch them. Rows of the cover therefore grow with the edges, not with the area.
+
+Whether a cell's lower right corner is inside is known, from the root (whose corner is outside of everything) down: going from
+there to another place of the same cell, first along the right side, then level, each edge on the way turns inside to
+outside. A cell's own edges are all that this can meet. The same walk answers for a point, which lies in one cell of a boundary at
+most. Places on an edge or corner count as if moved right by a very little and up by far less, which is the half-open rule of
+ray casting.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordspine.sources.tables import written
+
+
+def _side(e: Column, x: Column, y: Column) -> Column:
+    """Above 0: (x, y) lies left of the edge, which goes upwards."""
+    return (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
+
+
+def _under(e: Column, x: Column, y: Column) -> Column:
+    """The place lies under the edge, which crosses the vertical line through it."""
+    s, right = _side(e, x, y), e["x2"] > e["x1"]
+    return F.when(s == 0, right & (e["y2"] > e["y1"])).otherwise(right == (s < 0))
+
+
+def _turns(e: Column, cx: Column, cy: Column, x: Column, y: Column) -> Column:
+    """An odd number of crossings with the edge on the way (cx, cy) to (cx, y) to (x, y)."""
+    upright = ((e["x1"] > cx) != (e["x2"] > cx)) & (_under(e, cx, cy) != _under(e, cx, y))
+    level = (e["y1"] <= y) & (y < e["y2"]) & ((_side(e, x, y) > 0) != (_side(e, cx, y) > 0))
+    return upright != level
+
+
+def _odd(edges: str, cx: Column, cy: Column, x: Column, y: Column) -> Column:
+    return F.size(F.filter(edges, lambda e: _turns(e, cx, cy, x, y))) % 2 == 1
+
+
+def _touches(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The edge may touch the closed cell: the boxes meet and the corners are not all clearly on one side of its line."""
+    boxes = (F.least(e["x1"], e["x2"]) <= x1) & (F.greatest(e["x1"], e["x2"]) >= x0) & (e["y1"] <= y1) & (e["y2"] >= y0)
+    corners = [_side(e, x, y) for x in (x0, x1) for y in (y0, y1)]
+    slack = (F.abs(e["x2"] - e["x1"]) + e["y2"] - e["y1"]) * F.greatest(*(F.abs(v) for v in (x0, x1, y0, y1, e["x1"], e["x2"], e["y1"], e["y2"]))) * 1e-12
+    return boxes & (F.least(*corners) <= slack) & (F.greatest(*corners) >= -slack)
+
+
+def edges_of(boundaries: DataFrame) -> DataFrame:
+    """(boundary_id, edges): each ring's edges, directed upwards, of boundaries with `rings` (array of rings) or one `ring`.
+
+    Rings close themselves. Corners with a null, NaN or infinite number are left out; rings under three corners are empty.
+    """
+    rings = F.col("rings") if "rings" in boundaries.columns else F.array("ring")
+    fine = lambda v: v.isNotNull() & (F.abs(v) < float("inf"))
+    clean = F.transform(F.coalesce(rings, F.array()), lambda r: F.filter(F.coalesce(r, F.array()), lambda p: fine(p["x"]) & fine(p["y"])))
+    edge = lambda a, b: F.struct(*(v.cast("double").alias(n) for v, n in ((a["x"], "x1"), (a["y"], "y1"), (b["x"], "x2"), (b["y"], "y2"))))
+    around = lambda r: F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), lambda a, b: F.when(a["y"] <= b["y"], edge(a, b)).otherwise(edge(b, a)))
+    edges = F.flatten(F.transform(F.filter(clean, lambda r: F.size(r) > 2), around))
+    return boundaries.select("boundary_id", edges.alias("edges")).where(F.size("edges") > 0)
+
+
+def _box(edges: DataFrame) -> tuple[float, float, float] | None:
+    """Left, bottom and size of a square around all edges whose sides are multiples of a power of two; None without edges.
+
+    No edge reaches its right or upper side.
+    """
+    low = lambda c: F.min(F.array_min(F.transform("edges", lambda e: F.least(e[f"{c}1"], e[f"{c}2"]))))
+    high = lambda c: F.max(F.array_max(F.transform("edges", lambda e: F.greatest(e[f"{c}1"], e[f"{c}2"]))))
+    half = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9)))))
+    row = edges.agg(low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1")).select((F.floor(F.col("x0") / half) * half).alias("x"), (F.floor(F.col("y0") / half) * half).alias("y"), (half * 2).alias("size")).first()
+    return None if row["x"] is None else tuple(row)
+
+
+def cover(boundaries: DataFrame, most: float = 16, depth: int = 24) -> tuple[DataFrame, tuple[float, float, float] | None]:
+    """Cells (boundary_id, level, cx, cy, inside, edges) of boundaries, and the square that they divide.
+
+    `inside` tells of a cell's lower right corner. A cell with at most `most` edges, or at `depth`, is not cut; there many
+    edges may meet in one corner, and all of them stay in the cell. Each level is written out.
+    """
+    edges = written(edges_of(boundaries), "cover")
+    box = _box(edges)
+    whole = edges.select("boundary_id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), F.lit(False).alias("inside"), "edges")
+    if box is None:
+        return whole, None
+    left, bottom, size = box
+    done, open_ = whole.where(F.size("edges") <= most), whole.where(F.size("edges") > most)
+    for level in range(depth):
+        if open_.isEmpty():
+            return done, box
+        at = lambda n, o, s: F.lit(o) + F.col(n) * F.lit(s)
+        old, new = size / 2**level, size / 2 ** (level + 1)
+        parts = open_.withColumns({"_x": at("cx", left + old, old), "_y": at("cy", bottom, old)}).withColumn("_part", F.explode(F.array(*(F.lit(i) for i in range(4)))))
+        parts = parts.withColumns({"level": F.lit(level + 1), "cx": F.col("cx") * 2 + F.col("_part") % 2, "cy": F.col("cy") * 2 + F.floor(F.col("_part") / 2)})
+        x0, y0, x1, y1 = at("cx", left, new), at("cy", bottom, new), at("cx", left + new, new), at("cy", bottom + new, new)
+        parts = parts.withColumn("inside", F.col("inside") != _odd("edges", F.col("_x"), F.col("_y"), x1, y0))
+        parts = parts.withColumn("edges", F.filter("edges", lambda e: _touches(e, x0, y0, x1, y1))).where(F.col("inside") | (F.size("edges") > 0))
+        parts = written(parts.select(whole.columns), "cover")
+        done, open_ = done.unionByName(parts.where(F.size("edges") <= most)), parts.where(F.size("edges") > most)
+    return done.unionByName(open_), box
+
 
-def locate(points: DataFrame, boundaries: DataFrame, cell: float = 1.0) -> DataFrame:
-    """(point_id, boundary_id): points (point_id, x, y) inside polygons (boundary_id, ring: array of struct x, y).
+def locate(points: DataFrame, boundaries: DataFrame, most: float = 16) -> DataFrame:
+    """(point_id, boundary_id): points (point_id, x, y) inside polygons (boundary_id, and `ring`: array of struct x, y, or `rings`:
+    an array of rings, of which those inside others are holes or islands). `most`: edges of a cell that is not cut.
 
-    A point on an edge counts by the half-open rule of ray casting. Rings close themselves; under three corners is empty.
+    Points without a finite x and y lie nowhere. A point meets its cell at each level that occurs, by an equi-join.
     """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    low = lambda v: F.floor(F.array_min(v) / cell)
-    high = lambda v: F.floor(F.array_max(v) / cell)
-    b = boundaries.where(F.size("ring") > 2).select("boundary_id", "ring", F.explode(F.sequence(low(xs), high(xs))).alias("cx"), low(ys).alias("y0"), high(ys).alias("y1"))
-    b = b.withColumn("cy", F.explode(F.sequence("y0", "y1")))
-    p = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    near = p.join(b.select("boundary_id", "ring", "cx", "cy"), ["cx", "cy"])
-    ahead = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
-    x, y = F.col("x"), F.col("y")
-    crossed = F.zip_with("ring", ahead, lambda a, c: ((a["y"] > y) != (c["y"] > y)) & (x < (c["x"] - a["x"]) * (y - a["y"]) / (c["y"] - a["y"]) + a["x"]))
-    inside = F.size(F.filter(crossed, lambda v: F.coalesce(v, F.lit(False)))) % 2 == 1
-    return near.where(inside).select("point_id", "boundary_id")
+    cells, box = cover(boundaries, most)
+    if box is None:
+        return points.crossJoin(cells.select("boundary_id").limit(0)).select("point_id", "boundary_id")
+    left, bottom, size = box
+    levels = sorted(r["level"] for r in cells.select("level").distinct().collect())
+    p = points.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    p = p.where((F.col("x") >= left) & (F.col("x") < left + size) & (F.col("y") >= bottom) & (F.col("y") < bottom + size))
+    p = p.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_size", F.lit(size) / F.pow(F.lit(2.0), "level"))
+    at = lambda v, o: F.floor((F.col(v) - o) / F.col("_size"))
+    near = p.withColumns({"cx": at("x", left), "cy": at("y", bottom)}).join(cells, ["level", "cx", "cy"])
+    corner = F.lit(left) + (F.col("cx") + 1) * F.col("_size"), F.lit(bottom) + F.col("cy") * F.col("_size")
+    return near.where(F.col("inside") != _odd("edges", *corner, F.col("x"), F.col("y"))).select("point_id", "boundary_id")
 
 
 def boundary_at(boundaries: DataFrame, day) -> DataFrame:
