@@ -1,6 +1,6 @@
 """Points in boundaries by a quadtree cover of each boundary.
 
-A cell that more than a few edges touch is cut into four, so cells are small along the edges and large elsewhere. A cell that no
+A cell that more than a few edges touch is cut twice in each direction (two levels of a quadtree at once), so cells are small along the edges and large elsewhere. A cell that no
 edge touches lies wholly inside (and needs no test) or wholly outside (and is dropped); all others carry only the edges
 that touch them. Rows of the cover therefore grow with the edges, not with the area.
 
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from recordspine.sources.tables import written
 
+WAYS = 4  # parts of a cell's side
+
 
 def _side(e: Column, x: Column, y: Column) -> Column:
     """Above 0: (x, y) lies left of the edge, which goes upwards."""
@@ -75,7 +77,7 @@ def _box(edges: DataFrame) -> tuple[float, float, float] | None:
     return None if row["x"] is None else tuple(row)
 
 
-def cover(boundaries: DataFrame, most: float = 16, depth: int = 24) -> tuple[DataFrame, tuple[float, float, float] | None]:
+def cover(boundaries: DataFrame, most: float = 16, depth: int = 12) -> tuple[DataFrame, tuple[float, float, float] | None]:
     """Cells (boundary_id, level, cx, cy, inside, edges) of boundaries, and the square that they divide.
 
     `inside` tells of a cell's lower right corner. A cell with at most `most` edges, or at `depth`, is not cut; there many
@@ -92,9 +94,9 @@ def cover(boundaries: DataFrame, most: float = 16, depth: int = 24) -> tuple[Dat
         if open_.isEmpty():
             return done, box
         at = lambda n, o, s: F.lit(o) + F.col(n) * F.lit(s)
-        old, new = size / 2**level, size / 2 ** (level + 1)
-        parts = open_.withColumns({"_x": at("cx", left + old, old), "_y": at("cy", bottom, old)}).withColumn("_part", F.explode(F.array(*(F.lit(i) for i in range(4)))))
-        parts = parts.withColumns({"level": F.lit(level + 1), "cx": F.col("cx") * 2 + F.col("_part") % 2, "cy": F.col("cy") * 2 + F.floor(F.col("_part") / 2)})
+        old, new = size / WAYS**level, size / WAYS ** (level + 1)
+        parts = open_.withColumns({"_x": at("cx", left + old, old), "_y": at("cy", bottom, old)}).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(WAYS**2 - 1))))
+        parts = parts.withColumns({"level": F.lit(level + 1), "cx": F.col("cx") * WAYS + F.col("_part") % WAYS, "cy": F.col("cy") * WAYS + F.floor(F.col("_part") / WAYS)})
         x0, y0, x1, y1 = at("cx", left, new), at("cy", bottom, new), at("cx", left + new, new), at("cy", bottom + new, new)
         parts = parts.withColumn("inside", F.col("inside") != _odd("edges", F.col("_x"), F.col("_y"), x1, y0))
         parts = parts.withColumn("edges", F.filter("edges", lambda e: _touches(e, x0, y0, x1, y1))).where(F.col("inside") | (F.size("edges") > 0))
@@ -116,7 +118,7 @@ def locate(points: DataFrame, boundaries: DataFrame, most: float = 16) -> DataFr
     levels = sorted(r["level"] for r in cells.select("level").distinct().collect())
     p = points.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     p = p.where((F.col("x") >= left) & (F.col("x") < left + size) & (F.col("y") >= bottom) & (F.col("y") < bottom + size))
-    p = p.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_size", F.lit(size) / F.pow(F.lit(2.0), "level"))
+    p = p.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_size", F.lit(size) / F.pow(F.lit(float(WAYS)), "level"))
     at = lambda v, o: F.floor((F.col(v) - o) / F.col("_size"))
     near = p.withColumns({"cx": at("x", left), "cy": at("y", bottom)}).join(cells, ["level", "cx", "cy"])
     corner = F.lit(left) + (F.col("cx") + 1) * F.col("_size"), F.lit(bottom) + F.col("cy") * F.col("_size")

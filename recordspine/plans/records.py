@@ -80,7 +80,24 @@ def boundary_points(t):
     corner = F.when(F.col("boundary_id") % 2 == 0, F.array(at(x0 + w, y0 + w))).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
     b = b.select("boundary_id", F.concat(F.array(at(x0, y0), at(x0 + w, y0)), corner, F.array(at(x0, y0 + w))).alias("ring"))
     p = t.customer.select(F.col("c_custkey").alias("point_id"), (F.col("c_custkey") % 20 + F.lit(0.25).cast("double")).alias("x"), (F.col("c_custkey") % 17 + F.lit(0.5).cast("double")).alias("y"))
-    return places.locate(p, b, 2.0)
+    return places.locate(p, b)
+
+
+@query("""
+WITH b AS (SELECT s_suppkey AS boundary_id, s_suppkey * 13 % 97 AS x0, s_suppkey * 7 % 89 AS y0, s_suppkey % 6 + 2 AS w FROM supplier), p AS (SELECT c_custkey AS point_id, c_custkey * 37 % 1601 / 16.0 + 0.03125 AS x, c_custkey * 53 % 1499 / 16.0 + 0.015625 AS y FROM customer),
+d AS (SELECT point_id, boundary_id, w, abs(x - x0) + abs(y - y0) AS d FROM p JOIN b ON x BETWEEN x0 - w AND x0 + w AND y BETWEEN y0 - w AND y0 + w)
+SELECT point_id, boundary_id FROM d WHERE d < w AND d >= w / 2.0""")
+def boundary_holes(t):
+    """Points in diamonds of many corners, each with a hole of half its width."""
+    n = lambda c: F.col(c).cast("double")
+    b = t.supplier.select(F.col("s_suppkey").alias("boundary_id"), (n("s_suppkey") * 13 % 97).alias("x0"), (n("s_suppkey") * 7 % 89).alias("y0"), (n("s_suppkey") % 6 + 2).alias("w"))
+
+    def diamond(w):
+        side = lambda ax, ay, bx, by: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct((F.col("x0") + w * (ax + (bx - ax) * i / 32)).alias("x"), (F.col("y0") + w * (ay + (by - ay) * i / 32)).alias("y")))
+        return F.concat(side(1, 0, 0, 1), side(0, 1, -1, 0), side(-1, 0, 0, -1), side(0, -1, 1, 0))
+
+    p = t.customer.select(F.col("c_custkey").alias("point_id"), (n("c_custkey") * 37 % 1601 / 16 + 0.03125).alias("x"), (n("c_custkey") * 53 % 1499 / 16 + 0.015625).alias("y"))
+    return places.locate(p, b.select("boundary_id", F.array(diamond(F.col("w")), diamond(F.col("w") / 2)).alias("rings")))
 
 
 @query("""SELECT o_orderkey AS order_id, o_orderstatus AS n, CAST(o_custkey AS BIGINT) AS v FROM orders UNION ALL SELECT o_orderkey, 'second', NULL FROM orders WHERE o_orderkey % 2 = 1""")
