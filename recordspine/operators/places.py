@@ -95,9 +95,11 @@ def cover(boundaries: DataFrame, most: float = 16, depth: int = 12) -> tuple[Dat
             return done, box
         at = lambda n, o, s: F.lit(o) + F.col(n) * F.lit(s)
         old, new = size / WAYS**level, size / WAYS ** (level + 1)
-        parts = open_.withColumns({"_x": at("cx", left + old, old), "_y": at("cy", bottom, old)}).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(WAYS**2 - 1))))
+        # A boundary's cells are dealt out anew, so that one of very many edges isn't one task's work.
+        parts = open_.repartition("boundary_id", "cx", "cy").withColumns({"_x": at("cx", left + old, old), "_y": at("cy", bottom, old)}).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(WAYS**2 - 1))))
         parts = parts.withColumns({"level": F.lit(level + 1), "cx": F.col("cx") * WAYS + F.col("_part") % WAYS, "cy": F.col("cy") * WAYS + F.floor(F.col("_part") / WAYS)})
-        x0, y0, x1, y1 = at("cx", left, new), at("cy", bottom, new), at("cx", left + new, new), at("cy", bottom + new, new)
+        parts = parts.withColumns({"_x0": at("cx", left, new), "_y0": at("cy", bottom, new), "_x1": at("cx", left + new, new), "_y1": at("cy", bottom + new, new)})
+        x0, y0, x1, y1 = map(F.col, ("_x0", "_y0", "_x1", "_y1"))
         parts = parts.withColumn("inside", F.col("inside") != _odd("edges", F.col("_x"), F.col("_y"), x1, y0))
         parts = parts.withColumn("edges", F.filter("edges", lambda e: _touches(e, x0, y0, x1, y1))).where(F.col("inside") | (F.size("edges") > 0))
         parts = written(parts.select(whole.columns), "cover")
