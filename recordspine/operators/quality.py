@@ -31,3 +31,13 @@ def count_gate(manifest: DataFrame, records: DataFrame, key: str) -> DataFrame:
     bad = (F.col("n") < F.col("expected_minimum")) | (F.col("n") > F.col("expected_maximum"))
     said = F.concat(F.lit("wrote "), F.col("n").cast("string"), F.lit(" records; expected "), F.col("expected_minimum").cast("string"), F.lit("-"), F.col("expected_maximum").cast("string"))
     return out.withColumns({"status": F.when(bad, "rejected").otherwise("success"), "message": F.when(bad, said)})
+
+
+def presence_by_category(fields: DataFrame, claims: DataFrame, states: list[str]) -> DataFrame:
+    """(category, present, total): fields (field_key, category) of each category and those with a claim that has a value or a state of
+    `states`. Claims (field_key, normalized_value, verification_state) shrink to their fields before the shuffle. A null category
+    is 'uncategorized'; empty values are none; repeated fields count each.
+    """
+    told = F.col("verification_state").isin(states) | (F.coalesce("normalized_value", F.lit("")) != "")
+    seen = claims.where(told).select("field_key").distinct().withColumn("_seen", F.lit(1))
+    return fields.join(seen, "field_key", "left").groupBy(F.coalesce("category", F.lit("uncategorized")).alias("category")).agg(F.count("_seen").alias("present"), F.count(F.lit(1)).alias("total"))

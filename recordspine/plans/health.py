@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recordspine import functions as fn
 from recordspine.functions import ladders
 from recordspine.functions import vocabularies as v
+from recordspine.operators import quality
 from recordspine.plans.claims import EVALUATED, evaluated
 from recordspine.plans.officials import CURRENT
 from recordspine.plans.operations import NOW, now, ts
@@ -88,6 +89,25 @@ def control_plane(t):
     return out
 
 
+@query("""
+SELECT coalesce(f.category, 'uncategorized') AS category, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM fx_claims c WHERE c.field_key = f.field_key AND (c.verification_state IN ('verified', 'checked_no_authoritative_result') OR c.normalized_value <> ''))) AS present, count(*) AS total
+FROM fx_contract_fields f GROUP BY 1""")
+def category_presence(t):
+    """Of each category, the fields for which anything is known or was looked for in vain."""
+    return quality.presence_by_category(t.contract_fields, t.claims, ["verified", "checked_no_authoritative_result"])
+
+
+@query(f"""
+WITH r AS (SELECT source_key, count(*) AS pages, count(*) FILTER (WHERE n_chars < 1000) AS thin FROM fx_retrievals GROUP BY source_key)
+SELECT count(*) FILTER (WHERE thin * 2 <= pages) AS sources_active, count(*) FILTER (WHERE thin * 2 > pages) AS sources_failing, (SELECT count(*) FROM (SELECT DISTINCT seat_id, date_trunc('month', start_date) FROM fx_occupancies WHERE start_date >= DATE '1998-01-01')) AS upcoming_elections FROM r""")
+def control_plane_sources(t):
+    """Active and failing sources (more than half of the pages thin), and elections still to come."""
+    per = t.retrievals.groupBy("source_key").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("n_chars") < 1000).alias("thin"))
+    failing = F.col("thin") * 2 > F.col("pages")
+    ahead = t.occupancies.where("start_date >= DATE '1998-01-01'").select("seat_id", F.trunc("start_date", "month").alias("month")).distinct().agg(F.count(F.lit(1)).alias("upcoming_elections"))
+    return per.agg(F.count_if(~failing).alias("sources_active"), F.count_if(failing).alias("sources_failing")).crossJoin(F.broadcast(ahead))  # one row each
+
+
 MAIL, SITE, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", r"https?://[A-Za-z0-9./_-]+", r"\+[0-9][0-9 ()-]{8,}[0-9]"
 
 

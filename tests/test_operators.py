@@ -182,3 +182,10 @@ def test_positions_are_one_order(spark):
     for g in range(3):
         assert [r.p for r in sorted((r for r in inside if r.g == g), key=lambda r: r.x)] == list(range(1, sum(g == y for _, y in rows) + 1))
     assert with_position(df.limit(0), [F.asc("x")]).count() == 0
+
+
+def test_presence_by_category(spark):
+    fields = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None), ("d", "y")], "field_key string, category string")
+    claims = spark.createDataFrame([("a", None, "verified"), ("a", "v", "stale"), ("b", "", "stale"), ("c", "v", None), ("z", "v", "verified")], "field_key string, normalized_value string, verification_state string")
+    assert pairs(quality.presence_by_category(fields, claims, ["verified"])) == [("uncategorized", 1, 1), ("x", 1, 2), ("y", 0, 1)]
+    assert pairs(quality.presence_by_category(fields, claims.limit(0), ["verified"])) == [("uncategorized", 0, 1), ("x", 0, 2), ("y", 0, 1)]
