@@ -1,7 +1,8 @@
 """Producers' submissions, one JSON text each: checked field by field, their references followed, and taken apart into tables.
 
 A submission is one object with four objects (producer, job, cohort, currentness), lists of things, and six lists of candidates.
-Checks are columns over the submission's own row and need no shuffle; only references are joins, on (key, name referred to).
+Checks are columns over the submission's own row and need no shuffle; references are sets in that row, and only unknown ones are
+joined. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -121,30 +122,50 @@ def _rules() -> Column:
     return F.create_map(*(x for part, fields in FIELDS.items() for x in (F.lit(part), F.array(*(one(n, r) for n, r in fields.items())))))
 
 
-def _broken(value: Column, r: Column) -> Column:
-    """The rule that a present value breaks, or null."""
-    of = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
-    number = F.try_variant_get(value, "$", "double")
-    items = F.try_variant_get(value, "$", "array<variant>")
-    kind = r["kind"]
-    listed = of.startswith("ARRAY<")
+def _once(df: DataFrame, key: str, *columns: Column) -> DataFrame:
+    """key and the columns, as the one row of an inlined list: a filter on them, moved below a projection, would read the text again."""
+    return df.select(F.col(key), F.inline(F.array(F.struct(*columns))))
+
+
+def _object(value: Column) -> Column:
+    """The fields of an object, or null; much cheaper than to ask for the type of all that is in it."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _list(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _read(r: Column, value: Column) -> Column:
+    """What the rules ask about a field, read once: its rule, whether it is there, type and text of a single value, broken kind of others."""
+    single = ~r["kind"].isin("object", "list", "texts", "any")
+    wrong = (
+        F.when(r["kind"] == "object", F.when(_object(value).isNull(), "not_an_object"))
+        .when(r["kind"] == "list", F.when(_list(value).isNull(), "not_a_list"))
+        .when(r["kind"] == "texts", F.when(F.coalesce(F.exists(_list(value), lambda x: F.schema_of_variant(x) != "STRING"), F.lit(True)), "not_texts").when(F.size(_list(value)) < r["least"], "too_few"))
+    )
+    return F.struct(r.alias("r"), value.isNotNull().alias("there"), F.when(single, F.schema_of_variant(value)).alias("type"), F.when(single, F.try_variant_get(value, "$", "string")).alias("text"), wrong.alias("wrong"))
+
+
+def _broken(f: Column) -> Column:
+    """The rule that a field breaks, or null; f as read."""
+    kind, text, number = f["r"]["kind"], f["text"], f["type"].rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    value = text.try_cast("double")
     in_text = (
-        F.when(of != "STRING", "not_text").when(F.length(text) < r["least"], "too_short").when(F.length(text) > r["most"], "too_long")
-        .when((kind == "url") & ~text.rlike(r"(?i)^https?://[^\s/?#]+\S*$"), "bad_url")
-        .when((kind == "time") & F.try_to_timestamp(text).isNull(), "bad_time")
-        .when((kind == "hash") & ~text.rlike("^[0-9a-fA-F]{64}$"), "bad_hash")
-        .when((kind == "base64") & ~F.coalesce(F.base64(F.try_to_binary(text, F.lit("base64"))) == text, F.lit(False)), "bad_base64")
+        F.when(f["type"] != "STRING", "not_text").when(F.length(text) < f["r"]["least"], "too_short").when(F.length(text) > f["r"]["most"], "too_long").when(kind == "text", None)
+        .when(kind == "url", F.when(~text.rlike(r"(?i)^https?://[^\s/?#]+\S*$"), "bad_url"))
+        .when(kind == "time", F.when(text.try_cast("timestamp").isNull(), "bad_time"))
+        .when(kind == "hash", F.when(~text.rlike("^[0-9a-fA-F]{64}$"), "bad_hash"))
+        .otherwise(F.when(F.coalesce(F.base64(F.try_to_binary(text, F.lit("base64"))) != text, F.lit(True)), "bad_base64"))
     )
     return (
-        F.when(kind.isin("text", "url", "time", "hash", "base64"), in_text)
-        .when(kind == "unreviewed", F.when((of != "STRING") | (text != UNREVIEWED), "bad_status"))
-        .when(kind == "object", F.when(~of.startswith("OBJECT<"), "not_an_object"))
-        .when(kind == "list", F.when(~listed, "not_a_list"))
-        .when(kind == "texts", F.when(~listed | F.exists(items, lambda x: F.schema_of_variant(x) != "STRING"), "not_texts").when(F.size(items) < r["least"], "too_few"))
-        .when(kind == "boolean", F.when(of != "BOOLEAN", "not_boolean"))
-        .when(kind == "number", F.when(~of.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "not_a_number"))
-        .when(kind == "integer", F.when(~of.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") | (number != F.floor(number)) | (number < r["least"]), "not_a_count"))
+        F.when(~f["there"], F.when(f["r"]["required"], "required"))
+        .when(kind.isin("text", "url", "time", "hash", "base64"), in_text)
+        .when(kind == "unreviewed", F.when((f["type"] != "STRING") | (text != UNREVIEWED), "bad_status"))
+        .when(kind == "boolean", F.when(f["type"] != "BOOLEAN", "not_boolean"))
+        .when(kind == "number", F.when(~number, "not_a_number"))
+        .when(kind == "integer", F.when(~number | (value != F.floor(value)) | (value < f["r"]["least"]), "not_a_count"))
+        .otherwise(f["wrong"])
     )
 
 
@@ -152,7 +173,7 @@ def _parts(v: Column) -> Column:
     """array<struct<part, path, item>>: the submission itself, its objects where they are objects, and every item of its lists."""
     of = lambda part, path, item: F.struct(part.alias("part"), path.alias("path"), item.alias("item"))
     objects = [of(F.lit(p), F.lit(p), F.try_variant_get(v, f"$.{p}" if p else "$", "variant")) for p in ("", *OBJECTS)]
-    objects = F.filter(F.array(*objects), lambda x: F.schema_of_variant(x["item"]).startswith("OBJECT<"))
+    objects = F.filter(F.array(*objects), lambda x: _object(x["item"]).isNotNull())
 
     def items(part: str) -> Column:
         held = F.coalesce(F.try_variant_get(v, f"$.{part}", "array<variant>"), F.array().cast("array<variant>"))
@@ -168,22 +189,23 @@ def shape_violations(df: DataFrame, key: str, version: str, body: str = "body")
     unsupported_contract alone. path is like evidence[3].sha256. A field that is there as JSON null is there: it has the wrong form.
     A submission that repeats a key in an object isn't read (not_an_object). Repeated rows of df are judged each for themselves.
     """
-    v = df.select(F.col(key), F.try_parse_json(body).alias("_v"))
-    is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT<"), F.lit(False))
+    v = _once(df, key, F.try_parse_json(body).alias("_v"))
+    is_object = _object(F.col("_v")).isNotNull()
     said = F.try_variant_get("_v", "$.contract_version", "string")
     whole = F.when(~is_object, F.struct(F.lit("").alias("path"), F.lit("not_an_object").alias("rule"))).when(F.coalesce(said != version, F.lit(True)), F.struct(F.lit("contract_version").alias("path"), F.lit("unsupported_contract").alias("rule")))
-    v = v.select(key, "_v", whole.alias("_whole"))
+    v = _once(v, key, F.col("_v"), whole.alias("_whole"))
     refused = v.where(F.col("_whole").isNotNull()).select(key, "_whole.*")
     x = v.where(F.col("_whole").isNull()).select(key, F.explode(_parts(F.col("_v"))).alias("x")).select(key, "x.*")
-    x = x.withColumns({"_fields": F.try_variant_get("item", "$", "map<string,variant>"), "_rules": F.element_at(_rules(), F.col("part"))})
+    x = _once(x.withColumn("_key", F.struct(key, "path")), "_key", _object(F.col("item")).alias("_fields"), F.element_at(_rules(), F.col("part")).alias("_rules")).select(f"_key.{key}", "_key.path", "_fields", "_rules")
     at = lambda name: F.concat_ws(".", F.nullif("path", F.lit("")), name)
     found = lambda name, rule: F.struct(at(name).alias("path"), rule.alias("rule"))
     fields, rules = F.col("_fields"), F.col("_rules")
     unknown = F.transform(F.array_except(F.map_keys(fields), F.transform(rules, lambda r: r["name"])), lambda k: found(k, F.lit("not_allowed")))
-    present = lambda r: F.map_contains_key(fields, r["name"])
-    wrong = F.transform(rules, lambda r: found(r["name"], F.when(~present(r), F.when(r["required"], "required")).otherwise(_broken(F.try_element_at(fields, r["name"]), r))))
+    held = F.transform(rules, lambda r: F.struct(r.alias("r"), F.try_element_at(fields, r["name"]).alias("value")))
+    wrong = F.transform(F.transform(held, lambda h: _read(h["r"], h["value"])), lambda f: F.struct(f["r"]["name"].alias("name"), _broken(f).alias("rule")))
+    wrong = F.transform(F.filter(wrong, lambda e: e["rule"].isNotNull()), lambda e: found(e["name"], e["rule"]))
     no_object = F.array(F.struct(F.col("path").alias("path"), F.lit("not_an_object").alias("rule")))
-    errors = F.when(fields.isNull() | ~F.schema_of_variant("item").startswith("OBJECT<"), no_object).otherwise(F.concat(unknown, F.filter(wrong, lambda e: e["rule"].isNotNull())))
+    errors = F.when(fields.isNull(), no_object).otherwise(F.concat(unknown, wrong))
     return refused.unionByName(x.select(key, F.inline(errors)))
 
 
@@ -212,26 +234,33 @@ def submission_tables(df: DataFrame, key: str, body: str = "body") -> dict[str,
 
 
 def reference_violations(df: DataFrame, key: str, body: str = "body") -> DataFrame:
-    """(key, path, rule): names of evidence and candidates that the submission itself doesn't hold; for submissions of right shape.
+    """(key, path, rule): names of evidence and candidates that the submission itself doesn't hold; key is unique.
 
     unknown_evidence for the evidence_keys of candidates, claims and relationships; unknown_candidate for subjects and objects.
-    Every reference meets the distinct names of its own submission in an anti-join; a name used very often is one row on the other
-    side, so that AQE may split its references.
+    Parts of a wrong form have no references. Names used and names held are compared as sets within the submission's own row; only
+    those of submissions with an unknown name become rows, and references meet the unknown names in a semi-join.
     """
-    t = {p: part_rows(df, key, p, body) for p in ("evidence", "entities", "claims", "relationships")}
-    at = lambda p: (F.concat(F.lit("entities."), F.col("entity_set")) if p == "entities" else F.lit(p), F.lit("["), F.col("pos").cast("string"), F.lit("]."))
-    path = lambda p, *end: F.concat(*at(p), *end).alias("path")
+    v = _once(df, key, F.try_parse_json(body).alias("_v"))
+    items = lambda p: F.coalesce(F.try_variant_get("_v", f"$.{p}", "array<variant>"), F.array().cast("array<variant>"))
+    read = lambda x, n, t="string": F.try_variant_get(x, f"$.{n}", t)
+    ref = lambda path, name, rule: F.struct(path.alias("path"), name.alias("name"), F.lit(rule).alias("rule"))
+    held_as = lambda name, rule: F.struct(name.alias("name"), F.lit(rule).alias("rule"))
 
-    def evidence(p):
-        return t[p].select(key, *(["entity_set"] if p == "entities" else []), "pos", F.posexplode("evidence_keys").alias("i", "name")).select(key, path(p, F.lit("evidence_keys["), F.col("i").cast("string"), F.lit("]")), "name", F.lit("unknown_evidence").alias("rule"))
+    def used(part: str, *fields: str) -> Column:
+        def of(x, i):
+            at = F.concat(F.lit(f"{part}["), i.cast("string"), F.lit("]."))
+            keys = F.transform(F.coalesce(read(x, "evidence_keys", "array<string>"), F.array().cast("array<string>")), lambda k, j: ref(F.concat(at, F.lit("evidence_keys["), j.cast("string"), F.lit("]")), k, "unknown_evidence"))
+            return F.concat(keys, *(F.array(ref(F.concat(at, F.lit(f)), read(x, f), "unknown_candidate")) for f in fields))
 
-    def candidate(p, field):
-        return t[p].select(key, path(p, F.lit(field)), F.col(field).alias("name"), F.lit("unknown_candidate").alias("rule"))
+        return F.flatten(F.transform(items(part), of))
 
-    held = t["evidence"].select(key, F.col("evidence_key").alias("name"), F.lit("unknown_evidence").alias("rule"))
-    held = held.unionByName(t["entities"].select(key, F.col("candidate_key").alias("name"), F.lit("unknown_candidate").alias("rule"))).distinct()
-    used = [evidence("entities"), evidence("claims"), evidence("relationships"), candidate("claims", "subject_candidate_key"), candidate("relationships", "subject_candidate_key"), candidate("relationships", "object_candidate_key")]
-    return reduce(DataFrame.unionByName, used).where("name IS NOT NULL").join(held, [key, "name", "rule"], "left_anti").select(key, "path", "rule")
+    sets = [f"entities.{s}" for s in OBJECTS["entities"]]
+    uses = F.concat(*map(used, sets), used("claims", "subject_candidate_key"), used("relationships", "subject_candidate_key", "object_candidate_key"))
+    held = F.concat(F.transform(items("evidence"), lambda x: held_as(read(x, "evidence_key"), "unknown_evidence")), *(F.transform(items(s), lambda x: held_as(read(x, "candidate_key"), "unknown_candidate")) for s in sets))
+    rows = _once(v, key, F.filter(uses, lambda r: r["name"].isNotNull()).alias("_uses"), held.alias("_held"))
+    unknown = F.array_except(F.transform("_uses", lambda r: F.struct(r["name"].alias("name"), r["rule"].alias("rule"))), "_held")
+    rows = _once(rows, key, F.col("_uses"), unknown.alias("_unknown")).where(F.size("_unknown") > 0)
+    return rows.select(key, F.inline("_uses")).join(rows.select(key, F.inline("_unknown")), [key, "name", "rule"], "left_semi").select(key, "path", "rule")
 
 
 def outcomes(df: DataFrame, key: str, version: str, body: str = "body") -> DataFrame:
@@ -239,17 +268,16 @@ def outcomes(df: DataFrame, key: str, version: str, body: str = "body") -> DataF
 
     outcome: unsupported_contract; rejected, if it has violations of shape or, having none, of references; else accepted. partial:
     an evidence without its content, or a gap. needs_identity: a candidate that asks for a resolution. Both are false where refused.
+    The counts meet the submissions by key alone.
     """
     shape = shape_violations(df, key, version, body).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("rule") == "unsupported_contract").alias("_other"))
-    judged = df.select(F.col(key), F.col(body)).join(shape, key, "left")
-    sound = judged.where("_n IS NULL")
-    refs = reference_violations(sound, key, body).groupBy(key).agg(F.count(F.lit(1)).alias("_refs"))
-    v = F.try_parse_json(body)
-    list_of = lambda p, t: F.coalesce(F.try_variant_get(v, f"$.{p}", f"array<{t}>"), F.array().cast(f"array<{t}>"))
-    partial = F.exists(list_of("evidence", "variant"), lambda e: F.try_variant_get(e, "$.content_base64", "string").isNull()) | (F.size(list_of("gaps", "string")) > 0)
-    needs = reduce(lambda a, b: a | b, (F.exists(list_of(f"entities.{s}", "variant"), lambda c: F.coalesce(F.try_variant_get(c, "$.identity_resolution_required", "boolean"), F.lit(False))) for s in OBJECTS["entities"]))
-    out = judged.join(refs, key, "left")
+    refs = reference_violations(df, key, body).groupBy(key).agg(F.count(F.lit(1)).alias("_refs"))
+    v = _once(df, key, F.try_parse_json(body).alias("_v"))
+    items = lambda p: F.coalesce(F.try_variant_get("_v", f"$.{p}", "array<variant>"), F.array().cast("array<variant>"))
+    partial = F.exists(items("evidence"), lambda e: F.try_variant_get(e, "$.content_base64", "string").isNull()) | (F.size(items("gaps")) > 0)
+    asks = lambda s: F.exists(items(f"entities.{s}"), lambda c: F.coalesce(F.try_variant_get(c, "$.identity_resolution_required", "boolean"), F.lit(False)))
+    needs = reduce(lambda a, b: a | b, map(asks, OBJECTS["entities"]))
+    out = v.select(key, partial.alias("_partial"), needs.alias("_needs")).join(shape, key, "left").join(refs, key, "left")
     n = F.coalesce("_n", "_refs", F.lit(0))
-    accepted = n == 0
-    outcome = F.when(F.col("_other"), "unsupported_contract").when(accepted, "accepted").otherwise("rejected")
-    return out.select(key, outcome.alias("outcome"), n.alias("n_violations"), (accepted & partial).alias("partial"), (accepted & needs).alias("needs_identity"))
+    outcome = F.when(F.col("_other"), "unsupported_contract").when(n == 0, "accepted").otherwise("rejected")
+    return out.select(key, outcome.alias("outcome"), n.alias("n_violations"), ((n == 0) & F.col("_partial")).alias("partial"), ((n == 0) & F.col("_needs")).alias("needs_identity"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recordspine.operators import submissions
 from recordspine.plans.registry import query
+from recordspine.sources.tables import written
 
 VERSION = "research-1"
 
@@ -28,7 +29,7 @@ REFERENCES = """refs AS (SELECT c, 'claims[' || p || '].subject_candidate_key' A
 
 
 def bodies(t):
-    """(submission_id, body): the JSON texts."""
+    """(submission_id, body): the JSON texts, written once as a producer would."""
     rows = t.orders.groupBy(F.col("o_custkey").alias("c")).agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("o"), F.to_date("o_orderdate").cast("string").alias("day")))).alias("x"))
     c, lit = F.col("c"), F.lit
     bad = c % 3 == 0
@@ -52,7 +53,7 @@ def bodies(t):
         F.when(bad & (c % 2 == 0), "").otherwise("profile").alias("capability"), F.struct(lit("k").alias("cohort_key"), lit("FL").alias("state")).alias("cohort"), none.alias("sources"), none.alias("retrievals"), evidence.alias("evidence"),
         F.struct(*((people if s == "person_candidates" else none).alias(s) for s in submissions.OBJECTS["entities"])).alias("entities"), claims.alias("claims"), ties.alias("relationships"), none.alias("dataset_units"), none.alias("gis_boundaries"),
         F.when(~bad | (c % 9 > 0), none).alias("warnings"), F.when(c % 5 == 0, F.array(lit("no phone"))).otherwise(none).alias("gaps"), F.struct(lit("2024-01-02T00:00:00Z").alias("current_as_of")).alias("currentness"), none.alias("monitoring_recommendations")))
-    return rows.select(c.alias("submission_id"), F.when(c % 17 == 0, F.substring(text, 2, 100000)).otherwise(text).alias("body"))
+    return written(rows.select(c.alias("submission_id"), F.when(c % 17 == 0, F.substring(text, 2, 100000)).otherwise(text).alias("body")), "submissions")
 
 
 @query(f"WITH {ORDERS}, {SHAPE} SELECT c AS submission_id, path, rule FROM shape")
