@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordspine.plans import claims, decisions, integrity, officials, operations, pages, health, intervals, matching, planning, records, routing, submissions, trees, universe, writes  # noqa: F401  registers
+from recordspine.plans import claims, decisions, integrity, officials, operations, pages, health, intervals, matching, planning, records, rosters, routing, submissions, trees, universe, writes  # noqa: F401  registers
 from recordspine.plans.registry import SQL, spark_queries
 
 
