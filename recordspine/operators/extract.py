@@ -18,7 +18,7 @@ def table_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 def anchors(pages: DataFrame, key: str, html: str, path: str) -> DataFrame:
     """(key, pos, href, name, context): anchors whose href matches path, with the text up to the next such anchor."""
-    split = F.split(F.col(html), rf'(?=<a [^>]*href="{path})')
+    split = F.split(F.concat(F.lit(" "), F.col(html)), rf'(?=<a [^>]*href="{path})')  # a page may begin with an anchor
     parts = pages.select(key, F.posexplode(split).alias("pos", "part")).where("pos > 0")
     href = F.regexp_extract("part", r'<a [^>]*href="([^"]*)"', 1)
     name = fn.html_text(F.regexp_extract("part", r"(?is)<a [^>]*>(.*?)</a>", 1))

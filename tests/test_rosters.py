@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from recordspine.operators import rosters
+from recordspine.operators import extract, rosters
 
 CODES = {"Ohio": "OH", "Guam": "GU", "Iowa": "IA"}
 
@@ -51,3 +51,8 @@ def test_gate_refuses_whole_sets(spark):
         "a": (2, "accepted", []), "b": (2, "refused", ["repeated_unit"]), "c": (1, "refused", ["mismatch"]), "d": (3, "refused", ["too_many"]), "e": (0, "refused", ["too_few"])}
     assert sorted((r.key, r.unit) for r in rosters.accepted(records, gates, "key").collect()) == [("a", "1"), ("a", "2")]
     assert rosters.gate(records.limit(0), manifest, "key").where("status = 'refused'").count() == 5
+
+
+def test_page_that_begins_with_an_anchor(spark):
+    got = extract.anchors(frame(spark, '<a href="/x">A</a> one <a href="/y">B</a> two', "none", None), "id", "html", "/").orderBy("pos").collect()
+    assert [tuple(r) for r in got] == [(0, 1, "/x", "A", "one"), (0, 2, "/y", "B", "two")]
