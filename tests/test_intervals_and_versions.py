@@ -46,6 +46,21 @@ def test_interval_joins_against_all_pairs(spark):
     assert intervals.overlap_join(left.limit(0), right, ["k"], ("s", "e"), ("s2", "e2")).count() == 0
 
 
+def test_keys_of_few_and_many_intervals_are_joined_alike(spark):
+    rnd = random.Random(12)
+    a, b = spans(rnd, 120, 0), spans(rnd, 120, 1000) + [(5000, 7, None, None), (5001, None, None, None)]
+    left = spark.createDataFrame(a + [(6000, 7, DAY, None), (6001, None, DAY, None)], "l int, k int, s date, e date")
+    right = spark.createDataFrame(b, "r int, k int, s2 date, e2 date")
+    some = sorted(right.groupBy("k").count().toPandas()["count"])[-2]  # one key has more
+    for join in (lambda most: intervals.overlap_join(left, right, ["k"], ("s", "e"), ("s2", "e2"), most), lambda most: intervals.stab_join(left, right, ["k"], "s", ("s2", "e2"), most)):
+        plain, mixed, bins = (join(most) for most in (1000, int(some), 0))
+        want = sorted(map(str, plain.collect()))
+        assert want == sorted(map(str, mixed.collect())) == sorted(map(str, bins.collect())) and len(want) > 500
+        plan = plain._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Broadcast" not in plan  # each row shuffled once
+        assert "Broadcast" not in bins._jdf.queryExecution().optimizedPlan().toString() and "strategy=merge" in bins._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_cover_is_short_and_exact(spark):
     rows = spark.createDataFrame([(s, e) for s in range(0, 40) for e in range(s + 1, 41)] + [(1, 65_535)], "s long, e long").select("s", "e", intervals.cover(F.col("s"), F.col("e"), 16).alias("c")).collect()
     for r in rows:
