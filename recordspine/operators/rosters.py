@@ -33,8 +33,12 @@ def seat_tables(pages: DataFrame, key: str, html: str, codes: dict[str, str]) ->
     """
     code = F.create_map(*(F.lit(x) for pair in codes.items() for x in pair))
     t = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))).alias("table", "body"))
+    # What stands beside a generator is computed for each row that it makes, from a copy of its input: so the caption is made into
+    # a row's value first, and a table's text goes with none of its rows. Rows are dealt out, as one table may have very many.
     caption = fn.html_text(F.regexp_extract("body", r"(?is)<caption[^>]*>(.*?)</caption>", 1))
-    t = t.select(key, "table", caption.alias("caption"), F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "r"))
+    rows = F.regexp_extract_all("body", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    t = t.select(key, "table", F.inline(F.array(F.struct(caption.alias("caption"), rows.alias("rows"))))).select(key, "table", "caption", F.posexplode("rows").alias("row", "r"))
+    t = t.repartition(key, "table", "row")
     t = t.withColumn("raw", F.regexp_extract_all("r", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)))
     t = t.withColumn("cells", F.transform("raw", fn.html_text))
     heading = F.when(F.size("cells") == 1, F.get("cells", F.lit(0)))

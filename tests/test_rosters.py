@@ -56,3 +56,13 @@ def test_gate_refuses_whole_sets(spark):
 def test_page_that_begins_with_an_anchor(spark):
     got = extract.anchors(frame(spark, '<a href="/x">A</a> one <a href="/y">B</a> two', "none", None), "id", "html", "/").orderBy("pos").collect()
     assert [tuple(r) for r in got] == [(0, 1, "/x", "A", "one"), (0, 2, "/y", "B", "two")]
+
+
+def test_rows_of_a_long_table_do_not_carry_its_text(spark):
+    html = "<table><caption>Ohio</caption>" + "".join(row(f"{i % 900}", f'<a href="/m/{i}">Roe {i}</a>') for i in range(3000)) + "</table>"
+    got = rosters.seat_tables(frame(spark, html), "id", "html", CODES)
+    assert got.where("state = 'OH' AND name IS NOT NULL").count() == 3000
+    made = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line and "[row#" in line]
+    assert len(made) == 1
+    body = got._jdf.queryExecution().optimizedPlan().toString().split(made[0])
+    assert "html_text" not in body[0] and "caption[^>]" not in body[0]  # nothing above it reads a caption out of the text
