@@ -153,6 +153,17 @@ def excerpt(text: Column, needle: Column, around: int = 100) -> Column:
     return F.struct(F.when(hit, F.octet_length(F.substring(text, F.lit(1), at - 1))).alias("byte_offset"), F.when(hit, F.substring(text, start, at - start + F.char_length(needle) + around)).alias("excerpt"))
 
 
+def first_spellings(words: Column) -> Column:
+    """The words that are not empty, each once whatever its case: in its first spelling, in order. Null has none.
+
+    Words are sorted in their own row and not shuffled, so a text's work is a little more than its length.
+    """
+    keyed = F.transform(F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda x: x != ""), lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("pos"), x.alias("word")))
+    first = lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["key"] != x["key"], F.lit(True)))
+    firsts = F.flatten(F.transform(F.array(F.array_sort(keyed)), first))  # the sorted words are bound once
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["pos"].alias("pos"), x["word"].alias("word")))), lambda x: x["word"])
+
+
 def seat_key(family: Column, district_number: Column, seat_class: Column) -> Column:
     """Key of a permanent seat from its family and district, or from its class for the federal senate."""
     dashed = F.replace(family, F.lit("_"), F.lit("-"))

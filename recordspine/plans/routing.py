@@ -208,7 +208,5 @@ WITH l AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), n AS (SE
 SELECT doc_id, CAST(len(list_filter(w, lambda x, i: list_position(k, lower(x)) = i)) AS BIGINT) AS kept, md5(coalesce(array_to_string(list_filter(w, lambda x, i: list_position(k, lower(x)) = i), ' '), '')) AS kept_md5 FROM k""")
 def ordered_distinct(t):
     """Words of a text, the first spelling of each, in order."""
-    w = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word")).where("word <> ''")
-    first = w.groupBy("doc_id", F.lower("word").alias("key")).agg(F.min_by("word", "pos").alias("word"), F.min("pos").alias("pos"))
-    kept = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("text"))  # one text's words
-    return t.documents.select("doc_id").join(kept, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit(0)).alias("kept"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+    w = t.documents.select("doc_id", F.inline(F.array(F.struct(fn.first_spellings(F.split("text", " ")).alias("w")))))
+    return w.select("doc_id", F.size("w").cast("long").alias("kept"), F.md5(F.array_join("w", " ").cast("binary")).alias("kept_md5"))

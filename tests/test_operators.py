@@ -189,3 +189,12 @@ def test_presence_by_category(spark):
     claims = spark.createDataFrame([("a", None, "verified"), ("a", "v", "stale"), ("b", "", "stale"), ("c", "v", None), ("z", "v", "verified")], "field_key string, normalized_value string, verification_state string")
     assert pairs(quality.presence_by_category(fields, claims, ["verified"])) == [("uncategorized", 1, 1), ("x", 1, 2), ("y", 0, 1)]
     assert pairs(quality.presence_by_category(fields, claims.limit(0), ["verified"])) == [("uncategorized", 0, 1), ("x", 0, 2), ("y", 0, 1)]
+
+
+def test_first_spellings_in_the_row(spark):
+    rows = [(1, "b A  a B c"), (2, ""), (3, None), (4, " x X x "), (5, " ".join(f"W{i % 7000} w{i % 7000}" for i in range(20000)))]
+    out = spark.createDataFrame(rows, "id int, text string").select("id", fn.first_spellings(F.split("text", " ")).alias("w"))
+    got = {r.id: r.w for r in out.collect()}
+    assert got == {1: ["b", "A", "c"], 2: [], 3: [], 4: ["x"], 5: [f"W{i}" for i in range(7000)]}
+    from recordspine.plans import catalog
+    assert "Exchange" not in catalog.queries()["ordered_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
