@@ -215,8 +215,8 @@ def part_rows(df: DataFrame, key: str, part: str, body: str = "body") -> DataFra
     part: a list's name, 'warnings' or 'gaps' (column text), or 'entities' (all candidates, with entity_set). Only this part of the
     text is read. Items that are no objects give nulls.
     """
-    v = F.try_parse_json(body)
-    of = lambda p: F.coalesce(F.try_variant_get(v, f"$.{p}", "array<variant>"), F.array().cast("array<variant>"))
+    df = _once(df, key, F.try_parse_json(body).alias("_v"))
+    of = lambda p: F.coalesce(F.try_variant_get("_v", f"$.{p}", "array<variant>"), F.array().cast("array<variant>"))
     if part == "entities":
         one = lambda s: F.transform(of(f"entities.{s}"), lambda x, i: F.struct(F.lit(s).alias("entity_set"), i.alias("pos"), x.alias("_item")))
         items = df.select(F.col(key), F.inline(F.concat(*map(one, OBJECTS["entities"]))))
@@ -228,6 +228,17 @@ def part_rows(df: DataFrame, key: str, part: str, body: str = "body") -> DataFra
     return items.select(*items.columns[:-1], *(F.try_variant_get("_item", f"$.{n}", TYPES.get(r[0], "string")).alias(n) for n, r in fields.items()))
 
 
+def item_rows(df: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """(key, part, pos, item) of every list, set of candidates, warning and gap: each text is read once for all of them."""
+    v = _once(df, key, F.try_parse_json(body).alias("_v"))
+
+    def items(part: str, path: str) -> Column:
+        held = F.coalesce(F.try_variant_get("_v", f"$.{path}", "array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(held, lambda x, i: F.struct(F.lit(part).alias("part"), i.alias("pos"), x.alias("item")))
+
+    return v.select(key, F.inline(F.concat(*(items(p, p) for p in (*LISTS, "warnings", "gaps")), *(items(p, f"entities.{p}") for p in OBJECTS["entities"]))))
+
+
 def submission_tables(df: DataFrame, key: str, body: str = "body") -> dict[str, DataFrame]:
     """All tables of the submissions by part; each is a plan of its own that reads its part alone."""
     return {p: part_rows(df, key, p, body) for p in (*LISTS, "entities", "warnings", "gaps")}

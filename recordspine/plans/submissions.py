@@ -81,12 +81,13 @@ def submission_outcomes(t):
 UNION ALL SELECT c, 'person_candidates', p, 'p' || o, 1 FROM r UNION ALL SELECT c, 'claims', p, 'c' || o, CASE WHEN o % 11 = 0 THEN CASE WHEN c % 3 = 0 THEN 0 ELSE 1 END WHEN o % 10 = 0 THEN 2 ELSE 1 END FROM r
 UNION ALL SELECT c, 'relationships', p, CASE WHEN c % 3 > 0 AND o % 14 = 0 THEN 'z' ELSE 'p' END || o, 1 FROM r UNION ALL SELECT c, 'gaps', 0, 'no phone', 1 FROM r WHERE c % 5 = 0 GROUP BY c""")
 def submission_parts(t):
-    """The tables that submissions are taken apart into, with a name and a number of each row."""
-    s = submissions.submission_tables(bodies(t), "submission_id")
-    keys = F.size("evidence_keys").cast("long")
-    of = lambda part, d, name, n: d.select("submission_id", part.alias("part"), "pos", F.col(name).alias("name"), n.alias("n"))
-    out = of(F.lit("evidence"), s["evidence"], "evidence_key", F.col("byte_length")).unionByName(of(F.col("entity_set"), s["entities"], "candidate_key", keys)).unionByName(of(F.lit("claims"), s["claims"], "claim_key", keys))
-    out = out.unionByName(of(F.lit("relationships"), s["relationships"], "object_candidate_key", keys)).unionByName(of(F.lit("gaps"), s["gaps"], "text", F.lit(1).cast("long")))
-    for part, name in {"sources": "source_key", "retrievals": "content_hash", "dataset_units": "unit_key", "gis_boundaries": "boundary_key", "monitoring_recommendations": "scope", "warnings": "text"}.items():
-        out = out.unionByName(of(F.lit(part), s[part], name, F.lit(1).cast("long")))
-    return out
+    """Every row that submissions are taken apart into, with a name and a number."""
+    names = {"evidence": "evidence_key", "claims": "claim_key", "relationships": "object_candidate_key", "sources": "source_key", "retrievals": "content_hash", "dataset_units": "unit_key", "gis_boundaries": "boundary_key", "monitoring_recommendations": "scope"}
+    keyed = (*submissions.OBJECTS["entities"], "claims", "relationships")
+    part = F.col("part")
+    field = lambda name, kind: F.try_variant_get("item", f"$.{name}", kind)
+    name = F.when(part.isin("warnings", "gaps"), F.try_variant_get("item", "$", "string"))
+    for p, n in names.items():
+        name = name.when(part == p, field(n, "string"))
+    n = F.when(part == "evidence", field("byte_length", "bigint")).when(part.isin(*keyed), F.size(field("evidence_keys", "array<string>")).cast("long")).otherwise(F.lit(1).cast("long"))
+    return submissions.item_rows(bodies(t), "submission_id").select("submission_id", "part", "pos", name.otherwise(field("candidate_key", "string")).alias("name"), n.alias("n"))

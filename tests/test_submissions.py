@@ -109,3 +109,10 @@ def test_tables(spark):
 def test_columns_follow_the_contract(spark, part):
     fields = s.CANDIDATE if part == "entities" else s.LISTS[part]
     assert s.part_rows(frame(spark, []), "id", part).columns == ["id", *(["entity_set"] if part == "entities" else []), "pos", *fields]
+
+
+def test_items_of_all_parts_from_one_reading(spark):
+    df = frame(spark, [json.dumps(GOOD), "x", None])
+    got = s.item_rows(df, "id")
+    assert sorted((r.id, r.part, r.pos) for r in got.collect()) == [(0, p, 0) for p in ("claims", "evidence", "person_candidates")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json") + got._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
