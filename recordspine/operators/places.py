@@ -13,29 +13,35 @@ ray casting.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordspine.sources.tables import written
 
 WAYS = 4  # parts of a cell's side
+EDGES = 1 << 13  # edges that are cut at once, or one cell's
+PLAIN = 4  # edges of a cell that go as plain columns
 
 
-def _side(e: Column, x: Column, y: Column) -> Column:
+def _side(e, x, y):
     """Above 0: (x, y) lies left of the edge, which goes upwards."""
     return (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
 
 
-def _under(e: Column, x: Column, y: Column) -> Column:
-    """The place lies under the edge, which crosses the vertical line through it."""
-    s, right = _side(e, x, y), e["x2"] > e["x1"]
-    return F.when(s == 0, right & (e["y2"] > e["y1"])).otherwise(right == (s < 0))
-
+def _turns(e, cx, cy, x, y):
+    """An odd number of crossings with the edge on the way (cx, cy) to (cx, y) to (x, y); of columns and of NumPy arrays alike.
 
-def _turns(e: Column, cx: Column, cy: Column, x: Column, y: Column) -> Column:
-    """An odd number of crossings with the edge on the way (cx, cy) to (cx, y) to (x, y)."""
-    upright = ((e["x1"] > cx) != (e["x2"] > cx)) & (_under(e, cx, cy) != _under(e, cx, y))
-    level = (e["y1"] <= y) & (y < e["y2"]) & ((_side(e, x, y) > 0) != (_side(e, cx, y) > 0))
+    Short, as Java compiles no method of over 8,000 bytes.
+    """
+    beside = _side(e, cx, y) > 0
+    upright = ((e["x1"] > cx) != (e["x2"] > cx)) & ((_side(e, cx, cy) > 0) != beside)
+    level = (e["y1"] <= y) & (y < e["y2"]) & ((_side(e, x, y) > 0) != beside)
     return upright != level
 
 
@@ -43,16 +49,49 @@ def _odd(edges: str, cx: Column, cy: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(edges, lambda e: _turns(e, cx, cy, x, y))) % 2 == 1
 
 
-def _touches(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """The edge may touch the closed cell: the boxes meet and the corners are not all clearly on one side of its line."""
-    boxes = (F.least(e["x1"], e["x2"]) <= x1) & (F.greatest(e["x1"], e["x2"]) >= x0) & (e["y1"] <= y1) & (e["y2"] >= y0)
+def _touches(e, x0, y0, x1, y1):
+    """Arrays: the edge may touch the closed cell: the boxes meet and the corners are not all clearly on one side of its line."""
+    boxes = (np.minimum(e["x1"], e["x2"]) <= x1) & (np.maximum(e["x1"], e["x2"]) >= x0) & (e["y1"] <= y1) & (e["y2"] >= y0)
     corners = [_side(e, x, y) for x in (x0, x1) for y in (y0, y1)]
-    slack = (F.abs(e["x2"] - e["x1"]) + e["y2"] - e["y1"]) * F.greatest(*(F.abs(v) for v in (x0, x1, y0, y1, e["x1"], e["x2"], e["y1"], e["y2"]))) * 1e-12
-    return boxes & (F.least(*corners) <= slack) & (F.greatest(*corners) >= -slack)
+    slack = (np.abs(e["x2"] - e["x1"]) + e["y2"] - e["y1"]) * reduce(np.maximum, map(np.abs, (x0, x1, y0, y1, *e.values()))) * 1e-12
+    return boxes & (reduce(np.minimum, corners) <= slack) & (reduce(np.maximum, corners) >= -slack)
+
+
+def _cut(level: int, box: tuple[float, float, float]):
+    """A function of Arrow batches: cells of a level, each to its parts that edges touch or that lie inside."""
+    (left, bottom, size), old, new = box, box[2] / WAYS**level, box[2] / WAYS ** (level + 1)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            sizes = np.cumsum(pc.list_value_length(batch["edges"]).to_numpy(zero_copy_only=False))
+            while at < len(sizes):  # so many cells at once as have EDGES edges
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + EDGES, "right")))
+                yield from some(batch.slice(at, end - at))
+                at = end
+
+    def some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = pc.list_value_length(batch["edges"]).to_numpy(zero_copy_only=False)
+        flat, owner = batch["edges"].flatten(), np.repeat(np.arange(len(n)), n)
+        e = {c: flat.field(c).to_numpy() for c in ("x1", "y1", "x2", "y2")}
+        cx, cy, inside = (batch[c].to_numpy(zero_copy_only=False) for c in ("cx", "cy", "inside"))
+        count = lambda which: np.bincount(owner[which], minlength=len(n))
+        x, y = (left + old + cx * old)[owner], (bottom + cy * old)[owner]
+        for part in range(WAYS**2):
+            px, py = cx * WAYS + part % WAYS, cy * WAYS + part // WAYS
+            x0, y0, x1, y1 = ((o + c * new)[owner] for o, c in ((left, px), (bottom, py), (left + new, px), (bottom + new, py)))
+            within, touching = inside ^ (count(_turns(e, x, y, x1, y0)) % 2 == 1), np.flatnonzero(_touches(e, x0, y0, x1, y1))
+            left_over = count(touching)
+            keep = np.flatnonzero(within | (left_over > 0))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(left_over[keep])]), pa.int32())
+            columns = {"boundary_id": batch["boundary_id"].take(pa.array(keep)), "level": pa.array(np.full(len(keep), level + 1), pa.int32()), "cx": pa.array(px[keep]), "cy": pa.array(py[keep]), "inside": pa.array(within[keep])}
+            yield pa.RecordBatch.from_pydict(columns | {"edges": pa.ListArray.from_arrays(offsets, flat.take(pa.array(touching)))})
+
+    return parts
 
 
 def edges_of(boundaries: DataFrame) -> DataFrame:
-    """(boundary_id, edges): each ring's edges, directed upwards, of boundaries with `rings` (array of rings) or one `ring`.
+    """(boundary_id, edges): each ring's edges, directed upwards (level ones to the left), of boundaries with `rings` (array of rings) or one `ring`.
 
     Rings close themselves. Corners with a null, NaN or infinite number are left out; rings under three corners are empty.
     """
@@ -60,7 +99,7 @@ def edges_of(boundaries: DataFrame) -> DataFrame:
     fine = lambda v: v.isNotNull() & (F.abs(v) < float("inf"))
     clean = F.transform(F.coalesce(rings, F.array()), lambda r: F.filter(F.coalesce(r, F.array()), lambda p: fine(p["x"]) & fine(p["y"])))
     edge = lambda a, b: F.struct(*(v.cast("double").alias(n) for v, n in ((a["x"], "x1"), (a["y"], "y1"), (b["x"], "x2"), (b["y"], "y2"))))
-    around = lambda r: F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), lambda a, b: F.when(a["y"] <= b["y"], edge(a, b)).otherwise(edge(b, a)))
+    around = lambda r: F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), lambda a, b: F.when((a["y"] < b["y"]) | ((a["y"] == b["y"]) & (a["x"] >= b["x"])), edge(a, b)).otherwise(edge(b, a)))
     edges = F.flatten(F.transform(F.filter(clean, lambda r: F.size(r) > 2), around))
     return boundaries.select("boundary_id", edges.alias("edges")).where(F.size("edges") > 0)
 
@@ -88,30 +127,22 @@ def cover(boundaries: DataFrame, most: float = 16, depth: int = 12) -> tuple[Dat
     whole = edges.select("boundary_id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), F.lit(False).alias("inside"), "edges")
     if box is None:
         return whole, None
-    left, bottom, size = box
     done, open_ = whole.where(F.size("edges") <= most), whole.where(F.size("edges") > most)
     for level in range(depth):
         if open_.isEmpty():
             return done, box
-        at = lambda n, o, s: F.lit(o) + F.col(n) * F.lit(s)
-        old, new = size / WAYS**level, size / WAYS ** (level + 1)
         # A boundary's cells are dealt out anew, so that one of very many edges isn't one task's work.
-        parts = open_.repartition("boundary_id", "cx", "cy").withColumns({"_x": at("cx", left + old, old), "_y": at("cy", bottom, old)}).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(WAYS**2 - 1))))
-        parts = parts.withColumns({"level": F.lit(level + 1), "cx": F.col("cx") * WAYS + F.col("_part") % WAYS, "cy": F.col("cy") * WAYS + F.floor(F.col("_part") / WAYS)})
-        parts = parts.withColumns({"_x0": at("cx", left, new), "_y0": at("cy", bottom, new), "_x1": at("cx", left + new, new), "_y1": at("cy", bottom + new, new)})
-        x0, y0, x1, y1 = map(F.col, ("_x0", "_y0", "_x1", "_y1"))
-        parts = parts.withColumn("inside", F.col("inside") != _odd("edges", F.col("_x"), F.col("_y"), x1, y0))
-        parts = parts.withColumn("edges", F.filter("edges", lambda e: _touches(e, x0, y0, x1, y1))).where(F.col("inside") | (F.size("edges") > 0))
-        parts = written(parts.select(whole.columns), "cover")
+        parts = written(open_.repartition("boundary_id", "cx", "cy").mapInArrow(_cut(level, box), whole.schema), "cover")
         done, open_ = done.unionByName(parts.where(F.size("edges") <= most)), parts.where(F.size("edges") > most)
     return done.unionByName(open_), box
 
 
-def locate(points: DataFrame, boundaries: DataFrame, most: float = 16) -> DataFrame:
+def locate(points: DataFrame, boundaries: DataFrame, most: float = PLAIN) -> DataFrame:
     """(point_id, boundary_id): points (point_id, x, y) inside polygons (boundary_id, and `ring`: array of struct x, y, or `rings`:
     an array of rings, of which those inside others are holes or islands). `most`: edges of a cell that is not cut.
 
-    Points without a finite x and y lie nowhere. A point meets its cell at each level that occurs, by an equi-join.
+    Points without a finite x and y lie nowhere. A point meets its cell at each level that occurs, by an equi-join. Edges go into
+    it as plain columns, since the test is then compiled; those of a cell that has more than PLAIN go as an array.
     """
     cells, box = cover(boundaries, most)
     if box is None:
@@ -122,9 +153,17 @@ def locate(points: DataFrame, boundaries: DataFrame, most: float = 16) -> DataFr
     p = p.where((F.col("x") >= left) & (F.col("x") < left + size) & (F.col("y") >= bottom) & (F.col("y") < bottom + size))
     p = p.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_size", F.lit(size) / F.pow(F.lit(float(WAYS)), "level"))
     at = lambda v, o: F.floor((F.col(v) - o) / F.col("_size"))
-    near = p.withColumns({"cx": at("x", left), "cy": at("y", bottom)}).join(cells, ["level", "cx", "cy"])
-    corner = F.lit(left) + (F.col("cx") + 1) * F.col("_size"), F.lit(bottom) + F.col("cy") * F.col("_size")
-    return near.where(F.col("inside") != _odd("edges", *corner, F.col("x"), F.col("y"))).select("point_id", "boundary_id")
+    p = p.withColumns({"cx": at("x", left), "cy": at("y", bottom)}).withColumns({"_cx": F.lit(left) + (F.col("cx") + 1) * F.col("_size"), "_cy": F.lit(bottom) + F.col("cy") * F.col("_size")}).drop("_size")
+    way = F.col("_cx"), F.col("_cy"), F.col("x"), F.col("y")
+    meet = lambda c: p.join(c.hint("merge"), ["level", "cx", "cy"])
+    plain = cells.where(F.size("edges") <= PLAIN)
+    plain = plain.select(*cells.columns[:-1], *(F.coalesce(F.get("edges", F.lit(i))[c], F.lit(0.0)).alias(f"_{c}{i}") for i in range(PLAIN) for c in ("x1", "y1", "x2", "y2")))  # what is missing is a place, which turns nothing
+    turned = [_turns({c: F.col(f"_{c}{i}") for c in ("x1", "y1", "x2", "y2")}, *way) for i in range(PLAIN)]
+    out = meet(plain).where(reduce(lambda a, b: a != b, turned, F.col("inside"))).select("point_id", "boundary_id")
+    many = cells.where(F.size("edges") > PLAIN)
+    if not many.isEmpty():
+        out = out.unionByName(meet(many).where(F.col("inside") != _odd("edges", *way)).select("point_id", "boundary_id"))
+    return out
 
 
 def boundary_at(boundaries: DataFrame, day) -> DataFrame:

@@ -57,3 +57,10 @@ def test_odd_input(spark):
     b = spark.createDataFrame(shapes + [("null", None), ("nulls", [None])], RINGS)
     assert sorted(map(tuple, places.locate(p, b).collect())) == [(1, "bad"), (1, "bad"), (1, "unit"), (1, "unit")]
     assert places.locate(p, b.limit(0)).collect() == [] and places.locate(p.limit(0), b).collect() == []
+
+
+def test_places_meet_cells_by_compiled_tests(spark):
+    ring = [[(math.cos(2 * math.pi * i / 60), math.sin(2 * math.pi * i / 60)) for i in range(60)]]
+    p, b = spark.createDataFrame([(1, 0.5, 0.5)], "point_id int, x double, y double"), spark.createDataFrame(as_rows({"round": ring, "unit": [[(0, 0), (1, 0), (1, 1), (0, 1)]]}), RINGS)
+    plan = places.locate(p, b)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "lambda" not in plan and "Broadcast" not in plan, plan
