@@ -2,6 +2,7 @@ import copy
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordspine.operators import submissions as s
 
@@ -116,3 +117,18 @@ def test_items_of_all_parts_from_one_reading(spark):
     got = s.item_rows(df, "id")
     assert sorted((r.id, r.part, r.pos) for r in got.collect()) == [(0, p, 0) for p in ("claims", "evidence", "person_candidates")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json") + got._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_right_items_are_not_read_field_by_field(spark):
+    """The pattern takes right items of each part and no wrong one; what it leaves is judged in full."""
+    x = lambda body: spark.createDataFrame([(body,)], "body string").select(F.explode(s._parts(F.try_parse_json("body"))).alias("x")).select("x.*", F.concat("x.part", F.to_json("x.item")).rlike(s._right()).alias("right"))
+    assert {r.part for r in x(json.dumps(GOOD)).collect() if not r.right} <= {"", "entities", "entities.person_candidates"}
+    wrong = [(p, path.rpartition(".")[0]) for p, _, path, rule in CASES if "." in path and rule not in ("unsupported_contract",)]
+    bodies = [changed(p, v) for p, v, path, _ in CASES if "." in path]
+    df = frame(spark, bodies).select("id", F.explode(s._parts(F.try_parse_json("body"))).alias("x")).select("id", "x.*")
+    right = {(r.id, r.path) for r in df.where(F.concat("part", F.to_json("item")).rlike(s._right())).collect()}
+    assert right and not right & {(i, path) for i, (_, path) in enumerate(wrong)}
+    odd = EVIDENCE | {"locator": 'a "b" \\\\ \u00e9\U0001f600', "retrieved_at": "2024-02-30T00:00:00Z"}
+    assert [tuple(r) for r in s.shape_violations(frame(spark, [changed(("evidence",), [EVIDENCE, odd])]), "id", "v1").collect()] == [(0, "evidence[1].retrieved_at", "bad_time")]
+    plan = s.shape_violations(frame(spark, [json.dumps(GOOD)]), "id", "v1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan
