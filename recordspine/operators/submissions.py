@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordspine.sources.tables import written
+
 # The fields of each part in their order, with (kind, least, most, required). Least and most are lengths of texts,
 # numbers of list items, or the least number.
 ROOT = {
@@ -146,6 +148,12 @@ def _is_list(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<boolean>").isNotNull()
 
 
+def _items(path: str, fields: str) -> Column:
+    """Some fields of a list's items, straight from the text's variant _v: items aren't copied as variants of their own first."""
+    kind = f"array<struct<{fields}>>"
+    return F.coalesce(F.try_variant_get("_v", f"$.{path}", kind), F.array().cast(kind))
+
+
 def _read(r: Column, value: Column) -> Column:
     """What the rules ask about a field, read once: its rule, whether it is there, type and text of a single value, broken kind of others."""
     single = ~r["kind"].isin("object", "list", "texts", "any")
@@ -297,25 +305,28 @@ def reference_violations(df: DataFrame, key: str, body: str = "body") -> DataFra
     those of submissions with an unknown name become rows, and references meet the unknown names in a semi-join.
     """
     v = _once(df, key, F.try_parse_json(body).alias("_v"))
-    items = lambda p: F.coalesce(F.try_variant_get("_v", f"$.{p}", "array<variant>"), F.array().cast("array<variant>"))
-    read = lambda x, n, t="string": F.try_variant_get(x, f"$.{n}", t)
+    sets = [f"entities.{s}" for s in OBJECTS["entities"]]
+    lists = {p: _items(p, "candidate_key:string,evidence_keys:array<string>") for p in sets}
+    lists |= {"claims": _items("claims", "subject_candidate_key:string,evidence_keys:array<string>"), "relationships": _items("relationships", "subject_candidate_key:string,object_candidate_key:string,evidence_keys:array<string>")}
+    lists |= {"evidence": _items("evidence", "evidence_key:string")}
+    v = _once(v, key, *(items.alias(p) for p, items in lists.items()))
     ref = lambda path, name, rule: F.struct(path.alias("path"), name.alias("name"), F.lit(rule).alias("rule"))
     held_as = lambda name, rule: F.struct(name.alias("name"), F.lit(rule).alias("rule"))
 
     def used(part: str, *fields: str) -> Column:
         def of(x, i):
             at = F.concat(F.lit(f"{part}["), i.cast("string"), F.lit("]."))
-            keys = F.transform(F.coalesce(read(x, "evidence_keys", "array<string>"), F.array().cast("array<string>")), lambda k, j: ref(F.concat(at, F.lit("evidence_keys["), j.cast("string"), F.lit("]")), k, "unknown_evidence"))
-            return F.concat(keys, *(F.array(ref(F.concat(at, F.lit(f)), read(x, f), "unknown_candidate")) for f in fields))
+            keys = F.transform(F.coalesce(x["evidence_keys"], F.array().cast("array<string>")), lambda k, j: ref(F.concat(at, F.lit("evidence_keys["), j.cast("string"), F.lit("]")), k, "unknown_evidence"))
+            return F.concat(keys, *(F.array(ref(F.concat(at, F.lit(f)), x[f], "unknown_candidate")) for f in fields))
 
-        return F.flatten(F.transform(items(part), of))
+        return F.flatten(F.transform(f"`{part}`", of))
 
-    sets = [f"entities.{s}" for s in OBJECTS["entities"]]
     uses = F.concat(*map(used, sets), used("claims", "subject_candidate_key"), used("relationships", "subject_candidate_key", "object_candidate_key"))
-    held = F.concat(F.transform(items("evidence"), lambda x: held_as(read(x, "evidence_key"), "unknown_evidence")), *(F.transform(items(s), lambda x: held_as(read(x, "candidate_key"), "unknown_candidate")) for s in sets))
+    held = F.concat(F.transform("evidence", lambda x: held_as(x["evidence_key"], "unknown_evidence")), *(F.transform(f"`{s}`", lambda x: held_as(x["candidate_key"], "unknown_candidate")) for s in sets))
     rows = _once(v, key, F.filter(uses, lambda r: r["name"].isNotNull()).alias("_uses"), held.alias("_held"))
     unknown = F.array_except(F.transform("_uses", lambda r: F.struct(r["name"].alias("name"), r["rule"].alias("rule"))), "_held")
-    rows = _once(rows, key, F.col("_uses"), unknown.alias("_unknown")).where(F.size("_unknown") > 0)
+    # Written, so that both sides of the join below don't read all texts again.
+    rows = written(_once(rows, key, F.col("_uses"), unknown.alias("_unknown")).where(F.size("_unknown") > 0), "references")
     return rows.select(key, F.inline("_uses")).join(rows.select(key, F.inline("_unknown")), [key, "name", "rule"], "left_semi").select(key, "path", "rule")
 
 
@@ -329,9 +340,9 @@ def outcomes(df: DataFrame, key: str, version: str, body: str = "body") -> DataF
     shape = shape_violations(df, key, version, body).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("rule") == "unsupported_contract").alias("_other"))
     refs = reference_violations(df, key, body).groupBy(key).agg(F.count(F.lit(1)).alias("_refs"))
     v = _once(df, key, F.try_parse_json(body).alias("_v"))
-    items = lambda p: F.coalesce(F.try_variant_get("_v", f"$.{p}", "array<variant>"), F.array().cast("array<variant>"))
-    partial = F.exists(items("evidence"), lambda e: F.try_variant_get(e, "$.content_base64", "string").isNull()) | (F.size(items("gaps")) > 0)
-    asks = lambda s: F.exists(items(f"entities.{s}"), lambda c: F.coalesce(F.try_variant_get(c, "$.identity_resolution_required", "boolean"), F.lit(False)))
+    gaps = F.coalesce(F.size(F.try_variant_get("_v", "$.gaps", "array<string>")) > 0, F.lit(False))
+    partial = F.exists(_items("evidence", "content_base64:string"), lambda e: e["content_base64"].isNull()) | gaps
+    asks = lambda s: F.exists(_items(f"entities.{s}", "identity_resolution_required:boolean"), lambda c: F.coalesce(c["identity_resolution_required"], F.lit(False)))
     needs = reduce(lambda a, b: a | b, map(asks, OBJECTS["entities"]))
     out = v.select(key, partial.alias("_partial"), needs.alias("_needs")).join(shape, key, "left").join(refs, key, "left")
     n = F.coalesce("_n", "_refs", F.lit(0))

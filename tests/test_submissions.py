@@ -132,3 +132,14 @@ def test_right_items_are_not_read_field_by_field(spark):
     assert [tuple(r) for r in s.shape_violations(frame(spark, [changed(("evidence",), [EVIDENCE, odd])]), "id", "v1").collect()] == [(0, "evidence[1].retrieved_at", "bad_time")]
     plan = s.shape_violations(frame(spark, [json.dumps(GOOD)]), "id", "v1")._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan
+
+
+def test_references_read_texts_once(spark):
+    """Items of a wrong kind, fields of a wrong kind and nulls have no references."""
+    mixed = [7, None, {"candidate_key": {"a": 1}, "evidence_keys": ["e1", 5, None]}, {"candidate_key": "p1", "evidence_keys": "e9"}]
+    people = lambda x: changed(("entities", "person_candidates"), x)
+    df = frame(spark, [people(mixed), people({}), changed(("evidence",), [None, 3, EVIDENCE])])
+    found = s.reference_violations(df, "id")
+    assert sorted(map(tuple, found.collect())) == [(0, "entities.person_candidates[2].evidence_keys[1]", "unknown_evidence"), (1, "claims[0].subject_candidate_key", "unknown_candidate")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan and "parseJson" not in plan  # texts were read once, not for each side of the join
